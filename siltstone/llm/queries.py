@@ -2,12 +2,64 @@
 
 from __future__ import annotations
 
-from siltstone.llm import budget, encoding, packing
+from pyspark.sql import functions as F
+
+from siltstone.llm import budget, consensus, encoding, overlap, packing, splitting
 from siltstone.plans.registry import Registry
 from siltstone.sources.tables import table
 
 registry = Registry()
 
+#: White space as Python's str.isspace has it, for RE2.
+_SPACE = r"\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+@registry.add("p1_found")
+def p1_found(spark, sf_dir):
+    judged, _ = consensus.consensus(table(spark, sf_dir, "qrels"), table(spark, sf_dir, "spot_audit"), least=3)
+    return judged.select("query_id", "chunk_id", "relevance")
+
+
+@registry.add("p1_consensus")
+def p1_consensus(spark, sf_dir):
+    return consensus.consensus(table(spark, sf_dir, "qrels"), table(spark, sf_dir, "spot_audit"))[0]
+
+
+@registry.add("p1_annotators")
+def p1_annotators(spark, sf_dir):
+    pairs, names = consensus.pair_labels(consensus.usable_grades(table(spark, sf_dir, "qrels"), table(spark, sf_dir, "spot_audit")))
+    return consensus.annotator_report(consensus.fit_communities(pairs, names), spark)
+
+
+@registry.add(
+    "p2_found",
+    rf"""WITH current AS (
+  SELECT chunk_id, text FROM chunks WHERE chunk_id IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY loaded_at DESC NULLS LAST, length(text) > 3500 DESC, text DESC NULLS LAST) = 1)
+SELECT chunk_id, CASE WHEN list_max(list_transform(regexp_extract_all(text, '[^{_SPACE}。！？]+'), lambda x: length(x))) > 3500
+  THEN 'forced' ELSE 'natural' END AS cut
+FROM current WHERE length(text) > 3500""",
+)
+def p2_found(spark, sf_dir):
+    return splitting.split_kinds(table(spark, sf_dir, "chunks"))
+
+
+@registry.add("p2_pieces")
+def p2_pieces(spark, sf_dir):
+    return splitting.split_chunks(table(spark, sf_dir, "chunks"))
+
+
+@registry.add("p5_found")
+def p5_found(spark, sf_dir):
+    pairs = overlap.split_overlaps(table(spark, sf_dir, "natural_queries"))
+    return pairs.select(F.least("train_id", "held_id").alias("id_a"), F.greatest("train_id", "held_id").alias("id_b")).distinct()
+
+
+@registry.add("p5_counts")
+def p5_counts(spark, sf_dir):
+    questions = table(spark, sf_dir, "natural_queries")
+    return overlap.overlap_counts(overlap.split_overlaps(questions), questions)
+
 
 @registry.add(
     "p7_found",
