@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.llm import budget, consensus, encoding, overlap, packing, splitting
+from siltstone.llm import budget, consensus, encoding, overlap, packing, residue, splitting
 from siltstone.plans.registry import Registry
 from siltstone.sources.tables import table
 
@@ -94,3 +94,19 @@ def p9_containers(spark, sf_dir):
 @registry.add("p9_summary")
 def p9_summary(spark, sf_dir):
     return packing.packing_summary(packing.pack_documents(table(spark, sf_dir, "documents")))
+
+
+@registry.add("p10_found")
+def p10_found(spark, sf_dir):
+    return residue.template_residue(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+@registry.add("p10_kinds")
+def p10_kinds(spark, sf_dir):
+    return residue.template_residue(table(spark, sf_dir, "documents"))
+
+
+@registry.add("p10_usable")
+def p10_usable(spark, sf_dir):
+    usable = residue.usable_documents(table(spark, sf_dir, "documents"))
+    return usable.groupBy(F.lower(F.trim("source")).alias("source")).agg(F.count(F.lit(1)).alias("documents"), F.sum(F.char_length("text")).alias("characters"))
