@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.llm import budget, consensus, encoding, overlap, packing, residue, splitting
+from siltstone.llm import budget, consensus, encoding, overlap, packing, pairs, residue, splitting
 from siltstone.plans.registry import Registry
 from siltstone.sources.tables import table
 
@@ -27,8 +27,8 @@ def p1_consensus(spark, sf_dir):
 
 @registry.add("p1_annotators")
 def p1_annotators(spark, sf_dir):
-    pairs, names = consensus.pair_labels(consensus.usable_grades(table(spark, sf_dir, "qrels"), table(spark, sf_dir, "spot_audit")))
-    return consensus.annotator_report(consensus.fit_communities(pairs, names), spark)
+    labels, names = consensus.pair_labels(consensus.usable_grades(table(spark, sf_dir, "qrels"), table(spark, sf_dir, "spot_audit")))
+    return consensus.annotator_report(consensus.fit_communities(labels, names), spark)
 
 
 @registry.add(
@@ -49,10 +49,15 @@ def p2_pieces(spark, sf_dir):
     return splitting.split_chunks(table(spark, sf_dir, "chunks"))
 
 
+@registry.add("p3_found")
+def p3_found(spark, sf_dir):
+    return pairs.broken_pairs(table(spark, sf_dir, "turns"))
+
+
 @registry.add("p5_found")
 def p5_found(spark, sf_dir):
-    pairs = overlap.split_overlaps(table(spark, sf_dir, "natural_queries"))
-    return pairs.select(F.least("train_id", "held_id").alias("id_a"), F.greatest("train_id", "held_id").alias("id_b")).distinct()
+    found = overlap.split_overlaps(table(spark, sf_dir, "natural_queries"))
+    return found.select(F.least("train_id", "held_id").alias("id_a"), F.greatest("train_id", "held_id").alias("id_b")).distinct()
 
 
 @registry.add("p5_counts")
