@@ -57,7 +57,7 @@ WIKI_URL = re.compile(r"(?<![\w\]\[])\[((?:https?|ftp)://[^\s\[\]]+)\s+([^\[\]\n
 WIKI_REF = re.compile(r"(?is)<ref\b[^<>]*?(?:/>|>.*?</ref>)")
 
 ATX = re.compile(r"(?m)^ {0,3}(#{1,6})[ \t]+(\S.*?)(?:[ \t]+#+)?[ \t]*$")
-SETEXT = re.compile(r"(?m)^(?!\s*(?:[-*+>|=]|\d+[.)]|\Z))([^\n]*\w[^\n]*)\n {0,3}(={2,}|-{3,})[ \t]*$")
+SETEXT = re.compile(r"(?m)^(?!\s*(?:[-*+>|=]|\d+[.)]|\Z))([^\n]+)\n {0,3}(={2,}|-{3,})[ \t]*$")
 STRONG = re.compile(r"(?<![\w*\\])\*\*(?![\s*])([^*\n]+?)(?<![\s*])\*\*(?![\w*])|(?<![\w_\\.])__(?![\s_])([^_\n]+?)(?<![\s_])__(?![\w_(])|(?<=[一-鿿。，；：！？）])\*\*(?![\s*])([^*\n]+?)(?<![\s*])\*\*|(?<![\w*\\])\*\*(?![\s*])([^*\n]+?)(?<![\s*])\*\*(?=[一-鿿])")
 STRIKE = re.compile(r"(?<![\w~])~~(?![\s~])([^~\n]+?)(?<![\s~])~~(?![\w~])")
 EMPHASIS = re.compile(r"(?<![\w*\\/])\*(?![\s*])([^*\n]{1,160}?)(?<![\s*])\*(?![\w*(])")
@@ -343,7 +343,8 @@ def _markdown_blocks(text: str, found: set[str]) -> str:
 
         return change
 
-    text = SETEXT.sub(seen(lambda m: ("# " if m[2][0] == "=" else "## ") + m[1].strip()), text)
+    if re.search(r"\n {0,3}(?:==|---)", text):
+        text = SETEXT.sub(lambda m: seen(lambda m: ("# " if m[2][0] == "=" else "## ") + m[1].strip())(m) if re.search(r"\w", m[1]) else m[0], text)
     if "#" in text:
         text = ATX.sub(seen(lambda m: f"{m[1]} {m[2]}"), text)
     if ">" in text and QUOTE.search(text):

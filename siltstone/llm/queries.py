@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.llm import budget, consensus, encoding, overlap, packing, pairs, residue, splitting
+from siltstone.llm import budget, consensus, encoding, markup, overlap, packing, pairs, residue, splitting
 from siltstone.plans.registry import Registry
 from siltstone.sources.tables import table
 
@@ -54,6 +54,16 @@ def p3_found(spark, sf_dir):
     return pairs.broken_pairs(table(spark, sf_dir, "turns"))
 
 
+@registry.add("p4_found")
+def p4_found(spark, sf_dir):
+    return markup.markup_families(table(spark, sf_dir, "chunks"))
+
+
+@registry.add("p4_clean")
+def p4_clean(spark, sf_dir):
+    return markup.clean_chunks(table(spark, sf_dir, "chunks"))
+
+
 @registry.add("p5_found")
 def p5_found(spark, sf_dir):
     found = overlap.split_overlaps(table(spark, sf_dir, "natural_queries"))
