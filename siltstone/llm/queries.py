@@ -80,9 +80,9 @@ def p5_counts(spark, sf_dir):
     "p7_found",
     r"""WITH current AS (
   SELECT chunk_id, token_estimate, loaded_at, CAST(trunc(
-      1.2 * (length(text) - length(regexp_replace(text, '[\x{4E00}-\x{9FFF}]', '', 'g')))
-    + 1.3 * len(regexp_extract_all(text, '[A-Za-z0-9_]+'))
-    + length(regexp_replace(text, '[A-Za-z0-9_\x{4E00}-\x{9FFF}]', '', 'g')) / 4.0) AS INTEGER) AS tokens
+      1.2::DOUBLE * (length(text) - length(regexp_replace(text, '[\x{4E00}-\x{9FFF}]', '', 'g')))
+    + 1.3::DOUBLE * len(regexp_extract_all(text, '[A-Za-z0-9_]+'))
+    + length(regexp_replace(text, '[A-Za-z0-9_\x{4E00}-\x{9FFF}]', '', 'g')) / 4.0::DOUBLE) AS INTEGER) AS tokens
   FROM chunks WHERE chunk_id IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY loaded_at DESC NULLS LAST, tokens DESC, token_estimate DESC NULLS LAST) = 1)
 SELECT chunk_id FROM current WHERE token_estimate IS NULL OR abs(token_estimate - tokens) > 0.1 * tokens""",
