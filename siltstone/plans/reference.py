@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from siltstone.plans import retrieval, text
+from siltstone.plans import index, retrieval, text
 from siltstone.plans.registry import Registry
 
 registry = Registry()
-for _plans in (text, retrieval):
+for _plans in (text, retrieval, index):
     registry.queries |= _plans.registry.queries
     registry.sql |= _plans.registry.sql

@@ -31,4 +31,4 @@ def grades(spark: SparkSession, root: str) -> DataFrame:
 
 
 def turns(spark: SparkSession, root: str) -> DataFrame:
-    return latest(table(spark, root, "turns"), ["id"], ["created_at"], ["user_text", "answer", "namespace", "session_id", "source_titles_json"])
+    return latest(table(spark, root, "turns"), ["id"], ["created_at"], ["user_text", "answer", "namespace", "session_id", "source_titles_json", "created_at"])
