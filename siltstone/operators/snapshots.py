@@ -72,19 +72,20 @@ def assign_ordinals(keys: DataFrame, blocks: int, known: DataFrame | None = None
     """
     found = keys.select("key").distinct().withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
     if known is not None:
-        found = found.join(known.select("key", F.col("ordinal").alias("kept")), "key", "left")
+        ends = known.groupBy("block").agg(F.max("ordinal").alias("end"))
+        found = found.join(known.select("key", F.col("ordinal").alias("kept")), "key", "left").join(ends, "block", "left")
     else:
-        found = found.withColumn("kept", F.lit(None).cast("int"))
+        found = found.withColumns({"kept": F.lit(None).cast("int"), "end": F.lit(None).cast("int")})
     fresh = Window.partitionBy("block").orderBy(F.col("kept").isNotNull(), "key")
-    whole = Window.partitionBy("block")
-    following = F.coalesce(F.max("kept").over(whole), F.lit(-1)) + F.row_number().over(fresh)
+    following = F.coalesce("end", F.lit(-1)) + F.row_number().over(fresh)
     return found.select("key", "block", F.coalesce("kept", following).cast("int").alias("ordinal"))
 
 
 def _diff_block(pdf: pd.DataFrame, delivered: list[int]) -> pd.DataFrame:
     """All versions of one block: bitmaps per version, AND-NOT of neighbours, vectors of the keys in both."""
-    keys = pdf.drop_duplicates("ordinal").set_index("ordinal")["key"]
     size = int(pdf["ordinal"].max()) + 1
+    keys = np.full(size, None, object)
+    keys[pdf["ordinal"].to_numpy()] = pdf["key"].to_numpy(object)
     bitmaps: dict[int, tuple[str, np.ndarray]] = {}
     vectors: dict[int, np.ndarray] = {}
     sources: dict[int, np.ndarray] = {}
@@ -93,26 +94,22 @@ def _diff_block(pdf: pd.DataFrame, delivered: list[int]) -> pd.DataFrame:
         bitmaps[version] = pack_bits(at, size)
         for vector, column in ((vectors, "hash"), (sources, "source_id")):
             vector[version] = np.full(size, None, object)
-            vector[version][at] = rows[column].where(rows[column].notna(), None).to_numpy(object)
+            vector[version][at] = [None if x is None or x != x else x for x in rows[column].to_numpy(object)]
     none = ("runs", np.zeros((0, 2), np.int64))
-    out = []
+    out: list[tuple] = []
     for before, after in zip(delivered, delivered[1:]):
         old, new = unpack_bits(bitmaps.get(before, none), size), unpack_bits(bitmaps.get(after, none), size)
         both = np.flatnonzero(old & new)
+        changed = both
         if len(both):
             a, b = vectors[before][both], vectors[after][both]
-            differ = np.fromiter((x is not None and y is not None and x != y for x, y in zip(a, b)), bool, len(both))
-            changed = both[differ]
-        else:
-            changed = both
+            changed = both[np.fromiter((x is not None and y is not None and x != y for x, y in zip(a, b)), bool, len(both))]
         for kind, at, version in (("added", np.flatnonzero(new & ~old), after), ("removed", np.flatnonzero(old & ~new), before), ("changed", changed, after)):
             if len(at):
-                out.append(pd.DataFrame({"version_no": after, "chunk_id": keys.loc[at].to_numpy(), "change_type": kind, "source_id": sources[version][at]}))
-    if not out:
-        return pd.DataFrame({"version_no": pd.Series([], dtype="int32"), "chunk_id": [], "change_type": [], "source_id": []})
-    done = pd.concat(out)
-    done["version_no"] = done["version_no"].astype("int32")
-    return done
+                out += zip([after] * len(at), keys[at], [kind] * len(at), sources[version][at])
+    columns = list(zip(*out)) if out else [(), (), (), ()]
+    kinds = ("int32", object, object, object)
+    return pd.DataFrame({n: pd.Series(list(c), dtype=t) for n, c, t in zip(("version_no", "chunk_id", "change_type", "source_id"), columns, kinds)})
 
 
 def snapshot_changes(df: DataFrame, block_keys: int = BLOCK_KEYS, known: DataFrame | None = None, blocks: int | None = None) -> DataFrame:
