@@ -110,3 +110,72 @@ def h07_streamed(spark, d):
 @add("s01_windowed_events", "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS events, round(sum(value), 4) AS value FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
 def s01(spark, d):
     return ingest.windowed_counts(table(spark, d, "events"))
+
+
+_SPECS = [("g1", "c1", 0.8, 7), ("g1", "c1", 0.8, 7), ("g2", "", 0.8, 7), ("g3", "c3", 1.5, 7), ("g4", "c4", 0.5, 0)]
+_SPEC_ROWS = "gate AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {c}::DOUBLE, {k})" for a, b, c, k in _SPECS) + ") t(gate_id, case_id, least, top_k))"
+
+
+@add("f13_gate_specs", f"""WITH {_SPEC_ROWS}, p AS (SELECT gate_id, case_id, count(*) OVER (PARTITION BY gate_id, case_id) AS n, least, top_k FROM gate)
+SELECT DISTINCT gate_id, problem FROM (SELECT gate_id, unnest(list_filter([CASE WHEN case_id = '' THEN 'no case id' END, CASE WHEN n > 1 THEN 'duplicate case' END, CASE WHEN least NOT BETWEEN 0 AND 1 THEN 'rate out of range' END, CASE WHEN top_k <= 0 THEN 'no depth' END], lambda x: x IS NOT NULL)) AS problem FROM p)""")
+def f13(spark, d):
+    from pyspark.sql import Window
+
+    gate = spark.createDataFrame(_SPECS, "gate_id string, case_id string, least double, top_k int")
+    n = F.count(F.lit(1)).over(Window.partitionBy("gate_id", "case_id"))
+    problems = F.array_compact(F.array(F.when(F.col("case_id") == "", "no case id"), F.when(F.col("n") > 1, "duplicate case"), F.when(~F.col("least").between(0, 1), "rate out of range"), F.when(F.col("top_k") <= 0, "no depth")))
+    return gate.withColumn("n", n).select("gate_id", F.explode(problems).alias("problem")).distinct()
+
+
+@add("g03_plain_context", f"""WITH {R._CAND}, r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n, title, text FROM cand),
+b AS (SELECT query_id, n, '[' || n || '] ' || coalesce(title, '') || chr(10) || {S.strip("coalesce(text, '')")} AS block FROM r), u AS (SELECT *, sum(length(block)) OVER (PARTITION BY query_id ORDER BY n) AS used FROM b)
+SELECT query_id, count(*) AS sources, sha256(string_agg(block, chr(10) || chr(10) ORDER BY n)) AS hash FROM u WHERE n = 1 OR used <= 6000 GROUP BY query_id""")
+def g03(spark, d):
+    from pyspark.sql import Window
+
+    by = Window.partitionBy("query_id").orderBy("rank")
+    c = R._candidates(spark, d).select("query_id", F.row_number().over(by).alias("n"), "title", "text")
+    b = c.select("query_id", "n", F.concat(F.lit("["), "n", F.lit("] "), F.coalesce("title", F.lit("")), F.lit("\n"), T.strip(F.coalesce("text", F.lit("")))).alias("block"))
+    used = F.sum(F.char_length("block")).over(Window.partitionBy("query_id").orderBy("n"))
+    kept = b.withColumn("used", used).filter("n = 1 or used <= 6000")
+    return kept.groupBy("query_id").agg(F.count(F.lit(1)).alias("sources"), T.sha256(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "block"))), lambda x: x["block"]), "\n\n")).alias("hash"))
+
+
+@add("g12_combined_coverage", f"""{N._COVERAGE}, s AS (SELECT query_id AS id, CASE WHEN n = 0 THEN 5.0::DOUBLE ELSE round(5.0::DOUBLE * covered / n, 1) END AS score, missing FROM g), a AS (SELECT query_id AS id FROM g)
+SELECT id, missing = 0 AND score >= 4 AS rule_pass, missing = 0 AND score >= 4 AND score >= 3.5 AS coverage_pass FROM s""")
+def g12(spark, d):
+    from siltstone.operators import safety
+
+    t = turns(spark, d).filter("user_text is not null and answer is not null").withColumn("question", F.col("user_text"))
+    c = planning.plan(t).withColumn("c", safety.coverage_audit("answer", F.transform("aspects", lambda a: a["name"])))
+    return c.select("id", F.col("c.passed").alias("rule_pass"), (F.col("c.passed") & (F.col("c.score") >= 3.5)).alias("coverage_pass"))
+
+
+@add("c04_strategies", R._BM25 + f" SELECT query_id, 'sparse' AS strategy, count(*) AS hits FROM (SELECT *, {R._TOP} AS rank FROM scores WHERE score > 0) WHERE rank <= 7 GROUP BY query_id")
+def c04(spark, d):
+    hits = retrieval.direct_retrieve(asked(spark, d), current_chunks(spark, d), 7, 16, "none")
+    return hits.groupBy("query_id").agg(F.lit("sparse").alias("strategy"), F.count(F.lit(1)).alias("hits"))
+
+
+@add("i38_novelty", f"""WITH d AS (SELECT q.vec_id, {R._L2} AS distance FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id), m AS (SELECT vec_id, min(distance) AS distance FROM d GROUP BY vec_id)
+SELECT vec_id, round(1 - distance / 2, 5) AS nearest, 1 - distance / 2 < 0.86 AS novel FROM m""")
+def i38(spark, d):
+    from siltstone.operators import dense
+
+    e = table(spark, d, "embeddings")
+    near = dense.l2_search(e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e, 2).filter("vec_id <> query_id")
+    cosine = 1 - F.min("distance") / 2
+    return near.groupBy(F.col("query_id").alias("vec_id")).agg(F.round(cosine, 5).alias("nearest"), (cosine < 0.86).alias("novel"))
+
+
+@add("i37_lexical_similarity")
+def i37(spark, d):
+    """Of every question, the likeness to the one with the next lower id of its split."""
+    from pyspark.sql import Window
+
+    from siltstone.operators.dedupe import text_likeness
+    from siltstone.sources.inputs import questions
+
+    q = questions(spark, d).filter("question is not null").withColumn("bucket", F.substring("id", 1, 20))
+    before = F.lag("question").over(Window.partitionBy("bucket").orderBy("id"))
+    return q.withColumn("before", before).filter("before is not null").select("id", text_likeness("question", "before").alias("likeness"))
