@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from siltstone.sources.tables import latest
 
-BLOCK_KEYS = 20_000
+#: States (keys times versions) that one block holds, so that neither more keys nor more deliveries make tasks grow.
+BLOCK_STATES = 160_000
 
 
 def pack_bits(ordinals: np.ndarray, size: int) -> tuple[str, np.ndarray]:
@@ -112,7 +113,7 @@ def _diff_block(pdf: pd.DataFrame, delivered: list[int]) -> pd.DataFrame:
     return pd.DataFrame({n: pd.Series(list(c), dtype=t) for n, c, t in zip(("version_no", "chunk_id", "change_type", "source_id"), columns, kinds)})
 
 
-def snapshot_changes(df: DataFrame, block_keys: int = BLOCK_KEYS, known: DataFrame | None = None, blocks: int | None = None) -> DataFrame:
+def snapshot_changes(df: DataFrame, block_states: int = BLOCK_STATES, known: DataFrame | None = None, blocks: int | None = None) -> DataFrame:
     """(version_no, chunk_id, change_type, source_id) from each delivered version to the next delivered one.
 
     version_no is the later version; change_type is added, removed or changed. A null hash means present and is
@@ -124,7 +125,7 @@ def snapshot_changes(df: DataFrame, block_keys: int = BLOCK_KEYS, known: DataFra
     facts = df.filter(F.regexp_replace("chunk_id", r"^\s+|\s+$", "") != "").agg(F.sort_array(F.collect_set("version_no")), F.approx_count_distinct("chunk_id", 0.05)).first()
     delivered = list(facts[0] or [])
     if blocks is None:
-        blocks = max(1, -(-int(facts[1]) // block_keys))
+        blocks = max(1, -(-int(facts[1]) * len(delivered) // block_states))
     if known is None:
         # Without earlier ordinals the block itself can rank its keys: one shuffle less.
         spread = states.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
