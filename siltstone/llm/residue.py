@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.session import cut
+
 #: A line on so many pages of a host is boilerplate; with evidence in it, only from this share of the host's pages on.
 PAGES, SHARE = 3, 0.2
 #: Code points of ordinary text that an error page may hold beside its evidence.
@@ -35,7 +37,7 @@ CARRIERS = re.compile(
     |\bYou\ have\ {JUNK}\s?new\ results|\bnew\ results\ for\ {JUNK}\s?\.(?=\s|$)|最后更新于\s?{JUNK}\s?。|欢迎使用\s?{JUNK}\s?！|请联系\s?{JUNK}\s?。|共找到\s?{JUNK}\s?条|条关于\s?{JUNK}\s?的结果|您好，\s?{JUNK}\s?：|负责人：\s?{JUNK}\s?，|版本：\s?{JUNK}\s?。""",
     re.X | re.I | re.M,
 )
-CARRIER_HINT = re.compile(r"here is your|for access|welcome to|maintained by|all rights|last updated on|see the figure|^dear |under the name|new results|更新于|欢迎使用|请联系|共找到|您好，|负责人：|版本：", re.I)
+CARRIER_HINT = tuple("here is|for access|welcome to|maintained by|, version|all rights|last updated on|see the figure|dear |under the name|new results|更新于|欢迎使用|请联系|共找到|条关于|您好，|负责人：|版本：".split("|"))
 EXPLAINS = re.compile(
     r"templat|placeholder|\bslots?\b|variable|format string|shell script|environment|\bprompt|\bparser|\breturns?\b|syntax|\bsample command|such as|for example|e\.g\.|rendered|expands|replaced by|stands for|模板|变量|占位符|语法|例如|比如|表示|参数",
     re.I,
@@ -80,34 +82,56 @@ NAVIGATION = re.compile(
 )
 CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|`[^`\n]+`", re.S)
 SENTENCES = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n+")
-#: What a record must hold to be looked at; every pattern above needs one of these.
-CANDIDATE = (
-    r"(?i)[{}%<$@#]|\[\[|\[object|\[insert|\[your|\[enter|\[add|\[replace|\[company|\[product|\[customer|\[author|\[date|\[todo|\[tbd|__|TBD_|XX/XX|XX?年|填写|插入|请输入|here is|for access|welcome to|maintained by|, version|all rights|last updated|see the figure|dear |under the name|new results|更新于|欢迎使用|请联系|共找到|条关于|您好，|负责人|版本："
-    r"|lorem|ipsum|dolor|amet|elit|aliqua|goes here|(?:sample|dummy|placeholder|filler) text|your own (?:content|text)|text block|dummy|blah|asdf|qwer|test test|short summary|占位|示例|测试|内容内容|正式内容|platzhalter|freigabe|remplissage|relleno"
-    r"|[45][0-9][0-9]|error|could not|failed to|moved|deleted|removed|blocked|too long|restored|cannot be|not available|not exist|not found|no longer|unavailable|can't find|went wrong|maintenance|denied|permission|authori|robot|human|captcha|too many|limited|traffic|expired|sign in again|exception|traceback|file \"|fatal|aborted|warning|no such|nosuch|\"status|gave up|first byte|answer in time|gateway|script|support it"
-    r"|gefunden|verweigert|verfügbar|erreichbar|introuvable|refusé|erreur|disponible|encontr|denegado|错误|不存在|删除|维护|无法访问|暂时无法|失败|超时|登录|找不到|权限|开小差|频繁|验证|脚本"
+#: Without one of these a text holds no evidence of an error page; plain substrings of the lower-cased text.
+EVIDENCE_HINT = tuple(
+    "could not be |failed to |was moved|was deleted|was removed|were moved|were deleted|were removed|been moved|been deleted|been removed|moved or deleted|moved permanently|is blocked for|took too long|is being restored"
+    "|cannot be shown|cannot be displayed|cannot be found|not available |does not exist|not found|no longer exists|no longer available|temporarily unavailable|can't find that|went wrong|under maintenance|access denied|access is denied|have permission|not authori"
+    "|not a robot|are you human|are you a human|captcha|too many requests|has been limited|unusual traffic|session has expired|sign in again|application error|an exception occurred|rendererror|traceback (most|file \"|fatal:|could not connect|query aborted|warning: |no such file"
+    "|nosuchpage|<error>|\"status\"|{\"error|{\"code|{\"message|gave up (|the first byte|did not answer in|gateway time|bad gateway|internal server error|javascript| script|scripts|scripting|does not support it|seite nicht gefunden|zugriff verweigert|nicht verfügbar|nicht erreichbar"
+    "|introuvable|accès refusé|erreur |no está disponible|no se encontr|no encontr|acceso denegado|no encontrada|错误|不存在|已被删除|已删除|正在维护|无法访问|暂时无法|加载失败|响应超时|需要登录|找不到|登录后才能|没有权限|开小差|过于频繁|完成验证|人机验证|脚本".split("|")
 )
+STATUS = re.compile(r"(?m)^[\s\[(]*(?:sorry|oops)?[.!,]?\s*(?:http )?(?:error )?[\[(]?[45]\d\d|error \d+", re.I)
 
 
-#: Without one of these a text has no slot; a class of characters and few words, so that most texts are soon done with.
-SLOT_HINT = re.compile(r"[{}%@#$【「]|<[<YIEARyiear]|\[\[|\[[A-Za-z]|__|TBD|XX|X年|填写|nan\b|undefined|null\b|none\b|n/a|todo|\?\?| [,.!:]|\s[，。！：]", re.I)
+def may_be_error(text: str) -> bool:
+    """Whether any line or sentence holds evidence; only then can the page be an error once boilerplate is gone."""
+    low = text.lower()
+    hints = [hint for hint in EVIDENCE_HINT if hint in low]
+    if not hints and not STATUS.search(text):
+        return False
+    for line in text.split("\n"):
+        below = line.lower()
+        if STATUS.search(line) or any(h in below for h in hints):
+            if any((STATUS.search(p) or any(h in p.lower() for h in hints)) and EVIDENCE.search(p.strip()) and not TALK.search(p) for p in (line, *SENTENCES.split(line))):
+                return True
+    return False
+
+
+#: Without one of these in lower case a text has no slot.
+SLOT_HINT = tuple("{ } % @ ## #{ $ 【 「 << <your <insert <enter <add <replace [[ [insert [your [enter [add [replace [company [product [customer [author [date [todo [tbd [object __ tbd_ xx/xx x年 填写 插入 请输入".split())
 FILLER_HINT = ("ipsum", "lorem", "amet", "elit", "dolor", "goes here", "sample text", "dummy", "placeholder text", "filler text", "your own", "text block", "blah", "asdf", "qwer", "test test", "short summary", "占位", "示例", "测试测试", "内容内容", "正式内容", "platzhalter", "freigabe", "remplissage", "relleno")
 
 
 def has_slot(text: str) -> bool:
     """A slot left unfilled, or filled with nothing usable, outside code and outside explanations."""
-    if not SLOT_HINT.search(text) and not CARRIER_HINT.search(text):
-        return False
-    bare = CODE.sub(" ", text)
-    if not SLOT.search(bare) and not CARRIERS.search(bare):
+    low = text.lower()
+    marks = [m for m in SLOT_HINT if m in low]
+    carriers = [c for c in CARRIER_HINT if c in low]
+    if not marks and not carriers:
         return False
-    for sentence in SENTENCES.split(bare):
-        if CARRIERS.search(sentence):
-            return True
-        for m in SLOT.finditer(sentence):
-            quoted = sentence[: m.start()].count('"') % 2 or sentence[: m.start()].count("“") > sentence[: m.start()].count("”")
-            if CARRIER_HINT.search(sentence) or not (quoted or EXPLAINS.search(sentence)):
+    for line in CODE.sub(" ", text).split("\n"):
+        below = line.lower()
+        if not any(m in below for m in marks) and not any(c in below for c in carriers):
+            continue
+        for sentence in SENTENCES.split(line):
+            below = sentence.lower()
+            carried = any(c in below for c in carriers)
+            if carried and CARRIERS.search(sentence):
                 return True
+            for m in SLOT.finditer(sentence) if any(m in below for m in marks) else ():
+                quoted = sentence[: m.start()].count('"') % 2 or sentence[: m.start()].count("“") > sentence[: m.start()].count("”")
+                if carried or not (quoted or EXPLAINS.search(sentence)):
+                    return True
     return False
 
 
@@ -162,8 +186,9 @@ def normal_line(line: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(line)), r"[0-9]+", "#")
 
 
-def lines_of(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(F.split(text, r"\n"), normal_line), lambda x: x != ""))
+def hashes_of(text: Column) -> Column:
+    """Hashes of the normalised lines in order; null for blank lines."""
+    return F.transform(F.split(text, r"\n"), lambda x: F.when(normal_line(x) != "", F.xxhash64(normal_line(x))))
 
 
 def host_of(url: str = "url", source: str = "source") -> Column:
@@ -173,11 +198,12 @@ def host_of(url: str = "url", source: str = "source") -> Column:
 
 
 def recurrent_lines(documents: DataFrame, pages: int = PAGES) -> DataFrame:
-    """(host, line, share): normalised lines on at least `pages` documents of a host, with the share of its pages.
+    """(host, line, share): hashes of normalised lines on at least `pages` documents of a host, and the share of its pages.
 
-    A document counts once per line, however often it holds it; the counts cover all documents.
+    A document counts once per line, however often it holds it; the counts cover all documents. Lines are counted as
+    hashes, so what is shuffled doesn't grow with their length.
     """
-    placed = documents.select(host_of().alias("host"), F.coalesce(lines_of(F.col("text")), F.array()).alias("lines"))
+    placed = documents.select(host_of().alias("host"), F.coalesce(F.array_distinct(F.array_compact(hashes_of(F.col("text")))), F.array()).alias("lines"))
     counted = placed.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= pages)
     total = placed.groupBy("host").agg(F.count(F.lit(1)).alias("of"))
     return counted.join(total, "host").select("host", "line", (F.col("n") / F.col("of")).alias("share"))
@@ -189,23 +215,32 @@ def template_residue(documents: DataFrame, pages: int = PAGES, share: float = SH
     A record has one row, of the first kind that holds in that order. Null, empty and blank texts are none of
     these. Repeated rows collapse; a null doc_id keeps its row; columns other than doc_id, text, url and source
     don't matter, and url and source may be null.
+
+    Slots and filler don't depend on other pages and are decided in the scan. Of the rest only texts that hold
+    evidence of an error go on, to have their host's boilerplate subtracted.
     """
-    seen = documents.select("doc_id", "text", host_of().alias("host")).filter(F.col("text").rlike(CANDIDATE)).withColumn("lines", lines_of(F.col("text"))).withColumn("key", F.xxhash64("doc_id", "host", "text"))
+
+    def look(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if not t or not t.strip() else "slot" if has_slot(t) else "filler" if has_filler(t) else "maybe" if may_be_error(t) else None)
+
+    first = documents.select("doc_id", "text", host_of().alias("host")).withColumn("kind", F.pandas_udf(look, "string")("text")).filter("kind is not null")
+    first = cut(first.select("doc_id", "host", "kind", F.when(F.col("kind") == "maybe", F.col("text")).alias("text")))
+    seen = first.filter("kind = 'maybe'").withColumn("key", F.xxhash64("doc_id", "host", "text"))
     often = recurrent_lines(documents, pages)
-    own = seen.select("key", "host", F.explode("lines").alias("line")).join(often, ["host", "line"]).groupBy("key").agg(F.collect_set(F.struct("line", "share")).alias("boilerplate"))
-    beside = seen.select("key", "doc_id", "text").join(own, "key", "left")
+    lines = seen.select("key", "host", F.explode(F.array_distinct(F.array_compact(hashes_of(F.col("text"))))).alias("line")).distinct()
+    own = lines.join(often, ["host", "line"]).groupBy("key").agg(F.collect_list(F.struct("line", "share")).alias("boilerplate"))
 
-    def judge(texts: pd.Series, lines: pd.Series, boilerplate: pd.Series) -> pd.Series:
+    def judge(texts: pd.Series, hashes: pd.Series, boilerplate: pd.Series) -> pd.Series:
         out = []
-        for text, normal, often in zip(texts, lines, boilerplate):
-            gone = {r["line"] for r in often if r["share"] >= share or not EVIDENCE.search(r["line"])} if often is not None and len(often) else ()
-            residual = "\n".join(line for line, n in zip(text.split("\n"), normal) if n not in gone) if gone else text
-            out.append(residue_of(text, residual))
-        return pd.Series(out)
-
-    kind = F.pandas_udf(judge, "string")
-    normal = F.transform(F.split("text", r"\n"), normal_line)
-    return beside.select("doc_id", kind("text", normal, "boilerplate").alias("kind")).filter("kind is not null").groupBy("doc_id").agg(F.max("kind").alias("kind"))
+        for text, codes, often in zip(texts, hashes, boilerplate):
+            shares = {r["line"]: r["share"] for r in often} if often is not None else {}
+            kept = [line for line, code in zip(text.split("\n"), codes) if code is None or code != code or code not in shares or (shares[code] < share and EVIDENCE.search(line))]
+            out.append("error" if is_error_page("\n".join(kept)) else None)
+        return pd.Series(out, dtype=object)
+
+    beside = seen.select("key", "doc_id", "text").join(own, "key", "left")
+    judged = beside.select("doc_id", F.pandas_udf(judge, "string")("text", hashes_of(F.col("text")), "boilerplate").alias("kind"))
+    return first.filter("kind <> 'maybe'").select("doc_id", "kind").unionByName(judged.filter("kind is not null")).groupBy("doc_id").agg(F.max("kind").alias("kind"))
 
 
 def usable_documents(documents: DataFrame) -> DataFrame:
