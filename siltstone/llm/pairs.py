@@ -113,7 +113,10 @@ def is_copy(question: str | None, answer: str) -> bool:
 
 
 def declining(answer: str) -> tuple[bool, int]:
-    """(whether a sentence declines, code points of sentences that neither decline nor politely follow)."""
+    """(whether a sentence declines, code points of sentences that neither decline nor politely follow).
+
+    Counting ends beyond 80, where no answer is a refusal any more.
+    """
     bare = CITED.sub("", answer.strip())
     declines, rest = False, 0
     for sentence in SENTENCES.split(bare):
@@ -124,6 +127,8 @@ def declining(answer: str) -> tuple[bool, int]:
             declines = True
         elif not FOLLOWS.search(sentence):
             rest += len(sentence)
+            if rest > 80:  # says more than any refusal does
+                break
     return declines, rest
 
 
