@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What page chrome leaves behind in converted documentation.
@@ -112,10 +112,23 @@ def without_leading_title(x: Column | str) -> Column:
     return strip(F.regexp_replace(_c(x), r"(?s)\A#\s+.+?\n+", ""))
 
 
-def clean_body(x: Column | str, source_type: Column | str) -> Column:
-    """The whole cleaning pipeline in its order."""
-    body = strip(F.regexp_replace(tidy(x), r"(?s)\A---\n.*?\n---\n+", ""))
-    return tidy(without_leading_title(without_anchors(without_chrome(without_tail(from_first_title(body, source_type))))))
+def with_clean_body(df: DataFrame, text: str, source_type: str, name: str = "body") -> DataFrame:
+    """Adds `name`, the text after the whole cleaning pipeline.
+
+    Each step is a column of its own: steps look at their text several times, and nested in one expression they
+    would be computed over and over.
+    """
+    steps = [
+        lambda c: strip(F.regexp_replace(tidy(c), r"(?s)\A---\n.*?\n---\n+", "")),
+        lambda c: from_first_title(c, source_type),
+        without_tail,
+        without_chrome,
+        lambda c: tidy(without_leading_title(without_anchors(c))),
+    ]
+    out = df.withColumn(name, F.col(text))
+    for step in steps:
+        out = out.withColumn(name, step(F.col(name)))
+    return out
 
 
 def clean_heading(x: Column | str) -> Column:
@@ -142,6 +155,14 @@ def fold(x: Column | str) -> Column:
     return F.replace(F.lower(_c(x)), F.lit("ß"), F.lit("ss"))
 
 
+def token_count(x: Column | str) -> Column:
+    """How many search tokens a text has, without making them."""
+    text = fold(x)
+    words = F.regexp_extract_all(text, F.lit(r"([a-z0-9][a-z0-9_\-]{1,})"), F.lit(1))
+    spans = F.transform(F.regexp_extract_all(text, F.lit("([一-鿿]+)"), F.lit(1)), F.char_length)
+    return F.size(words) + F.aggregate(spans, F.lit(0), lambda n, size: n + F.greatest(F.lit(1), 2 * size - 3))
+
+
 def _grams(spans: Column, n: int) -> Column:
     long = F.filter(spans, lambda s: F.char_length(s) >= n)
     return F.flatten(F.transform(long, lambda s: F.transform(F.sequence(F.lit(1), F.char_length(s) - (n - 1)), lambda i: F.substring(s, i, F.lit(n)))))

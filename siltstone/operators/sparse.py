@@ -45,7 +45,7 @@ def bm25_scores(questions: DataFrame, chunks: DataFrame, idf_mode: str = "plus_o
     """
     terms = questions.select("query_id", F.explode(query_terms("question")).alias("term")).distinct()
     tokens = chunks.select("chunk_id", T.search_tokens(index_text()).alias("tokens")).withColumn("dl", F.size("tokens"))
-    facts = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    facts = chunks.select(T.token_count(index_text()).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
     n, average = facts.n or 0, max(1.0, facts.avgdl or 0.0)
     wanted = terms.select("term").distinct()
     # Terms are counted inside the row, so a chunk's text never leaves its partition as single words.

@@ -218,7 +218,7 @@ s2 AS (SELECT *, {_first('a')} AS b FROM s1), s3 AS (SELECT *, {_tail('b')} AS c
 SELECT doc_id, CAST(length(x) AS INTEGER) AS n, sha256(x) AS hash FROM s6""",
 )
 def b05(spark, d):
-    done = _pages(spark, d).select("doc_id", T.clean_body("text", "source_type").alias("x"))
+    done = T.with_clean_body(_pages(spark, d), "text", "source_type", "x")
     return done.select("doc_id", F.char_length("x").alias("n"), T.sha256("x").alias("hash"))
 
 
