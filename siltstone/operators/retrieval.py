@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import fixed as X
 from siltstone.operators import fusion, planning, sparse
+from siltstone.session import cut
 
 FIELDS = ["chunk_id", "title", "category", "heading_path", "text", "source_id"]
 
@@ -51,22 +52,92 @@ def model_rerank(candidates: DataFrame, scorer: Callable[[list[str], list[str]],
 def planned_retrieve(questions: DataFrame, chunks: DataFrame, k: int = 7, pool: int = 16, conservative: bool = False) -> DataFrame:
     """(query_id, chunk_id, score, aspect, rank): all runs of all plans in one search, fused by weight, covered.
 
-    Every run is searched once as its own query; runs that ask the same text share one search.
+    Every run is searched once as its own query; runs that ask the same text share one search. The anchor gives k
+    rows, every other run `pool`; both grow with the plan's aspects. All fused candidates are boosted and may cover.
     """
-    plans = planning.plan(questions, 3 if conservative else 2)
-    specs = planning.run_specs(plans, conservative)
-    texts = specs.select(F.col("query").alias("question")).distinct().withColumn("query_id", F.sha2("question", 256))
+    # Plans and runs are a few rows per question but large expressions, used several times.
+    plans = cut(plan_limits(planning.plan(questions, 3 if conservative else 2), k, pool, conservative).select("query_id", "question", "aspects", "categories", "sub_queries", "k", "pool", "slots"))
+    specs = planning.run_specs(plans, conservative).join(plans.select("query_id", "k", "pool"), "query_id")
+    specs = cut(specs.withColumn("depth", F.when(F.col("run_group") == "anchor", F.col("k")).otherwise(F.col("pool"))).drop("k", "pool"))
+    fused = fuse_runs(specs, chunks, deepest(k, pool))
+    boosted = boost_fused(fused, chunks, 0.006)
+    chosen = cover_plan_bounded(boosted, plans)
+    return boosted.select("query_id", "chunk_id", "score", "aspect").join(chosen, ["query_id", "chunk_id"]).withColumnRenamed("place", "rank")
+
+
+def plan_limits(plans: DataFrame, k: int, pool: int, conservative: bool = False) -> DataFrame:
+    """Adds k, pool and slots: plans with aspects (conservative: two or more) get more places, deeper runs, coverage."""
+    n = F.size("aspects")
+    several = n >= (2 if conservative else 1)
+    places = F.when(several, F.greatest(F.lit(k), F.least(F.lit(10), 2 * n + 4))).otherwise(k)
+    covering = F.least(F.lit(2), F.floor(F.col("k") / 4)).cast("int")
+    slots = F.when(several, covering).otherwise(0) if conservative else F.greatest(F.lit(1), covering)
+    return plans.withColumn("k", places).withColumn("pool", F.when(several, F.greatest(F.lit(pool), 2 * F.col("k"))).otherwise(pool)).withColumn("slots", slots)
+
+
+def deepest(k: int, pool: int) -> int:
+    """The most rows a run of plan_limits can ask for."""
+    return max(k, pool, 2 * max(k, 10))
+
+
+def fuse_runs(specs: DataFrame, chunks: DataFrame, most: int) -> DataFrame:
+    """The fused candidates of (query_id, run_ord, query, category, aspect, weight, depth), each run cut to its depth.
+
+    No depth exceeds `most`, a constant that lets Spark cut the runs before it shuffles them.
+    """
+    texts = cut(specs.select(F.col("query").alias("question")).distinct().withColumn("query_id", F.monotonically_increasing_id()))
     scores = sparse.bm25_scores(texts, chunks).filter("score > 0").withColumn("score", F.round("score", 6))
-    runs = specs.withColumn("text_id", F.sha2("query", 256)).drop("query")
+    runs = specs.join(texts.select(F.col("question").alias("query"), F.col("query_id").alias("text_id")), "query").drop("query")
     wide = runs.join(scores.withColumnRenamed("query_id", "text_id"), "text_id").join(chunks.select("chunk_id", F.col("category").alias("own")), "chunk_id").filter(F.col("category").isNull() | (F.col("own") == F.col("category")))
     order = Window.partitionBy("query_id", "run_ord").orderBy(F.desc("score"), "chunk_id")
-    found = wide.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= pool)
-    fused = fusion.reciprocal_rank_fusion(found.select("query_id", "run_ord", "rank", "chunk_id", (1 / (1 + F.col("score"))).alias("distance"), "aspect", F.lit("bm25").alias("channel"), "weight"))
-    full = fused.filter(F.col("rank") <= 3 * k).join(chunks.select(*FIELDS), "chunk_id")
-    boosted = fusion.plan_boosts(full, 0.006)
-    slots = max(1, min(2, k // 4))
-    chosen = fusion.cover_bounded(boosted, slots, k)
-    return boosted.select("query_id", "chunk_id", "score", "aspect").join(chosen, ["query_id", "chunk_id"]).withColumnRenamed("place", "rank")
+    found = wide.withColumn("rank", F.row_number().over(order)).filter((F.col("rank") <= most) & (F.col("rank") <= F.col("depth")))
+    return fusion.reciprocal_rank_fusion(found.select("query_id", "run_ord", "rank", "chunk_id", (1 / (1 + F.col("score"))).alias("distance"), "aspect", F.lit("bm25").alias("channel"), "weight"))
+
+
+def boost_fused(fused: DataFrame, chunks: DataFrame, most: float) -> DataFrame:
+    """All candidates ranked by boosted score; only boosted scores are rounded to six places, the others stay apart."""
+    full = fused.join(chunks.select(*FIELDS), "chunk_id").withColumn("plain", F.col("score"))
+    boosted = fusion.plan_boosts(full, most)
+    return fusion.ranked(boosted.withColumn("score", F.when(F.col("boost") > 0, F.col("score")).otherwise(F.col("plain"))))
+
+
+def preferred(name: str, categories: list[str]) -> list[str]:
+    return categories if name == "classification" else [c for c in categories if c not in ("RAG overview", "RAG paper")] or categories
+
+
+def cover_plan_bounded(candidates: DataFrame, plans: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, place): rank 1 stays, at most `slots` places cover the plan, the rest follows rank to k.
+
+    Slots go to the plan's aspects in order, each from its own categories if they hold one, then to categories in order
+    of priority that nothing chosen has. plans are (query_id, aspects, categories, k, slots).
+    """
+    limits = plans.select("query_id", F.transform("aspects", lambda a: F.struct(a["name"].alias("name"), a["categories"].alias("categories"))).alias("aspects"), F.col("categories").alias("plan_categories"), "k", "slots")
+    joined = candidates.select("query_id", "chunk_id", "rank", "aspect", "category").join(limits, "query_id")
+
+    def select(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values("rank").to_dict("records")
+        k, slots = int(rows[0]["k"]), int(rows[0]["slots"])
+        wanted = [(a["name"], list(a["categories"])) for a in rows[0]["aspects"]]
+        chosen, left = rows[: min(1, k)], rows[1:]
+
+        def take(test) -> bool:
+            at = next((i for i, r in enumerate(left) if test(r)), None) if len(chosen) < k else None
+            if at is not None:
+                chosen.append(left.pop(at))
+            return at is not None
+
+        for name, categories in wanted:
+            if slots > 0:
+                narrow = preferred(name, categories)
+                slots -= take(lambda r: r["aspect"] == name and r["category"] in narrow) or take(lambda r: r["aspect"] == name)
+        asked = set(rows[0]["plan_categories"]) | {c for _, cs in wanted for c in cs}
+        for category in X.CATEGORY_PRIORITY:
+            if slots > 0 and category in asked and all(r["category"] != category for r in chosen):
+                slots -= take(lambda r: r["category"] == category)
+        chosen += left[: k - len(chosen)]
+        return pd.DataFrame({"query_id": rows[0]["query_id"], "chunk_id": [r["chunk_id"] for r in chosen], "place": range(1, len(chosen) + 1)}).astype({"place": "int32"})
+
+    return joined.groupBy("query_id").applyInPandas(select, "query_id string, chunk_id string, place int")
 
 
 def cover_plan(candidates: DataFrame, plans: DataFrame, k: int) -> DataFrame:

@@ -212,6 +212,26 @@ def test_plan_coverage_prefers_new_sources(spark):
     assert got == ["c1", "c4", "c3", "c0"]
 
 
+def test_planned_retrieval_keeps_every_fused_candidate(spark):
+    plans = spark.createDataFrame([(f"q{n}", [(f"a{i}", ["x"]) for i in range(n)]) for n in (0, 1, 2, 4)], "query_id string, aspects array<struct<name string, categories array<string>>>")
+    limits = lambda conservative: {r.query_id: (r.k, r.pool, r.slots) for r in retrieval.plan_limits(plans, 7, 16, conservative).collect()}
+    assert limits(False) == {"q0": (7, 16, 1), "q1": (7, 16, 1), "q2": (8, 16, 2), "q4": (10, 20, 2)}
+    assert limits(True) == {"q0": (7, 16, 0), "q1": (7, 16, 0), "q2": (8, 16, 2), "q4": (10, 20, 2)}
+    # The only candidate of an aspect is far down, and so is that of a category the plan asks for.
+    rows = [("q", f"c{i:02d}", i, {25: "evaluation", 3: "techniques", 30: "techniques"}.get(i), "retrieval" if i == 30 else "x") for i in range(1, 41)]
+    c = spark.createDataFrame(rows, "query_id string, chunk_id string, rank int, aspect string, category string")
+    for slots, want in ((2, ["c01", "c30", "c25"]), (1, ["c01", "c30", "c02"]), (0, ["c01", "c02", "c03"])):
+        p = spark.createDataFrame([("q", [("techniques", ["RAG paper", "retrieval"]), ("evaluation", ["x"])], ["chunking"], 3, slots)], "query_id string, aspects array<struct<name string, categories array<string>>>, categories array<string>, k int, slots int")
+        assert [r.chunk_id for r in retrieval.cover_plan_bounded(c, p).orderBy("place").collect()] == want
+
+
+def test_planned_retrieval_has_a_place_per_aspect_and_more(spark):
+    question = "RAG 有哪些分类、关键技术和瓶颈，如何评估？"
+    chunks = spark.createDataFrame([(f"c{i:02d}", f"d{i}", f"RAG 检索 评估 瓶颈 分类 {i}") for i in range(60)], "chunk_id string, source_id string, text string").withColumns({n: F.lit("retrieval") for n in ("title", "category", "heading_path")})
+    asked = spark.createDataFrame([("q", question)], "query_id string, question string")
+    assert planning.plan(asked).first().aspects and retrieval.planned_retrieve(asked, chunks).count() == 10
+
+
 def test_model_rerank_seam(spark):
     c = spark.createDataFrame([("q", "ask", "a", 0.1, "short"), ("q", "ask", "b", 0.2, "a longer text")], "query_id string, question string, chunk_id string, distance double, text string").withColumns({n: F.lit("x") for n in ("title", "category", "heading_path")})
     got = retrieval.model_rerank(c, lambda asked, documents: [float(len(d)) for d in documents]).orderBy("rank").collect()
