@@ -170,12 +170,7 @@ def i38(spark, d):
 
 @add("i37_lexical_similarity")
 def i37(spark, d):
-    """Of every question, the likeness to the one with the next lower id of its split."""
-    from pyspark.sql import Window
-
-    from siltstone.operators.dedupe import text_likeness
+    """Of every question, the likeness to the most alike of all questions with a lower id."""
     from siltstone.sources.inputs import questions
 
-    q = questions(spark, d).filter("question is not null").withColumn("bucket", F.substring("id", 1, 20))
-    before = F.lag("question").over(Window.partitionBy("bucket").orderBy("id"))
-    return q.withColumn("before", before).filter("before is not null").select("id", text_likeness("question", "before").alias("likeness"))
+    return dedupe.prior_likeness(questions(spark, d), "id", "question")

@@ -232,6 +232,23 @@ def test_planned_retrieval_has_a_place_per_aspect_and_more(spark):
     assert planning.plan(asked).first().aspects and retrieval.planned_retrieve(asked, chunks).count() == 10
 
 
+def test_most_alike_prior_question(spark):
+    import difflib
+    import random
+
+    rng = random.Random(5)
+    words = ["缓存", "召回率", "the index", "rerank", "Δx", "of 40 users", "?!", "Straße", "chunk size"]
+    texts = ["".join(rng.choices(words, k=rng.choice([1, 4, 9, 60]))) for _ in range(60)] + ["", "?!", "THE index"]
+    # Ids of one split whose first 20 characters are all of the id, and others that fall into other hundreds.
+    ids = [f"natural_dev_{n:08d}" for n in range(40)] + [f"natural_train_{n * 100:08d}" for n in range(23)]
+    even = [dedupe.evened(t) for t in texts]
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    want = {k: round(max((ratio(even[i], even[j]) for j in range(i)), default=0.0), 6) if even[i] else 0.0 for i, k in enumerate(ids)}
+    df = spark.createDataFrame(list(zip(ids, texts)) + [("z", None)], "id string, question string")
+    for blocks in ((1024, 8192), (16, 25)):
+        assert {r.id: r.likeness for r in dedupe.prior_likeness(df, "id", "question", *blocks).collect()} == want
+
+
 def test_model_rerank_seam(spark):
     c = spark.createDataFrame([("q", "ask", "a", 0.1, "short"), ("q", "ask", "b", 0.2, "a longer text")], "query_id string, question string, chunk_id string, distance double, text string").withColumns({n: F.lit("x") for n in ("title", "category", "heading_path")})
     got = retrieval.model_rerank(c, lambda asked, documents: [float(len(d)) for d in documents]).orderBy("rank").collect()
