@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
+from siltstone.operators import chunking
 
 VERSION_ID = r"^[A-Za-z0-9._-]+$"
 
@@ -46,6 +47,23 @@ def incremental_chunks(plan: DataFrame, previous_chunks: DataFrame, fresh_chunks
     return keep.unionByName(fresh_chunks.join(plan.filter("change_type in ('added', 'changed')").select(key), key, "left_semi"))
 
 
+def next_chunks(plan: DataFrame, previous_chunks: DataFrame, documents: DataFrame, recorded: DataFrame, key: str, text: str = "text", title: str = "title") -> DataFrame:
+    """The chunk rows of the next version: unchanged documents keep theirs, only added and changed ones are split.
+
+    recorded are the source_states (source_id = key) of the previous version; kept rows whose chunk ids aren't those
+    recorded raise ValueError. A document without text has no chunks in either.
+    """
+    unchanged = plan.filter("change_type = 'unchanged'").select(key)
+    kept = previous_chunks.join(unchanged, key, "left_semi")
+    actual = source_states(kept.select(F.col(key).alias("source_id"), F.col(key).alias("doc_id"), "chunk_id", "text_hash")).select(F.col("source_id").alias(key), F.col("ids_hash").alias("actual"))
+    states = unchanged.join(recorded.select(F.col("source_id").alias(key), F.col("ids_hash").alias("recorded")), key, "left").join(actual, key, "left")
+    if wrong := states.filter(~F.col("recorded").eqNullSafe(F.col("actual"))).select(key).limit(5).collect():
+        raise ValueError(f"previous chunks don't match the manifest: {sorted(r[0] for r in wrong)}")
+    renewed = documents.join(plan.filter("change_type in ('added', 'changed')").select(key), key, "left_semi")
+    fresh = chunking.split_documents(renewed, key, text, title)
+    return incremental_chunks(plan, kept.withColumn("origin", F.lit("kept")), fresh.withColumn("origin", F.lit("split")), key)
+
+
 def reuse(current: DataFrame, previous: DataFrame) -> DataFrame:
     """(chunk_id, reuse): whether an embedding exists for the same chunk and text, for the source's text, or none."""
     own = previous.select("chunk_id", F.col("text_hash")).distinct().withColumn("own", F.lit(True))

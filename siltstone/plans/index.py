@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import sql as S
 from siltstone.functions import text as T
 from siltstone.operators import fixed as X
-from siltstone.operators import memory, planning, safety, versions
+from siltstone.operators import chunking, memory, planning, safety, versions
 from siltstone.operators.snapshots import snapshot_states
 from siltstone.plans import retrieval as R
 from siltstone.plans.registry import Registry
@@ -59,6 +59,17 @@ def f04(spark, d):
     return made.groupBy("origin").agg(F.count(F.lit(1)).alias("documents"))
 
 
+@add("f04_chunks")
+def f04_chunks(spark, d):
+    """The chunk rows of the new version of F03's documents, from the chunks and source states of the old one."""
+    docs = table(spark, d, "documents").select("doc_id", "title", "text")
+    old = docs.filter("doc_id % 10 <> 0").withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit("!"))).otherwise(F.col("text")))
+    previous = chunking.split_documents(old, "doc_id", "text", "title")
+    recorded = versions.source_states(previous.withColumn("source_id", F.col("doc_id")))
+    made = versions.next_chunks(_delta(spark, d), previous, docs.filter("doc_id % 11 <> 0"), recorded, "doc_id")
+    return made.select("doc_id", "chunk_id", "chunk_index", "heading_path", "text_hash", "text", "origin")
+
+
 @add("f06_source_states", f"""WITH {S.CURRENT}, p AS (SELECT source_id, doc_id, count(*) AS n, sha256(string_agg(chunk_id, chr(10) ORDER BY chunk_id)) AS ids, sha256(string_agg(coalesce(text_hash, ''), chr(10) ORDER BY chunk_id)) AS texts FROM current GROUP BY 1, 2)
 SELECT source_id, CAST(sum(n) AS BIGINT) AS chunk_count, sha256(string_agg(ids, chr(10) ORDER BY doc_id)) AS ids_hash, sha256(string_agg(texts, chr(10) ORDER BY doc_id)) AS texts_hash FROM p GROUP BY source_id""")
 def f06(spark, d):

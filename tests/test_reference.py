@@ -249,6 +249,21 @@ def test_most_alike_prior_question(spark):
         assert {r.id: r.likeness for r in dedupe.prior_likeness(df, "id", "question", *blocks).collect()} == want
 
 
+def test_next_chunks_are_those_of_splitting_everything(spark):
+    page = lambda n: "\n".join(f"# H{i}\n" + f"words {n} {i} " * 60 for i in range(n))
+    before = spark.createDataFrame([(1, "a", page(1)), (2, "b", page(2)), (3, "c", page(3)), (5, "e", None)], "doc_id int, title string, text string")
+    after = spark.createDataFrame([(1, "a", page(1)), (2, "b", page(4)), (4, "d", page(2)), (5, "e", None)], "doc_id int, title string, text string")
+    plan = versions.delta_plan(before, after, "doc_id", "text")
+    split = lambda df: chunking.split_documents(df, "doc_id", "text", "title")
+    previous = split(before)
+    recorded = versions.source_states(previous.withColumn("source_id", F.col("doc_id")))
+    made = versions.next_chunks(plan, previous, after, recorded, "doc_id")
+    rows = lambda df: sorted((r.doc_id, r.chunk_id, r.text) for r in df.collect())
+    assert rows(made) == rows(split(after)) and {(r.doc_id, r.origin) for r in made.collect()} == {(1, "kept"), (2, "split"), (4, "split")}
+    with pytest.raises(ValueError, match="manifest"):
+        versions.next_chunks(plan, previous.filter("doc_id <> 1"), after, recorded, "doc_id")
+
+
 def test_model_rerank_seam(spark):
     c = spark.createDataFrame([("q", "ask", "a", 0.1, "short"), ("q", "ask", "b", 0.2, "a longer text")], "query_id string, question string, chunk_id string, distance double, text string").withColumns({n: F.lit("x") for n in ("title", "category", "heading_path")})
     got = retrieval.model_rerank(c, lambda asked, documents: [float(len(d)) for d in documents]).orderBy("rank").collect()
