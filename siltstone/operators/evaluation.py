@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,3 +129,39 @@ def stratified_sample(chunks: DataFrame, stratum: str, per: int, seed: int) -> D
     placed = chunks.withColumn("key", key).withColumn("nth", first)
     place = F.row_number().over(Window.partitionBy(stratum).orderBy(F.when(F.col("nth") == 1, 0).otherwise(1), "key"))
     return placed.withColumn("place", place).filter(F.col("place") <= per).select(stratum, "chunk_id", "place")
+
+
+def judgments_of(content: str | None, expected: list[str]) -> tuple[list[tuple[str, int, str]], str | None]:
+    """([(chunk_id, relevance, reason)] in the order of the request, problem) of a model's reply; rows only without a problem."""
+    text = (content or "").strip()
+    if text.startswith("```"):
+        lines = text.splitlines()[1:]
+        text = "\n".join(lines[:-1] if lines and lines[-1].strip() == "```" else lines).strip()
+    try:
+        payload = json.loads(text)
+    except json.JSONDecodeError:
+        return [], "not JSON"
+    if not isinstance(payload, dict) or not isinstance(payload.get("judgments"), list):
+        return [], "no judgments array"
+    if len(set(expected)) != len(expected):
+        return [], "request has duplicates"
+    seen: dict[str, tuple[str, int, str]] = {}
+    for item in payload["judgments"]:
+        if not isinstance(item, dict):
+            return [], "judgment is no object"
+        key, grade = str(item.get("chunk_id") or "").strip(), item.get("relevance")
+        if key not in expected:
+            return [], "unknown chunk_id"
+        if key in seen:
+            return [], "duplicate chunk_id"
+        if isinstance(grade, bool) or not isinstance(grade, int) or not 0 <= grade <= 3:
+            return [], "invalid relevance"
+        seen[key] = (key, grade, str(item.get("reason") or "").strip())
+    return ([], "omitted chunk_id") if len(seen) < len(expected) else ([seen[c] for c in expected], None)
+
+
+def parse_judgments(replies: DataFrame) -> DataFrame:
+    """(query_id, place, chunk_id, relevance, reason, problem) of (query_id, content, expected): rejected replies give one row with the problem."""
+    kind = "struct<rows: array<struct<chunk_id: string, relevance: int, reason: string>>, problem: string>"
+    parsed = replies.select("query_id", F.udf(judgments_of, kind, useArrow=True)("content", "expected").alias("p"))
+    return parsed.select("query_id", "p.problem", F.posexplode_outer("p.rows").alias("at", "r")).select("query_id", (F.col("at") + 1).alias("place"), "r.*", "problem")

@@ -181,3 +181,19 @@ def run_specs(plans: DataFrame, conservative: bool = False) -> DataFrame:
     numbered = first.withColumn("run_ord", F.row_number().over(Window.partitionBy("query_id").orderBy("at")))
     share = F.round(total / F.count(F.lit(1)).over(Window.partitionBy("query_id", "run_group")), 6)
     return numbered.withColumn("weight", share).select("query_id", "run_ord", "query", "category", "aspect", "run_group", "weight")
+
+
+def legacy_run_specs(plans: DataFrame) -> DataFrame:
+    """(query_id, run_ord, query, category, aspect, run_group, weight): each aspect and sub-query, alone and per category.
+
+    Runs aren't told apart and all weigh 1.
+    """
+
+    def spec(query: Column, category: Column, aspect: Column, group: str) -> Column:
+        return F.struct(T.strip(query).alias("query"), category.cast("string").alias("category"), aspect.cast("string").alias("aspect"), F.lit(group).alias("run_group"))
+
+    none = F.lit(None)
+    per_aspect = F.flatten(F.transform("aspects", lambda a: F.concat(F.array(spec(a["search"], none, a["name"], "global_expansion")), F.transform(F.slice(a["categories"], 1, 8), lambda c: spec(a["search"], c, a["name"], "filtered_expansion")))))
+    per_sub = F.flatten(F.transform("sub_queries", lambda s: F.concat(F.array(spec(s, none, none, "global_expansion")), F.transform("categories", lambda c: spec(s, c, none, "filtered_expansion")))))
+    rows = plans.select("query_id", F.posexplode(F.concat(per_aspect, per_sub)).alias("at", "r"))
+    return rows.select("query_id", (F.col("at") + 1).alias("run_ord"), "r.*", F.lit(1.0).alias("weight"))

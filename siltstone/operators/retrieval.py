@@ -65,6 +65,21 @@ def planned_retrieve(questions: DataFrame, chunks: DataFrame, k: int = 7, pool:
     return boosted.select("query_id", "chunk_id", "score", "aspect").join(chosen, ["query_id", "chunk_id"]).withColumnRenamed("place", "rank")
 
 
+def legacy_retrieve(questions: DataFrame, chunks: DataFrame, k: int = 7, pool: int = 16) -> DataFrame:
+    """(query_id, chunk_id, score, aspect, rank): unweighted fusion of all aspect and sub-query runs, boosts of 0.24, plan coverage.
+
+    Runs of an aspect within a category are half as deep as the others.
+    """
+    plans = cut(plan_limits(planning.plan(questions), k, pool).select("query_id", "aspects", "categories", "sub_queries", "k", "pool"))
+    specs = planning.legacy_run_specs(plans).join(plans.select("query_id", "pool"), "query_id")
+    half = F.greatest(F.lit(3), F.floor(F.col("pool") / 2).cast("int"))
+    depth = F.when(F.col("aspect").isNotNull() & F.col("category").isNotNull(), half).otherwise(F.col("pool"))
+    fused = fuse_runs(cut(specs.withColumn("depth", depth).drop("pool")), chunks, deepest(k, pool))
+    boosted = boost_fused(fused, chunks, 0.24)
+    chosen = cover_plan(boosted, plans, None, by_rank=True)
+    return boosted.select("query_id", "chunk_id", "score", "aspect").join(chosen, ["query_id", "chunk_id"]).withColumnRenamed("place", "rank")
+
+
 def plan_limits(plans: DataFrame, k: int, pool: int, conservative: bool = False) -> DataFrame:
     """Adds k, pool and slots: plans with aspects (conservative: two or more) get more places, deeper runs, coverage."""
     n = F.size("aspects")
@@ -140,20 +155,22 @@ def cover_plan_bounded(candidates: DataFrame, plans: DataFrame) -> DataFrame:
     return joined.groupBy("query_id").applyInPandas(select, "query_id string, chunk_id string, place int")
 
 
-def cover_plan(candidates: DataFrame, plans: DataFrame, k: int) -> DataFrame:
+def cover_plan(candidates: DataFrame, plans: DataFrame, k: int | None, by_rank: bool = False) -> DataFrame:
     """(query_id, chunk_id, place): coverage of a plan's aspects and categories, then by rank.
 
     First one candidate per aspect, from its own categories if there is one; then more from other sources up to the
     number the aspect should have; then categories in order of priority; then by rank. Selection depends on what was
-    selected before, so it runs per query over its candidates, of which there are at most a few dozen.
+    selected before, so it runs per query over its candidates, of which there are at most a few hundred. With by_rank
+    an aspect takes the best of all its categories, not of the first that has one, and a plan without aspects keeps
+    rank 1, then covers its categories in order, as the reference does. k is that of the plan where None is given.
     """
-    aspects = plans.select("query_id", F.transform("aspects", lambda a: F.struct(a["name"].alias("name"), a["categories"].alias("categories"))).alias("aspects"), "categories")
+    aspects = plans.select("query_id", F.transform("aspects", lambda a: F.struct(a["name"].alias("name"), a["categories"].alias("categories"))).alias("aspects"), "categories", (F.col("k") if k is None else F.lit(k)).alias("k"))
     joined = candidates.select("query_id", "chunk_id", "rank", "aspect", "category", "source_id").join(aspects.withColumnRenamed("categories", "plan_categories"), "query_id")
 
     def select(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values("rank").to_dict("records")
         wanted = [(a["name"], list(a["categories"])) for a in rows[0]["aspects"]]
-        chosen: list[dict] = []
+        k, chosen = int(rows[0]["k"]), []
 
         def take(test) -> bool:
             row = next((r for r in rows if r not in chosen and test(r)), None) if len(chosen) < k else None
@@ -162,9 +179,9 @@ def cover_plan(candidates: DataFrame, plans: DataFrame, k: int) -> DataFrame:
             return row is not None
 
         def best(name: str, categories: list[str], barred: set) -> bool:
-            narrow = categories if name == "classification" else [c for c in categories if c not in ("RAG overview", "RAG paper")] or categories
-            for c in narrow:
-                if take(lambda r: r["aspect"] == name and r["category"] == c and r["source_id"] not in barred):
+            narrow = preferred(name, categories)
+            for group in [narrow] if by_rank else [[c] for c in narrow]:
+                if take(lambda r: r["aspect"] == name and r["category"] in group and r["source_id"] not in barred):
                     return True
             return take(lambda r: r["aspect"] == name and r["source_id"] not in barred)
 
@@ -175,7 +192,9 @@ def cover_plan(candidates: DataFrame, plans: DataFrame, k: int) -> DataFrame:
                 if not best(name, categories, {r["source_id"] for r in chosen if r["aspect"] == name}):
                     break
         asked = set(rows[0]["plan_categories"]) | {c for _, cs in wanted for c in cs}
-        for category in X.CATEGORY_PRIORITY:
+        if by_rank and not wanted:
+            take(lambda r: True)
+        for category in X.CATEGORY_PRIORITY if wanted or not by_rank else rows[0]["plan_categories"]:
             if category in asked and all(r["category"] != category for r in chosen):
                 take(lambda r: r["category"] == category)
         while take(lambda r: True):

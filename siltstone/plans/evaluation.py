@@ -108,6 +108,16 @@ def i12(spark, d):
     return table(spark, d, "qrels").groupBy(p.alias("problem")).agg(F.count(F.lit(1)).alias("rows"))
 
 
+@add("i12_parsed_judgments")
+def i12_parsed(spark, d):
+    """The replies that spot_audit's judgments make, every other one in a code fence, parsed against their requests."""
+    a = table(spark, d, "spot_audit").filter("query_id is not null and chunk_id is not null")
+    item = F.struct("chunk_id", F.col("llm_relevance").alias("relevance"), F.col("rationale").alias("reason"))
+    r = a.groupBy("query_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(item)).alias("judgments"))).alias("content"), F.reverse(F.array_sort(F.collect_set("chunk_id"))).alias("expected"))
+    fenced = F.when(F.pmod(F.xxhash64("query_id"), F.lit(2)) == 0, F.concat(F.lit("```json\n"), "content", F.lit("\n```"))).otherwise(F.col("content"))
+    return E.parse_judgments(r.withColumn("content", fenced))
+
+
 _AGREE = "count(*) AS pairs, count(*) FILTER (a = b) AS exact, count(*) FILTER (abs(a - b) <= 1) AS within_one, count(*) FILTER (abs(a - b) >= 2) AS severe, round(count(*) FILTER (a = b) / count(*), 4) AS exact_rate, round(count(*) FILTER (abs(a - b) <= 1) / count(*), 4) AS within_one_rate, round(count(*) FILTER (abs(a - b) >= 2) / count(*), 4) AS severe_rate"
 
 

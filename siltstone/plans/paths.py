@@ -44,6 +44,11 @@ def e02_conservative(spark, d):
     return retrieval.planned_retrieve(asked(spark, d), current_chunks(spark, d), conservative=True).select("query_id", "chunk_id", "rank")
 
 
+@add("e01_legacy_retrieval")
+def e01(spark, d):
+    return retrieval.legacy_retrieve(asked(spark, d), current_chunks(spark, d)).select("query_id", "chunk_id", "rank")
+
+
 @add("c20_direct_lexical")
 def c20(spark, d):
     return retrieval.direct_retrieve(asked(spark, d), current_chunks(spark, d)).select("query_id", "chunk_id", "rank", "score")

@@ -264,6 +264,35 @@ def test_next_chunks_are_those_of_splitting_everything(spark):
         versions.next_chunks(plan, previous.filter("doc_id <> 1"), after, recorded, "doc_id")
 
 
+def test_legacy_retrieval(spark):
+    asked = spark.createDataFrame([("q", "RAG 有哪些分类、关键技术和瓶颈，如何评估？")], "query_id string, question string")
+    plans = planning.plan(asked)
+    p = plans.first()
+    runs = planning.legacy_run_specs(plans).orderBy("run_ord").collect()
+    want = [(a.search, c, a.name) for a in p.aspects for c in [None, *a.categories[:8]]] + [(s, c, None) for s in p.sub_queries for c in [None, *p.categories]]
+    assert [(r.query, r.category, r.aspect) for r in runs] == want and {r.weight for r in runs} == {1.0}
+    chunks = spark.createDataFrame([(f"c{i:02d}", f"d{i}", f"RAG 检索 评估 瓶颈 分类 {i}") for i in range(60)], "chunk_id string, source_id string, text string").withColumns({n: F.lit("retrieval") for n in ("title", "category", "heading_path")})
+    assert retrieval.legacy_retrieve(asked, chunks).count() == 10
+
+
+def test_plan_coverage_without_aspects_and_by_rank(spark):
+    c = spark.createDataFrame([("q", f"c{i}", i, a, k, f"s{i}") for i, (a, k) in enumerate([(None, "x"), (None, "y"), ("techniques", "retrieval"), ("techniques", "chunking")], 1)], "query_id string, chunk_id string, rank int, aspect string, category string, source_id string")
+    kind = "query_id string, aspects array<struct<name string, categories array<string>>>, categories array<string>, k int"
+    for aspects, categories, want in (([], ["chunking", "y"], ["c1", "c4"]), ([("techniques", ["chunking", "retrieval"])], [], ["c3", "c4"])):
+        p = spark.createDataFrame([("q", aspects, categories, 2)], kind)
+        assert [r.chunk_id for r in retrieval.cover_plan(c, p, None, by_rank=True).orderBy("place").collect()] == want
+
+
+def test_judgment_replies():
+    reply = lambda *rows: json.dumps({"judgments": [dict(zip(("chunk_id", "relevance", "reason"), r)) for r in rows]})
+    good = reply(("b", 0, " no "), ("a", 3))
+    for content in (good, f"```json\n{good}\n```"):
+        assert evaluation.judgments_of(content, ["a", "b"]) == ([("a", 3, ""), ("b", 0, "no")], None)
+    bad = {"oops": "not JSON", "[]": "no judgments array", reply(("c", 1)): "unknown chunk_id", reply(("a", 1), ("a", 1)): "duplicate chunk_id", reply(("a", True)): "invalid relevance", reply(("a", 4)): "invalid relevance", reply(("a", 1)): "omitted chunk_id", '{"judgments": [1]}': "judgment is no object"}
+    assert {k: evaluation.judgments_of(k, ["a", "b"]) for k in bad} == {k: ([], v) for k, v in bad.items()}
+    assert evaluation.judgments_of(good, ["a", "a"])[1] == "request has duplicates"
+
+
 def test_model_rerank_seam(spark):
     c = spark.createDataFrame([("q", "ask", "a", 0.1, "short"), ("q", "ask", "b", 0.2, "a longer text")], "query_id string, question string, chunk_id string, distance double, text string").withColumns({n: F.lit("x") for n in ("title", "category", "heading_path")})
     got = retrieval.model_rerank(c, lambda asked, documents: [float(len(d)) for d in documents]).orderBy("rank").collect()
