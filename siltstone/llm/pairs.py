@@ -250,13 +250,17 @@ def refusal_openings(turns: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(shingles, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], names=["opening", "shingles", "bands"])
 
     signed = classes.select("opening").mapInArrow(sign, "opening string, shingles array<bigint>, bands array<bigint>").join(classes, "opening")
-    # Only clusters that hold a declining opening can pass, so one side of the meeting are those.
-    declined = signed.filter("declined > 0").select(F.col("opening").alias("near"), F.col("shingles").alias("theirs"), F.explode("bands").alias("band"))
-    met = signed.select("opening", "shingles", F.explode("bands").alias("band")).join(declined, "band").dropDuplicates(["opening", "near"])
-    shared = F.size(F.array_intersect("shingles", "theirs"))
-    alike = met.filter((F.col("opening") != F.col("near")) & (shared / (F.size("shingles") + F.size("theirs") - shared) >= SIMILARITY)).select("opening", "near")
-    edges = alike.unionByName(alike.select(F.col("near").alias("opening"), F.col("opening").alias("near"))).distinct()
-    own = classes.select("opening", F.col("opening").alias("near")).unionByName(edges)
+    def alike(some: DataFrame, others: DataFrame) -> DataFrame:
+        theirs = others.select(F.col("opening").alias("near"), F.col("shingles").alias("theirs"), F.explode("bands").alias("band"))
+        met = some.select("opening", "shingles", F.explode("bands").alias("band")).join(theirs, "band").dropDuplicates(["opening", "near"])
+        shared = F.size(F.array_intersect("shingles", "theirs"))
+        return met.filter((F.col("opening") != F.col("near")) & (shared / (F.size("shingles") + F.size("theirs") - shared) >= SIMILARITY)).select("opening", "near")
+
+    # Only clusters that hold a declining opening can pass; those are found first, then joined with all alike openings.
+    declining = signed.filter("declined > 0")
+    holding = cut(alike(signed, declining).select("opening").unionByName(declining.select("opening")).distinct())
+    edges = alike(signed.join(holding, "opening", "left_semi"), signed)
+    own = holding.select("opening", F.col("opening").alias("near")).unionByName(edges)
     counts = classes.withColumnRenamed("opening", "near")
     clusters = own.join(counts, "near").groupBy("opening").agg(F.sum("prompts").alias("prompts"), F.sum("declined").alias("declined"))
     return clusters.filter((F.col("prompts") >= PROMPTS) & (F.col("declined") >= DECLINED * F.col("prompts"))).select("opening")

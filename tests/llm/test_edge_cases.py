@@ -149,3 +149,13 @@ def test_budget_rollup_cases(spark):
     assert found[("documents", None, None, None)] == (3, 4 + 0 + 3)
     assert found[("documents", "s1", "en", "vector db")] == (1, 4) and found[("documents", "unknown", None, None)] == (2, 3)
     assert found[("chunks", None, None, None)] == (1, 2)
+
+
+def test_refusal_clusters_count_all_alike_openings(spark, monkeypatch):
+    words = [f"w{i}" for i in range(40)]
+    u, d, u2 = " ".join(words), " ".join(words[:-1] + ["x"]), " ".join(words[:-1] + ["y"])
+    rows = [(u, 1, 0), (d, 2, 2), (u2, 10, 0)]
+    monkeypatch.setattr(pairs, "opening_classes", lambda turns: spark.createDataFrame(rows, "opening string, prompts long, declined long"))
+    assert pairs.refusal_openings(None).collect() == []
+    rows[2] = (u2, 1, 0)
+    assert {r.opening for r in pairs.refusal_openings(None).collect()} == {u, d, u2}
