@@ -24,27 +24,34 @@ LATIN = re.compile(r"[a-zà-öø-ÿœ]+")
 IDEOGRAPH = re.compile(r"[一-鿿]")
 KANA = re.compile(r"[぀-ヿ]")
 OTHER = {"ko": re.compile(r"[가-힯]"), "ru": re.compile(r"[Ѐ-ӿ]"), "ar": re.compile(r"[؀-ۿ]"), "hi": re.compile(r"[ऀ-ॿ]")}
-#: Names in CamelCase or Name-Name say nothing about the language.
-NAMES = re.compile(r"\b[A-Z][a-z]+(?:[A-Z][A-Za-z]+)+\b|\b[A-Z][a-z]+-[A-Z][a-z]+\b")
+#: A capitalised word with a further capital or a hyphen inside is a name and says nothing about the language.
+NAMES = re.compile(r"\b[A-Z][A-Za-z]*(?:-[A-Z]|[A-Z])[A-Za-z]*\b")
 CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|`[^`\n]+`|https?://\S+", re.S)
 
 
+def has_code(text: str) -> bool:
+    """Whether CODE can match; plain searches are far cheaper."""
+    return "`" in text or "~~~" in text or "://" in text
+
+
 def language_scores(text: str) -> dict[str, float]:
     """Evidence per language; ideographs count for zh at half a word each."""
-    bare = NAMES.sub(" ", CODE.sub(" ", text))
+    bare = NAMES.sub(" ", CODE.sub(" ", text) if has_code(text) else text)
     scores: dict[str, float] = {}
-    ideographs = len(IDEOGRAPH.findall(bare))
+    wide = not bare.isascii()
+    ideographs = len(IDEOGRAPH.findall(bare)) if wide else 0
     if ideographs:
         kana = len(KANA.findall(bare))
         scores["ja" if kana * 5 > ideographs else "zh"] = (ideographs + kana) / 2
-    for language, script in OTHER.items():
+    for language, script in OTHER.items() if wide else ():
         if n := len(script.findall(bare)):
             scores[language] = n / 3
     low = bare.lower()
     for word in LATIN.findall(low):
-        for language, weight in WEIGHTS.get(word, {}).items():
-            scores[language] = scores.get(language, 0.0) + weight
-    for language, letters in LETTERS.items():
+        if word in WEIGHTS:
+            for language, weight in WEIGHTS[word].items():
+                scores[language] = scores.get(language, 0.0) + weight
+    for language, letters in LETTERS.items() if wide else ():
         if n := sum(low.count(c) for c in letters):
             scores[language] = scores.get(language, 0.0) + n / 2
     return scores

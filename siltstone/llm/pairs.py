@@ -1,8 +1,9 @@
 """Broken prompt and response pairs: empty, copied, refused, foreign and truncated answers.
 
-Openings of answers, with names and figures masked, are clustered by verified MinHash over all turns. A template
-that opens answers to several unrelated prompts and declines in at least half of them marks a refusal, whatever
-its wording; the grammar of declining, and checks of copying, language and termination label the rest.
+Openings of answers, with names and figures masked, are clustered by verified MinHash over all turns. What marks a
+refusal is the cluster, not the answer: its openings recur over unrelated prompts, and the answers that begin with
+them are reluctant, or go on as reluctant answers do. An answer that opens with such a template and says nothing
+else is a refusal; checks of copying, language and termination label the remaining defects.
 """
 
 from __future__ import annotations
@@ -10,56 +11,56 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.language import CODE, language_of, language_scores
+from siltstone.llm.language import CODE, has_code, language_of, language_scores
 from siltstone.session import cut
 from siltstone.sources.tables import latest
 
-OPENING_TOKENS = 16
+#: Words or ideographs of an opening.
+LONG = 16
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 16, 4
-#: A template of refusals opens answers to at least so many different prompts, and declines in this share of them.
-PROMPTS, DECLINED = 3, 0.5
+BANDS, ROWS = 10, 3
+#: A template opens answers to PROMPTS unrelated prompts, and this share of them is reluctant; or in REVEALED of them, and in
+#: that share, answers go on as reluctant ones do.
+PROMPTS, RELUCTANT_SHARE, REVEALED, REVEALED_SHARE = 2, 0.5, 3, 0.1
+#: Code points that an answer may hold beside its opening and closing sentences and still say nothing else.
+BESIDE = 12
 
 INVISIBLE = re.compile(r"[\s­​-‏‪-‮⁠-⁤﻿]+")
-PROJECT = re.compile(r"[A-Z][a-z]+-[A-Z][a-z]+")
-CAMEL = re.compile(r"\b[A-Z][a-z]+(?:[A-Z][A-Za-z]*)+\b")
+#: A capitalised word with a further capital or a hyphen inside is taken for a name.
+NAME = re.compile(r"\b[A-Z][A-Za-z]*(?:-[A-Z]|[A-Z])[A-Za-z]*\b")
+TOKEN = re.compile(r"\d+|[一-鿿]|[^\W\d_一-鿿]+(?:['’][^\W\d_一-鿿]+)*")
 # Stand-ins for an answer, and labels without one.
 STAND_IN = re.compile(
     r"""(?:\(?\ *(?:no\ answer|no\ response|empty|none|null|nil|nan|n\.?/?a\.?|undefined|blank|tbd|todo|missing|not\ available|leer|keine\ antwort|aucune\ réponse|sin\ respuesta|vide|vacío)\ *\)?|<\ *(?:empty|none|null|blank|no\ answer)\ *>|无|暂无|空|没有回答|无回答|（无）|（空）|暂无回答
     |\{\}|\[\]|\(\)|""|''|(?:answer|response|reply|a|assistant|antwort|réponse|reponse|respuesta|sources?|references?|quellen|fuentes|回答|答案|答|回复|来源|参考)\s*[:：]?)""",
     re.X | re.I,
 )
+#: More letters than any stand-in or label has.
+WORDY = re.compile(r"(?:\w\W*){60}")
 SOURCES = re.compile(r"(?:^|\n)\s*(?:sources?|references?|quellen|fuentes|来源|参考)\s*[:：]\s*(?:\n\s*\[\d+\][^\n]*)*\s*\Z", re.I)
-ABLE = r"(?:answer|assist|help|respond|discuss|comment|advise|give|provide|go\ into|talk|share|support|handle|process|offer|say|speak|do\ that|comply|continue|engage|cover|address|take\ (?:this|that)|weigh\ in|pass)"
-# How an answer declines.
-DECLINES = re.compile(
-    rf"""\b(?:I|we)(?:'m|’m|\ am|\ are|'re|’re)?\ (?:\w+\ ){{0,3}}?(?:not|un)\ ?(?:able|allowed|permitted|in\ a\ position|authori[sz]ed|comfortable|supposed|free|willing|going)\b(?:\ to)?
-    |\b(?:I|we)\ (?:really\ )?(?:can(?:not|'t|’t|\ not)|won(?:'t|’t)|will\ not|would\ not|could\ not|may\ not|must\ not|do\ not|don(?:'t|’t))\ (?:be\ able\ to\b|(?:\w+\ ){{0,2}}?{ABLE}\b)
-    |\bI\ (?:must|have\ to|need\ to|would\ rather|'d\ rather|will|prefer\ to|’d\ rather)\ (?:respectfully\ |politely\ )?(?:decline|pass|refuse|not|refrain)|\b(?:outside|beyond)\ (?:of\ )?(?:what|the\ scope|my)\b|\bdecline\ (?:this|that|to)|\bsomething\ I\ (?:cannot|can't|can’t|am\ not|may\ not)
-    |\bnot\ something\ I\ (?:can|may)|\bI\ am\ afraid\ I|\b(?:goes|is)\ against\ my
-    |(?:我|恕|本人|作为助手|抱歉|对不起|很遗憾|不好意思)[^。，！]{{0,8}}(?:无法|不能|不便|没办法|不可以|不方便|不会|拒绝|不予)[^。]{{0,12}}(?:回答|协助|帮助|讨论|提供|处理|作答|建议|回应|谈|请求|问题|评论)|超出了?我?[^。]{{0,6}}(?:可以|能够?)?(?:回答|讨论)?的?范围|还是不谈|恕我(?:不能|无法|不便|难以)|无可奉告|不便(?:就此|讨论|回答|透露)|(?:不能|无法|不便)就此(?:作答|给出|回答)
-    |kann\ (?:ich\ )?(?:\w+\ ){{0,3}}nicht\ (?:helfen|beantworten|weiterhelfen|dienen)|nicht\ (?:beantworten|helfen|weiterhelfen)\b|darf\ ich\ (?:\w+\ ){{0,3}}nicht|ich\ (?:kann|darf|möchte)\ (?:\w+\ ){{0,4}}(?:nicht|keine)|muss\ ich\ ablehnen
-    |ne\ (?:suis|peux|puis|souhaite|pourrai)\ pas|ne\ m'est\ pas\ possible|pas\ en\ mesure|pas\ autorisé|impossible\ de\ (?:répondre|vous)|dois\ (?:décliner|refuser)
-    |no\ puedo\b|no\ me\ es\ posible|no\ estoy\ (?:en\ condiciones|autorizad)|no\ tengo\ permi|no\ se\ me\ permite|debo\ (?:declinar|rechazar)|prefiero\ no""",
+# Who speaks (or what was asked) followed by a negation. Alone it decides nothing.
+RELUCTANT = re.compile(
+    r"""\b(?:I|we|my|this\ request|this\ question)\b[^.!?\n]*?\b(?:not|cannot|can['’]t|won['’]t|don['’]t|unable|decline|refuse|pass|outside|beyond)\b
+    |(?:我|恕|这个请求)[^。！？\n]*?(?:无法|不能|不便|没办法|不可以|不会|拒绝|不谈|范围)
+    |\bich\b[^.!?\n]*?\b(?:nicht|keine|ablehnen)\b|\bnicht\b[^.!?\n]*?\bich\b
+    |\b(?:je\b|me\b|m['’])[^.!?\n]*?\b(?:pas|refuser|décliner)\b
+    |\bno\ (?:puedo|me|estoy|tengo|se\ me)\b|\bdebo\ (?:declinar|rechazar)\b""",
     re.X | re.I,
 )
-FOLLOWS = re.compile(
-    r"""please\ (?:ask|try|choose|contact|consult|rephrase|understand)|feel\ free|ask\ me\ (?:anything|something)|anything\ else|another\ (?:topic|question)|thank\ you|thanks\ for|^(?:sorry|i\ apologi[sz]e|apologies|my\ apologies|unfortunately|regrettably)\W*$|i\ understand
-    |请(?:换|谅解|理解|另|咨询|重新|尝试)|欢迎(?:继续)?(?:提问|咨询)|如果?(?:还)?有其他问题|感谢(?:提问|理解)|^(?:抱歉|对不起|很遗憾|不好意思)\W*$|多谢理解|bitte\ (?:fragen|stellen|wenden)|andere\ frage|tut\ mir\ leid|entschuldig|désolé|autre\ (?:question|sujet)|n'hésitez|lo\ siento|otra\ (?:pregunta|cosa)|disculp""",
-    re.X | re.I,
-)
-#: A gap admitted about one thing, after which an answer may go on.
 SENTENCES = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*|\n+")
 ENDED = re.compile(r"[.!?。！？…][\"'”’」』）)\]*_`]*$|[)）\]】」』”\"`][.!?。！？]?$")
 CITED = re.compile(r"(?:\s*\[\d+(?:\s*[,-]\s*\d+)*\]|\s*[\U0001F300-\U0001FAFF☀-➿️‍]+)+$")
 ITEM = re.compile(r"^\s*(?:[-*+•]|\d{1,3}[.)、])\s")
+BARE_ITEM = re.compile(r"\n\s*(?:[-*+•]|\d{1,3}[.)、])\s*\Z")
 SETTING = re.compile(r"^\s*[\w.\-]+\s*[=:]\s*\S+$")
 ASKED = {
     "en": re.compile(r"\b(?:in|into)\ english|英文|英语|auf\ englisch|en\ anglais|en\ inglés", re.X | re.I),
@@ -69,18 +70,25 @@ ASKED = {
     "zh": re.compile(r"\b(?:in|into)\ (?:simplified\ |traditional\ )?(?:chinese|mandarin)|中文|汉语|auf\ chinesisch|en\ chinois|en\ chino", re.X | re.I),
 }
 OPENERS = re.compile(r"^(?:sure|of course|certainly|okay|ok|yes|no|好的|当然|可以|没问题|natürlich|gern|bien sûr|claro|por supuesto)\s*[!,.，。！:：]\s*", re.I)
+WIDE = re.compile("[\u2e81-\U0010ffff]")
+FIGURE = re.compile(r"\d+(?:[.,]\d+)*")
+QUOTED = re.compile(r"^\s*>[^\n]*\n+")
+SETTINGS = re.compile(r"(?m)^[\w.\-]+[ \t]*[=:][ \t]*\S+[ \t]*$")
+LABELLED = re.compile(r"^\s*(?:>+\s?)|^\s*(?:question|frage|pregunta|user|q|问题|问|提问)\s*[:：]\s*", re.I | re.M)
 
 
 def squeeze(text: str) -> str:
     """Letters and digits only, compatibility forms undone, case folded."""
-    return "".join(c for c in unicodedata.normalize("NFKC", text).casefold() if c.isalnum())
+    return re.sub(r"[\W_]+", "", (text if text.isascii() else unicodedata.normalize("NFKC", text)).casefold())
 
 
 def is_empty(answer: str | None) -> bool:
     if answer is None:
         return True
-    bare = INVISIBLE.sub(" ", answer).strip()
     core = SOURCES.sub("", answer.strip())
+    if WORDY.match(core):
+        return False
+    bare = INVISIBLE.sub(" ", answer).strip()
     core = INVISIBLE.sub(" ", re.sub(r"```\w*\s*```|~~~\w*\s*~~~", " ", core)).strip()
     core = core.strip(" .。…-–—_*#>`~,，;；!！?？|/\\\"'")
     return not core or not bare or bool(STAND_IN.fullmatch(core) or STAND_IN.fullmatch(bare))
@@ -90,15 +98,17 @@ def is_copy(question: str | None, answer: str) -> bool:
     """Nothing but the question, apart from writing, labels and quotation."""
     if not question:
         return False
-    body = re.sub(r"^\s*(?:>+\s?)|^\s*(?:question|frage|pregunta|user|q|问题|问|提问)\s*[:：]\s*", "", answer, flags=re.I | re.M)
-    q, a = squeeze(question), squeeze(body)
+    q, a = squeeze(question), squeeze(LABELLED.sub("", answer))
     if not a or not q:
         return False
     if a in q and len(a) >= 0.4 * len(q):
         return True
     if len(a) < 0.4 * len(q) or len(a) < 8:
         return False
-    n = 2 if sum(ord(c) > 0x2E80 for c in a) > len(a) // 3 else 3
+    n = 2 if not a.isascii() and len(WIDE.findall(a)) > len(a) // 3 else 3
+    # A copy has its grams in the question wherever one looks: at half of twelve places at least.
+    if sum(a[at : at + n] in q for at in range(0, len(a) - n + 1, max(1, (len(a) - n + 1) // 12))) < 6:
+        return False
     grams = {q[i : i + n] for i in range(len(q) - n + 1)}
     known = [a[i : i + n] in grams for i in range(len(a) - n + 1)]
     if not known or sum(known) < 0.75 * len(known):
@@ -112,37 +122,17 @@ def is_copy(question: str | None, answer: str) -> bool:
     return longest <= 10
 
 
-def declining(answer: str) -> tuple[bool, int]:
-    """(whether a sentence declines, code points of sentences that neither decline nor politely follow).
-
-    Counting ends beyond 80, where no answer is a refusal any more.
-    """
-    bare = CITED.sub("", answer.strip())
-    declines, rest = False, 0
-    for sentence in SENTENCES.split(bare):
-        sentence = sentence.strip()
-        if not sentence:
-            continue
-        if DECLINES.search(sentence):
-            declines = True
-        elif not FOLLOWS.search(sentence):
-            rest += len(sentence)
-            if rest > 80:  # says more than any refusal does
-                break
-    return declines, rest
-
-
 def is_foreign(question: str | None, answer: str) -> bool:
     """In a language that is neither the question's nor asked for in it; code and names don't count."""
     if not question:
         return False
-    body = re.sub(r"^\s*>[^\n]*\n+", "", answer)
-    body = OPENERS.sub("", PROJECT.sub(" ", SOURCES.sub("", body)).strip())
-    body = re.sub(r"(?m)^\s*(?:[\w.\-]+\s*[=:]\s*\S+)\s*$", " ", CODE.sub(" ", body))
-    asked = PROJECT.sub(" ", question)
-    theirs = language_of(asked)
-    scores = language_scores(body)
-    if not scores or theirs is None:
+    theirs = language_of(question)
+    if theirs is None:
+        return False
+    body = SOURCES.sub("", QUOTED.sub("", answer)) if "\n" in answer else answer
+    body = OPENERS.sub("", body.strip())
+    scores = language_scores(SETTINGS.sub(" ", body) if "\n" in body else body)
+    if not scores:
         return False
     best = max(scores, key=lambda k: (scores[k], k))
     if best == theirs or scores[best] < 2.5 or scores.get(theirs, 0.0) * 2 > scores[best]:
@@ -151,15 +141,17 @@ def is_foreign(question: str | None, answer: str) -> bool:
 
 
 def is_truncated(answer: str) -> bool:
-    """Breaks off: an open code block, an open bracket, or a last line of prose without an end."""
+    """Breaks off: an open code block or bracket, an item without content, or a last line of prose without an end."""
     text = answer.strip()
-    if len(re.findall(r"(?m)^\s*```", text)) % 2 or len(re.findall(r"(?m)^\s*~~~", text)) % 2:
+    if ("```" in text or "~~~" in text) and any(len(re.findall(rf"(?m)^\s*{mark}", text)) % 2 for mark in ("```", "~~~")):
         return True
-    if re.search(r"(?m)^\s*(?:```|~~~)\s*\Z", text):
+    if text.endswith(("```", "~~~")) and re.search(r"(?m)^\s*(?:```|~~~)\Z", text):
         return False
     tail = SOURCES.sub("", text).rstrip() or text
+    if BARE_ITEM.search(tail):
+        return True
     last = tail.split("\n")[-1].strip()
-    bare = CITED.sub("", last).strip()
+    bare = bare_end(last).rstrip()
     if not bare:
         return False
     if re.search(r"https?://\S+$", bare):
@@ -168,6 +160,9 @@ def is_truncated(answer: str) -> bool:
         return True
     if bare.count("(") > bare.count(")") or bare.count("（") > bare.count("）"):
         return True
+    # A point after a figure in a text whose sentences end in an ideographic stop is a decimal point.
+    if re.search(r"[一-鿿] ?\d+\.$", bare):
+        return True
     if ENDED.search(bare):
         return False
     if ITEM.match(last):
@@ -181,24 +176,74 @@ def is_truncated(answer: str) -> bool:
     return prose > 6
 
 
-def defect_of(question: str | None, answer: str | None, template: bool = False) -> str | None:
-    """empty, copy, refusal, other_language, truncated or None; the first that holds in that order."""
+def defect_of(question: str | None, answer: str | None) -> str | None:
+    """empty, copy, other_language, truncated or None; the first that holds. Refusals are told by their clusters only."""
     if is_empty(answer):
         return "empty"
     if is_copy(question, answer):
         return "copy"
-    declines, rest = declining(answer)
-    if (declines and rest <= 12) or (template and rest <= 80 and not CODE.search(answer)):
-        return "refusal"
     if is_foreign(question, answer):
         return "other_language"
     return "truncated" if is_truncated(answer) else None
 
 
-def opening_tokens(answer: str) -> list[str]:
-    """The first words (or ideographs) with names and figures masked."""
-    text = CAMEL.sub(" name ", PROJECT.sub(" name ", answer.strip()[:2000]))
-    return re.findall(r"[^\W\d_一-鿿]+|\d+|[一-鿿]", re.sub(r"\d+(?:\.\d+)?", "0", text.lower()))[:OPENING_TOKENS]
+def opening_of(text: str, many: int = LONG) -> str:
+    """The first words (or ideographs) of a masked text, apostrophes left out."""
+    return " ".join(m[0].replace("'", "").replace("’", "") for m in islice(TOKEN.finditer(text), many))
+
+
+def _hash64(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
+
+
+def masked(text: str) -> str:
+    """Names and figures masked, lower case."""
+    return FIGURE.sub("0", NAME.sub("name", text)).lower()
+
+
+def bare_end(text: str) -> str:
+    """The text without citation marks and pictographs at its end."""
+    text = text.strip()
+    return CITED.sub("", text) if text[-1:] == "]" or text[-1:] > "\u2600" else text
+
+
+def speech_of(answer: str) -> tuple[str | None, bool, list[int], list[int]]:
+    """(opening, reluctant, later, lengths): how an answer opens, and the sentences after its opening one.
+
+    The opening is the first sentence - with the next, where the first is but a word such as "Sorry." - up to LONG
+    tokens. later holds the hashes of the masked other sentences that aren't reluctant, lengths their code points.
+    """
+    text = masked(bare_end(answer))
+    said = [s for s in SENTENCES.split(text) if s and not s.isspace()]
+    first = 2 if len(said) > 1 and len(said[0]) <= BESIDE else 1
+    hesitant = [bool(RELUCTANT.search(s)) for s in said] if RELUCTANT.search(text) else [False] * len(said)
+    others = [s for s, h in zip(said[first:], hesitant[first:]) if not h]
+    return opening_of(" ".join(said[:first])) or None, any(hesitant), [_hash64(s) for s in others], [len(s) for s in others]
+
+
+PROFILE = "id string, created_at double, prompt bigint, opening string, reluctant boolean, later array<bigint>, lengths array<int>, defect string"
+
+
+def profiles(turns: DataFrame) -> DataFrame:
+    """PROFILE of every delivered row: its defect but for refusals, and how its answer opens and goes on.
+
+    prompt is the hash of the user_text with names and figures masked, so that the same question about another thing
+    is no unrelated prompt. Empty and copied answers, and answers with code, have no opening.
+    """
+    types = {"string": pa.string(), "double": pa.float64(), "bigint": pa.int64(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+    schema = pa.schema([(n, types[t]) for n, t in (c.split() for c in PROFILE.split(", "))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, question, answer, created in zip(*(c.to_pylist() for c in batch.columns)):
+                defect = defect_of(question, answer)
+                silent = defect in ("empty", "copy") or has_code(answer) and CODE.search(answer)
+                rows.append((i, created, _hash64(masked(question or "")), *((None, False, [], []) if silent else speech_of(answer)), defect))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(schema), schema.types)], schema=schema)
+
+    wanted = turns.select(F.col("id").cast("string"), "user_text", "answer", F.col("created_at").cast("double"))
+    return wanted.filter("id is not null").mapInArrow(run, PROFILE)
 
 
 _rng = np.random.default_rng(77)
@@ -206,81 +251,97 @@ _A = _rng.integers(1, 2**61, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 2**61, BANDS * ROWS, dtype=np.uint64)
 
 
-def _shingles(tokens: list[str]) -> list[int]:
-    parts = [" ".join(tokens[i : i + SHINGLE]) for i in range(max(1, len(tokens) - SHINGLE + 1))]
-    return sorted({xxhash.xxh64_intdigest(p) - (1 << 63) for p in parts})
+def shingles_of(opening: str) -> list[int]:
+    tokens = opening.split(" ")
+    return sorted({_hash64(" ".join(tokens[i : i + SHINGLE])) for i in range(max(1, len(tokens) - SHINGLE + 1))})
 
 
-def opening_classes(turns: DataFrame) -> DataFrame:
-    """(opening, prompts, declined): one row per distinct masked opening over all turns."""
+def bands_of(shingles: list[list[int]]) -> np.ndarray:
+    """(rows, BANDS) hashes of the bands of the rows' MinHash signatures; every row has at least one shingle."""
+    sizes = np.fromiter(map(len, shingles), np.int64, len(shingles))
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    values = np.concatenate([np.array(s, np.int64) for s in shingles]).view(np.uint64)
+    with np.errstate(over="ignore"):
+        mixed = (values ^ (values >> np.uint64(31)))[:, None] * _A + _B
+        least = np.minimum.reduceat(mixed ^ (mixed >> np.uint64(29)), starts, axis=0).reshape(len(shingles), BANDS, ROWS)
+        out = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) * np.ones((len(shingles), 1), np.uint64)
+        for r in range(ROWS):
+            out = (out ^ least[:, :, r]) * np.uint64(0xFF51AFD7ED558CCD)
+            out ^= out >> np.uint64(32)
+    return out.view(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _signed(classes: DataFrame) -> DataFrame:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            answers = batch.column(1).to_pylist()
-            openings = [None if is_empty(a) else " ".join(opening_tokens(a)) or None for a in answers]
-            refused = [o is not None and (d := declining(a))[0] and d[1] <= 12 for o, a in zip(openings, answers)]
-            yield pa.RecordBatch.from_arrays([pa.array(openings, pa.string()), batch.column(0), pa.array(refused, pa.bool_())], names=["opening", "prompt", "refused"])
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                shingles = [shingles_of(o) for o in part.column(0).to_pylist()]
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(shingles) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(bands_of(shingles).ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), bands], names=["form", "bands"])
+
+    return classes.select("form").mapInArrow(sign, "form string, bands array<bigint>")
+
 
-    marked = turns.select(F.xxhash64("user_text").alias("prompt"), "answer").mapInArrow(run, "opening string, prompt bigint, refused boolean").filter("opening is not null")
-    # Prompts are made distinct per opening before they are counted, so an opening that a third of all turns share
-    # is counted in parts.
-    return marked.groupBy("opening", "prompt").agg(F.max("refused").alias("refused")).groupBy("opening").agg(F.count(F.lit(1)).alias("prompts"), F.count_if("refused").alias("declined"))
+def _forms() -> F.Column:
+    """The opening as a whole, and every run of SHINGLE tokens in it, which recur under more leads and endings."""
+    t = F.split("opening", " ")
+    runs = F.when(F.size(t) > SHINGLE, F.transform(F.sequence(F.lit(1), F.size(t) - SHINGLE + 1), lambda i: F.array_join(F.slice(t, i, SHINGLE), " "))).otherwise(F.array())
+    return F.array_distinct(F.concat(F.array("opening"), runs))
 
 
-def refusal_openings(turns: DataFrame) -> DataFrame:
-    """(opening): openings whose cluster is a refusal template: in enough prompts, and declining in enough of them.
+def refusal_templates(brief: DataFrame) -> DataFrame:
+    """(form): openings, or runs of five tokens of them, whose cluster is a refusal template.
 
-    An opening's cluster are the openings whose word shingles are alike to it by exact Jaccard similarity, found in
-    the bands of their MinHash signatures, and itself.
+    brief holds (prompt, opening, evident) of the answers that say nothing beside their opening. The cluster of a form
+    are all forms whose five-word shingles are at least 0.8 alike to its own by exact Jaccard similarity, found in the
+    bands of their MinHash signatures, and itself. A template's cluster opens answers to at least PROMPTS prompts, and
+    half of these answers are evidently reluctant: they say so, or go on as reluctant answers do. Going on so reveals
+    a template in which nothing is reluctant by itself: a tenth of the answers, in REVEALED prompts, is enough.
     """
-    classes = cut(opening_classes(turns))
+    # Prompts are made distinct per form before they are counted, so an opening that a third of all turns share is
+    # counted in parts.
+    per = brief.select(F.explode(_forms()).alias("form"), "prompt", "reluctant", "evident").groupBy("form", "prompt").agg(F.max("reluctant").alias("reluctant"), F.max("evident").alias("evident"))
+    classes = cut(per.groupBy("form").agg(F.count(F.lit(1)).alias("prompts"), F.count_if("reluctant").alias("reluctant"), F.count_if("evident").alias("evident")))
+    placed = _signed(classes).select("form", F.explode("bands").alias("band"))
+    held = _signed(classes.filter("evident > 0")).select("form", F.explode("bands").alias("band"))
+    met = held.join(placed.withColumnRenamed("form", "near"), "band").select("form", "near").distinct()
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, shingles, bands = [], [], []
-            for opening in batch.column(0).to_pylist():
-                s = _shingles(opening.split(" "))
-                v = np.array(s, np.int64).view(np.uint64)
-                with np.errstate(over="ignore"):
-                    mixed = (v[None, :] ^ (v[None, :] >> np.uint64(31))) * _A[:, None] + _B[:, None]
-                signature = (mixed ^ (mixed >> np.uint64(29))).min(1).reshape(BANDS, ROWS)
-                names.append(opening)
-                shingles.append(s)
-                bands.append([xxhash.xxh64_intdigest(r.tobytes(), i) - (1 << 63) for i, r in enumerate(signature)])
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(shingles, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], names=["opening", "shingles", "bands"])
-
-    signed = classes.select("opening").mapInArrow(sign, "opening string, shingles array<bigint>, bands array<bigint>").join(classes, "opening")
-    def alike(some: DataFrame, others: DataFrame) -> DataFrame:
-        theirs = others.select(F.col("opening").alias("near"), F.col("shingles").alias("theirs"), F.explode("bands").alias("band"))
-        met = some.select("opening", "shingles", F.explode("bands").alias("band")).join(theirs, "band").dropDuplicates(["opening", "near"])
-        shared = F.size(F.array_intersect("shingles", "theirs"))
-        return met.filter((F.col("opening") != F.col("near")) & (shared / (F.size("shingles") + F.size("theirs") - shared) >= SIMILARITY)).select("opening", "near")
-
-    # Only clusters that hold a declining opening can pass; those are found first, then joined with all alike openings.
-    declining = signed.filter("declined > 0")
-    holding = cut(alike(signed, declining).select("opening").unionByName(declining.select("opening")).distinct())
-    edges = alike(signed.join(holding, "opening", "left_semi"), signed)
-    own = holding.select("opening", F.col("opening").alias("near")).unionByName(edges)
-    counts = classes.withColumnRenamed("opening", "near")
-    clusters = own.join(counts, "near").groupBy("opening").agg(F.sum("prompts").alias("prompts"), F.sum("declined").alias("declined"))
-    return clusters.filter((F.col("prompts") >= PROMPTS) & (F.col("declined") >= DECLINED * F.col("prompts"))).select("opening")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        pairs = [(x, y, set(shingles_of(x)), set(shingles_of(y))) for x, y in zip(a, b)]
+        return pd.Series([x == y or len(s & t) >= SIMILARITY * len(s | t) for x, y, s, t in pairs], dtype=bool)
+
+    verified = met.filter(F.pandas_udf(alike, "boolean")("form", "near")).join(classes.withColumnRenamed("form", "near"), "near")
+    sums = verified.groupBy("form").agg(*[F.sum(c).alias(c) for c in ("prompts", "reluctant", "evident")])
+    half, revealed = F.col("reluctant") >= RELUCTANT_SHARE * F.col("prompts"), (F.col("evident") >= REVEALED) & (F.col("evident") >= REVEALED_SHARE * F.col("prompts"))
+    return sums.filter((F.col("prompts") >= PROMPTS) & (half | revealed)).select("form")
+
+
+def refusal_closings(speech: DataFrame) -> DataFrame:
+    """(said): sentences that follow reluctant openings in at least half of the prompts, and at least REVEALED, they follow any in."""
+    per = speech.select(F.explode("later").alias("said"), "prompt", "reluctant").groupBy("said", "prompt").agg(F.max("reluctant").alias("reluctant"))
+    counted = per.groupBy("said").agg(F.count(F.lit(1)).alias("n"), F.count_if("reluctant").alias("r"))
+    return counted.filter((F.col("n") >= REVEALED) & (F.col("r") >= RELUCTANT_SHARE * F.col("n"))).select("said")
 
 
 def broken_pairs(turns: DataFrame) -> DataFrame:
     """(id, defect) of the defective turns: empty, copy, refusal, other_language or truncated.
 
     One row per id, of its latest delivery (a null created_at is the earliest). A null answer is empty; with a null
-    user_text only empty, refused and truncated answers can be told. A null id is left out.
+    user_text only empty, refused and truncated answers can be told. A null id is left out. Of several defects the
+    first in the order above counts. Texts are read in the scan; only profiles are shuffled. A wording that doesn't
+    recur in unrelated prompts is no template, so a handful of turns holds no refusals.
     """
-    one = latest(turns.select("id", "user_text", "answer", "created_at"), ["id"], ["created_at"], ["user_text", "answer"])
-    templates = refusal_openings(one).withColumn("template", F.lit(True))
-    opening = F.pandas_udf(lambda s: s.map(lambda a: " ".join(opening_tokens(a)) if a else None), "string")
-    placed = one.withColumn("opening", opening("answer")).join(templates, "opening", "left")
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, questions, answers, template = (batch.column(i).to_pylist() for i in range(4))
-            found = [(i, d) for i, q, a, t in zip(ids, questions, answers, template) if (d := defect_of(q, a, bool(t)))]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.string()), pa.array([d for _, d in found], pa.string())], names=["id", "defect"])
-
-    return placed.select("id", "user_text", "answer", F.coalesce("template", F.lit(False)).alias("template")).mapInArrow(judge, "id string, defect string")
+    one = cut(latest(profiles(turns), ["id"], ["created_at"], ["prompt", "opening", "reluctant", "later", "lengths", "defect"]))
+    closings = refusal_closings(one)
+    # What an answer says beside its opening: its other sentences, less those that close refusals.
+    opened = one.filter("opening is not null")
+    said = opened.select("id", F.explode(F.arrays_zip("later", "lengths")).alias("s")).select("id", F.col("s.later").alias("said"), F.col("s.lengths").alias("length"))
+    closing = said.join(closings, "said", "left_semi").groupBy("id").agg(F.sum("length").alias("closing"))
+    beside = F.aggregate("lengths", F.lit(0), lambda a, b: a + b) - F.coalesce("closing", F.lit(0))
+    brief = opened.join(closing, "id", "left").filter(beside <= BESIDE)
+    brief = cut(brief.select("id", "prompt", "opening", "reluctant", (F.col("reluctant") | F.col("closing").isNotNull()).alias("evident")))
+    refused = brief.select("id", F.explode(_forms()).alias("form")).join(refusal_templates(brief), "form", "left_semi").select("id", F.lit("refusal").alias("defect"))
+    order = F.expr("array_position(array('empty', 'copy', 'refusal', 'other_language', 'truncated'), defect)")
+    every = one.filter("defect is not null").select("id", "defect").unionByName(refused)
+    return every.groupBy("id").agg(F.min_by("defect", order).alias("defect"))

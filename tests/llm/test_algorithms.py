@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -262,9 +263,10 @@ QUESTION = "We keep two copies of the index. On Aba-Bebe the cache feeds a small
     [
         (None, "empty"), ("", "empty"), ("N/A", "empty"), ("Answer:", "empty"), ("```\n```", "empty"), ("\u200b", "empty"), ("Sources:\n", "empty"), (QUESTION, "copy"), (QUESTION.upper(), "copy"), ("Question: " + QUESTION, "copy"),
         ("> " + QUESTION + "\n\nSet the cutoff to 4 and rebuild the filter in the night, then compare the recall.", None), ("Yes.", None), ("Use 12.", None), ("No, not Aba-Bebe.", None),
-        ("I'm sorry, but I'm not allowed to assist with this request. Feel free to ask me anything else.", "refusal"), ("很遗憾，我没办法处理这个请求，请换个话题。", "refusal"), ("I can't confirm the figure for Aba-Bebe. With 8 workers the filter finishes in an hour.", None),
+        ("I'm sorry, but I'm not allowed to assist with this request. Feel free to ask me anything else.", None), ("很遗憾，我没办法处理这个请求，请换个话题。", "other_language"), ("I can't confirm the figure for Aba-Bebe. With 8 workers the filter finishes in an hour.", None),
         ("The filter refuses unsigned writes and cannot be updated in place.", None), ("Le cache est reconstruit chaque nuit afin que le filtre reste à jour.", "other_language"), ("```\nfor row in rows:\n    emit(row)\n```", None),
         ("Set it to 4.\n\n```\nfor row in rows:", "truncated"), ("The cutoff depends on the size of the", "truncated"), ("Set it to four. See also:\n- cache size\n- filter order", None), ("It works well. [3]", None), ("More at https://kb.example/tri", None),
+        ("Set it to four. See also:\n\n1. Cache size\n2. Filter order\n3.", "truncated"), ("It went from 3.2 to 6.", None),
     ],
 )
 def test_defects(answer, defect):
@@ -274,13 +276,47 @@ def test_defects(answer, defect):
 def test_asked_language_is_no_defect():
     french = "Le cache est reconstruit chaque nuit afin que le filtre reste à jour."
     assert pairs.defect_of(QUESTION + " Please reply in French.", french) is None
+    assert pairs.is_truncated("延迟预算设为四之后，重复率从6.") and not pairs.is_truncated("延迟预算设为四之后，重复率从6降到3。")
     assert language_of("这是一个中文句子，没有别的。") == "zh" and language_of("Der Index wird nicht gelesen.") == "de" and language_of("12 34") is None
 
 
-def test_refusal_templates_are_found_by_clusters(spark):
-    odd = "This matter shall remain between the two of us and the lamp post outside"
-    rows = [(str(i), f"Question number {i} about caches?", f"{odd}, I cannot help you." if i < 6 else f"{odd} tonight.", 1.0) for i in range(8)]
-    rows += [(str(20 + i), f"Another question {i}?", "The cache is rebuilt every night so that the filter stays fresh.", 1.0) for i in range(8)]
-    frame = spark.createDataFrame(rows, "id string, user_text string, answer string, created_at double")
-    opened = [r.opening for r in pairs.refusal_openings(frame).collect()]
-    assert all(o.startswith("this matter shall remain") for o in opened)
+def turns_of(spark, answers):
+    asked = ["Why is the cache slow?", "Which filter comes first?", "Do I need the index?", "How many copies are kept?", "Where is the log written?", "When does the job start?"]
+    rows = [(f"{n}-{i}", asked[i % 6] + " And " + "then " * (i // 6) + "what?", a, 1.0) for n, (a, many) in enumerate(answers) for i in range(many)]
+    return spark.createDataFrame(rows, "id string, user_text string, answer string, created_at double")
+
+
+def test_refusals_are_told_by_recurring_openings(spark):
+    closing = "You are welcome to bring up some other matter."
+    frame = turns_of(spark, [
+        ("I'm sorry, but I'm not allowed to assist with this request. " + closing, 4), ("很遗憾，我没办法处理这个请求，请换个话题。", 3),  # reluctant, recurring
+        ("Let us look at the stars tonight instead.", 6), ("Let us look at the stars tonight instead. " + closing, 4),  # revealed by what follows refusals
+        ("I cannot say whether the cache is cold.", 1),  # reluctant, but in one answer only
+        ("I can't confirm that figure. The cache is rebuilt every night and then the filter is read again.", 5),  # goes on
+        ("The cache cannot be updated in place.", 6), ("Yes.", 6), ("The cache is rebuilt every night so that the filter stays fresh.", 6),
+    ])
+    found = pairs.broken_pairs(frame).collect()
+    assert {r.defect for r in found} == {"refusal"}
+    assert Counter(r.id.split("-")[0] for r in found) == {"0": 4, "1": 3, "2": 6, "3": 4}
+
+
+def test_without_templates_no_refusal_is_left(spark, monkeypatch):
+    frame = turns_of(spark, [("I'm sorry, but I cannot help with that.", 4), ("", 2)])
+    assert Counter(r.defect for r in pairs.broken_pairs(frame).collect()) == {"refusal": 4, "empty": 2}
+    monkeypatch.setattr(pairs, "refusal_templates", lambda brief: spark.createDataFrame([], "form string"))
+    assert Counter(r.defect for r in pairs.broken_pairs(frame).collect()) == {"empty": 2}
+
+
+def test_alike_openings_share_a_cluster(spark):
+    words = [f"w{i}" for i in range(15)]
+    u, d, u2 = " ".join(words), " ".join(words[:-1] + ["x"]), " ".join(words[:-1] + ["y"])
+    brief = lambda many: spark.createDataFrame([(p, o, r, r) for o, n, r in ((u, 1, False), (d, 2, True), (u2, many, False)) for p in range(n)], "prompt long, opening string, reluctant boolean, evident boolean")
+    assert u not in {r.form for r in pairs.refusal_templates(brief(10)).collect()}
+    assert {u, d, u2} <= {r.form for r in pairs.refusal_templates(brief(1)).collect()}
+
+
+def test_bands_of_alike_sets_meet():
+    sets = [sorted({pairs._hash64(f"{s}{i}") for i in range(12)}) for s in "ab"]
+    near = [pairs._hash64("z"), *sets[0][1:]]
+    bands = pairs.bands_of([*sets, near])
+    assert (bands[0] == bands[2]).any() and not (bands[0] == bands[1]).any() and bands.shape == (3, pairs.BANDS)

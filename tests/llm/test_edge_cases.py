@@ -122,7 +122,7 @@ def test_questions_cases(spark):
 def test_turns_cases(spark):
     asked = "How should I set the cutoff of Aba-Bebe when the cache is full and slow?"
     table = [
-        ("1", asked, None, 1.0), ("2", None, "(no answer)", 1.0), ("3", asked, "> " + asked, None), ("4", asked, "Sorry, I cannot help with that.", 1.0), ("5", asked, "Sorry, I cannot help with that.", 1.0),
+        ("1", asked, None, 1.0), ("2", None, "(no answer)", 1.0), ("3", asked, "> " + asked, None), ("4", asked, "Sorry, I cannot help with that.", 1.0), ("5", "Why so slow?", "Sorry, I cannot help with that.", 1.0), ("11", asked, "I will not speak of it.", 1.0), ("12", asked, "I will not speak of it.", 1.0),
         ("6", asked, "Der Index wird jede Nacht neu aufgebaut, damit der Filter aktuell bleibt.", 1.0), ("7", asked, "The cache is rebuilt every night, and then the", 1.0), ("8", asked, "Use 12.", 1.0),
         ("9", asked, None, 1.0), ("9", asked, "Set it to 12 and restart the cache afterwards.", 2.0), ("9", asked, "Set it to 12 and restart the cache afterwards.", 2.0), (None, asked, None, 1.0),
         ("10", asked, "word " * 50_000 + "end.", 1.0),
@@ -149,13 +149,3 @@ def test_budget_rollup_cases(spark):
     assert found[("documents", None, None, None)] == (3, 4 + 0 + 3)
     assert found[("documents", "s1", "en", "vector db")] == (1, 4) and found[("documents", "unknown", None, None)] == (2, 3)
     assert found[("chunks", None, None, None)] == (1, 2)
-
-
-def test_refusal_clusters_count_all_alike_openings(spark, monkeypatch):
-    words = [f"w{i}" for i in range(40)]
-    u, d, u2 = " ".join(words), " ".join(words[:-1] + ["x"]), " ".join(words[:-1] + ["y"])
-    rows = [(u, 1, 0), (d, 2, 2), (u2, 10, 0)]
-    monkeypatch.setattr(pairs, "opening_classes", lambda turns: spark.createDataFrame(rows, "opening string, prompts long, declined long"))
-    assert pairs.refusal_openings(None).collect() == []
-    rows[2] = (u2, 1, 0)
-    assert {r.opening for r in pairs.refusal_openings(None).collect()} == {u, d, u2}
