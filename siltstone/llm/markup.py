@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import re
 from html.entities import html5
+from typing import NamedTuple
 
 import pandas as pd
 import xxhash
@@ -41,14 +42,14 @@ REFERENCE = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|([A-Za-z][A-Za-z0-9]
 ENTITIES = frozenset(n[:-1] for n in html5 if n.endswith(";"))
 
 DISPLAY = re.compile(r"(?s)\$\$(?!\$)(.+?)\$\$|\\\[(.+?)\\\]|\\begin\{(equation|align|gather|multline|eqnarray|displaymath|math)(\*?)\}(.+?)\\end\{\3\4\}")
-INLINE = re.compile(r"\\\((.+?)\\\)|(?<![\w$\\])\$(?![\s$])((?:\\.|[^$\n\\]){1,200}?)(?<![\s\\])\$(?![\w$])")
+INLINE = re.compile(r"\\\((.+?)\\\)|(?<![\w$\\])\$(?![\s$])((?:\\.|[^$\n\\])+?)(?<![\s\\])\$(?![\w$])")
 COMMAND = re.compile(r"\\(?:part|chapter|(?:sub){0,2}section|paragraph|subparagraph|textbf|textit|texttt|textsc|emph|underline|cite[tp]?|ref|eqref|autoref|label|footnote|url|href|caption|title|author|usepackage|documentclass|includegraphics|begin|end|input|bibliography|mathbf|mathrm|frac|sqrt|text)\*?(?:\[[^\]\n]*\])?\{")
 ITEM = re.compile(r"(?m)^[ \t]*\\item\b(?:\[[^\]\n]*\])?")
 TEX_WORD = re.compile(r"\\(?:alpha|beta|gamma|delta|epsilon|theta|lambda|mu|sigma|omega|sum|prod|int|cdot|times|leq?|geq?|neq|infty|partial|nabla|ldots|dots|maketitle|newline|noindent|hline|centering|par)\b(?![\\/])")
 
 WIKI_HEADING = re.compile(r"(?m)^(={1,6})[ \t]*([^=\n].*?)[ \t]*\1[ \t]*$")
-WIKI_LINK = re.compile(r"\[\[(?![\s\[])([^\[\]|\n]{1,200})(?:\|([^\[\]\n]{0,200}))?\]\]")
-WIKI_CALL = re.compile(r"\{\{(?:[#:A-Za-z一-鿿][^{}\n|]{0,60})(?:\|[^{}]{0,400})?\}\}")
+WIKI_LINK = re.compile(r"\[\[(?![\s\[])([^\[\]|\n]+)(?:\|([^\[\]\n]*))?\]\]")
+WIKI_CALL = re.compile(r"\{\{(?:[#:A-Za-z一-鿿][^{}\n|]*)(?:\|[^{}]*)?\}\}")
 WIKI_TABLE = re.compile(r"(?ms)^[ \t]*\{\|(.*?)^[ \t]*\|\}[ \t]*$")
 WIKI_OPEN = re.compile(r"(?m)^[ \t]*(?:\{\|[^\n]*|\|\}|\|-+[^\n|]*)[ \t]*$")
 WIKI_SWITCH = re.compile(r"__(?:NOTOC|TOC|FORCETOC|NOEDITSECTION|NOGALLERY|NOINDEX|INDEX|HIDDENCAT|NEWSECTIONLINK|STATICREDIRECT|DISAMBIG)__")
@@ -60,7 +61,7 @@ ATX = re.compile(r"(?m)^ {0,3}(#{1,6})[ \t]+(\S.*?)(?:[ \t]+#+)?[ \t]*$")
 SETEXT = re.compile(r"(?m)^(?!\s*(?:[-*+>|=]|\d+[.)]|\Z))([^\n]+)\n {0,3}(={2,}|-{3,})[ \t]*$")
 STRONG = re.compile(r"(?<![\w*\\])\*\*(?![\s*])([^*\n]+?)(?<![\s*])\*\*(?![\w*])|(?<![\w_\\.])__(?![\s_])([^_\n]+?)(?<![\s_])__(?![\w_(])|(?<=[一-鿿。，；：！？）])\*\*(?![\s*])([^*\n]+?)(?<![\s*])\*\*|(?<![\w*\\])\*\*(?![\s*])([^*\n]+?)(?<![\s*])\*\*(?=[一-鿿])")
 STRIKE = re.compile(r"(?<![\w~])~~(?![\s~])([^~\n]+?)(?<![\s~])~~(?![\w~])")
-EMPHASIS = re.compile(r"(?<![\w*\\/])\*(?![\s*])([^*\n]{1,160}?)(?<![\s*])\*(?![\w*(])")
+EMPHASIS = re.compile(r"(?<![\w*\\/])\*(?![\s*])([^*\n]+?)(?<![\s*])\*(?![\w*(])")
 IMAGE = re.compile(r"!\[([^\[\]\n]*)\]\(\s*<?([^()\s<>]+)>?(?:\s+\"[^\"\n]*\")?\s*\)")
 LINK = re.compile(r"(?<![\w\]!])\[([^\[\]\n]+)\]\(\s*<?([^()\s<>]*)>?(?:\s+\"[^\"\n]*\")?\s*\)|(?<=[一-鿿])\[([^\[\]\n]+)\]\(\s*<?([^()\s<>]+)>?\s*\)")
 LINK_REF = re.compile(r"(?m)^ {0,3}\[[^\]\n]+\]:[ \t]+\S+.*$")
@@ -68,7 +69,7 @@ QUOTE = re.compile(r"(?m)^ {0,3}>+[ \t]\S")
 MD_TABLE = re.compile(r"(?m)^[ \t]*\|?[^\n]*\|[^\n]*\n[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)*\|?[ \t]*$")
 CODE_LOOK = re.compile(r"\*\*(?:kwargs|args)\b")
 
-SUSPECT = r"[<&\\$`*~_\[{]|(?m)^\s{0,3}>|(?m)^\s{0,3}#|(?m)^\s*==|(?m)^(={2,}|-{3,})\s*$|(?m)^\s*\|"
+SUSPECT = r"[<&\\$`*~_\[{]|''|(?m)^\s{0,3}>|(?m)^\s{0,3}#|(?m)^\s*==|(?m)^(={2,}|-{3,})\s*$|(?m)^\s*\|"
 
 
 class Shelf:
@@ -82,7 +83,7 @@ class Shelf:
         return f"\ue000{len(self.kept) - 1}\ue001"
 
     def back(self, text: str) -> str:
-        for _ in range(3):
+        while "\ue000" in text:  # a passage may hold marks of passages put aside before it
             text = re.sub("\ue000(\\d+)\ue001", lambda m: self.kept[int(m[1])] if int(m[1]) < len(self.kept) else "", text)
         return text
 
@@ -102,29 +103,42 @@ def is_reference(m: re.Match) -> bool:
     return m[1] is None or m[1] in ENTITIES
 
 
-def subtrees(text: str, least: int = 20) -> list[tuple[int, int, int]]:
-    """(start, end, hash) of the element subtrees of at least `least` characters, hashed bottom-up.
+#: Length of the least subtree that may be a template; shorter ones - a bold word, a line break - are inline marks.
+LEAST = 20
+
+
+class Node(NamedTuple):
+    start: int
+    end: int
+    hash: int
+    code: bool
+
+
+def elements(text: str, shelf: Shelf) -> list[Node]:
+    """The element subtrees of a page whose code is on the shelf, hashed bottom-up; code says that one holds code.
 
     A node's hash is that of its name, attributes and the hashes and texts of its children in order; an element
-    that isn't closed ends with its parent.
+    that isn't closed ends with its parent. Void elements are nodes without children.
     """
-    out: list[tuple[int, int, int]] = []
+    out: list[Node] = []
     stack: list[tuple[str, int, list[str]]] = []
 
-    def close(end: int) -> None:
-        name, start, parts = stack.pop()
+    def add(start: int, end: int, parts: list[str]) -> None:
         value = xxhash.xxh64_intdigest("\x1f".join(parts)) - (1 << 63)
-        if end - start >= least:
-            out.append((start, end, value))
+        out.append(Node(start, end, value, "\ue000" in text[start:end]))
         if stack:
             stack[-1][2].append(str(value))
 
+    def close(end: int) -> None:
+        _, start, parts = stack.pop()
+        add(start, end, parts)
+
     at = 0
     for m in TAG.finditer(text):
         name = m[2].lower()
         if not is_tag(m, text):
             continue
-        if stack and (words := " ".join(text[at : m.start()].split())):
+        if stack and (words := " ".join(shelf.back(text[at : m.start()]).split())):
             stack[-1][2].append(words)
         at = m.end()
         if m[1]:
@@ -132,9 +146,10 @@ def subtrees(text: str, least: int = 20) -> list[tuple[int, int, int]]:
                 while stack[-1][0] != name:
                     close(m.start())
                 close(m.end())
+            else:
+                add(m.start(), m.end(), [f"/{name}"])
         elif name in VOID or m[4]:
-            if stack:
-                stack[-1][2].append(f"{name} {' '.join(sorted(m[3].split()))}")
+            add(m.start(), m.end(), [f"{name} {' '.join(sorted(m[3].split()))}"])
         else:
             if name in ("li", "tr", "td", "th", "p", "option", "dt", "dd") and stack and stack[-1][0] == name:
                 close(m.start())
@@ -144,14 +159,24 @@ def subtrees(text: str, least: int = 20) -> list[tuple[int, int, int]]:
     return out
 
 
-def without(text: str, drop: set[int]) -> str:
-    """The text without the subtrees whose hash is in `drop`; of nested ones the outermost goes."""
-    spans = sorted((s, -e) for s, e, h in subtrees(text) if h in drop)
+def subtrees(text: str, least: int = LEAST) -> list[tuple[int, int, int]]:
+    """(start, end, hash) of the element subtrees of at least `least` characters that hold no code, outside code."""
+    shelf = Shelf()
+    shelved = _shelve_code(text, shelf, set())
+    return [(n.start, n.end, n.hash) for n in elements(shelved, shelf) if n.end - n.start >= least and not n.code]
+
+
+def without(text: str, drop: set[int], shelf: Shelf | None = None) -> str:
+    """The text, its code on the shelf, without the subtrees whose hash is in `drop`; of nested ones the outermost goes.
+
+    What stands inside a code block is content and no part of a template.
+    """
+    nodes = elements(text, shelf or Shelf())
     out, at = [], 0
-    for start, end in spans:
+    for start, end in sorted((n.start, n.end) for n in nodes if n.hash in drop and n.end - n.start >= LEAST and not n.code):
         if start >= at:
             out.append(text[at:start])
-            at = -end
+            at = end
     out.append(text[at:])
     return "".join(out)
 
@@ -224,7 +249,6 @@ def _html(text: str, found: set[str]) -> str:
         def tag(m: re.Match) -> str:
             if not is_tag(m, source):
                 return m[0]
-            found.add("html")
             name, closing = m[2].lower(), bool(m[1])
             if re.fullmatch(r"h[1-6]", name):
                 return "\n\n" if closing else "\n\n" + "#" * int(name[1]) + " "
@@ -241,11 +265,7 @@ def _html(text: str, found: set[str]) -> str:
                 return (alt[1] or alt[2] or "") if alt else ""
             return "\n\n" if name in BLOCKS else ""
 
-        def hidden(m: re.Match) -> str:
-            found.add("html")
-            return " "
-
-        source = text = re.sub(r"(?is)<(script|style|noscript|svg|template)\b[^<>]*>.*?</\1\s*>", hidden, text)
+        source = text = re.sub(r"(?is)<(script|style|noscript|svg|template)\b[^<>]*>.*?</\1\s*>", " ", text)
         text = TAG.sub(tag, text)
     if "&" in text:
         text = REFERENCE.sub(reference, text)
@@ -300,7 +320,7 @@ def _latex(text: str, found: set[str]) -> str:
         return text
     before = text
     text = re.sub(r"\\(part|chapter|section|subsection|subsubsection|paragraph)\*?\{([^{}\n]*)\}", lambda m: "#" * {"part": 1, "chapter": 1, "section": 2, "subsection": 3, "subsubsection": 4, "paragraph": 5}[m[1]] + " " + m[2], text)
-    for _ in range(3):
+    while True:
         text, many = re.subn(r"\\(?:textbf|textit|texttt|textsc|emph|underline|text|mathrm|mathbf|caption|title|author|footnote|url)\{([^{}]*)\}", r"\1", text)
         if not many:
             break
@@ -365,12 +385,11 @@ def convert(text: str | None, drop: set[int] = frozenset()) -> tuple[set[str], s
     found: set[str] = set()
     shelf = Shelf()
     out = text.replace("\ue000", "").replace("\ue001", "")
-    if drop and "<" in out:
-        shorter = without(out, drop)
-        if shorter != out:
-            found.add("html")
-            out = shorter
     out = _shelve_code(out, shelf, found)
+    if "<" in out and elements(out, shelf):
+        # Whatever the templates are, a page with elements holds HTML; what is left of them is converted below.
+        found.add("html")
+        out = without(out, drop, shelf) if drop else out
     out = _markdown_blocks(out, found)
     out = _shelve_formulas(out, shelf, found)
     out = _html(out, found)

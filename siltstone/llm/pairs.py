@@ -318,10 +318,11 @@ def refusal_templates(brief: DataFrame) -> DataFrame:
 
 
 def refusal_closings(speech: DataFrame) -> DataFrame:
-    """(said): sentences that follow reluctant openings in at least half of the prompts, and at least REVEALED, they follow any in."""
-    per = speech.select(F.explode("later").alias("said"), "prompt", "reluctant").groupBy("said", "prompt").agg(F.max("reluctant").alias("reluctant"))
-    counted = per.groupBy("said").agg(F.count(F.lit(1)).alias("n"), F.count_if("reluctant").alias("r"))
-    return counted.filter((F.col("n") >= REVEALED) & (F.col("r") >= RELUCTANT_SHARE * F.col("n"))).select("said")
+    """(said): sentences that follow several openings, and reluctant ones in at least half of the prompts and at least REVEALED."""
+    later = speech.select(F.explode("later").alias("said"), "prompt", "reluctant", "opening")
+    per = later.groupBy("said", "prompt").agg(F.max("reluctant").alias("reluctant"), F.min("opening").alias("least"), F.max("opening").alias("most"))
+    counted = per.groupBy("said").agg(F.count(F.lit(1)).alias("n"), F.count_if("reluctant").alias("r"), F.min("least").alias("least"), F.max("most").alias("most"))
+    return counted.filter((F.col("least") < F.col("most")) & (F.col("n") >= REVEALED) & (F.col("r") >= RELUCTANT_SHARE * F.col("n"))).select("said")
 
 
 def broken_pairs(turns: DataFrame) -> DataFrame:

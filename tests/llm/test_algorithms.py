@@ -255,6 +255,23 @@ def test_subtree_hashes_are_structural():
     assert markup.without("k<div class='n'><p>same words here</p></div>l", {h for _, _, h in a}) == "kl"
 
 
+def test_code_is_no_template(spark):
+    block = "```python\nhtml = \"<div class='hit'><b>title of the hit</b></div>\"\n```"
+    rows = [(f"c{i}", f"d{i}", "s", "https://h.example/a", None, f"<footer><p>All rights of the docs</p></footer>\n<p>Page number {i} says this much</p>\n{block}", 1) for i in range(8)]
+    rows += [("w", "w", "s", "https://h.example/a", None, "only '{}bold'{} here".replace("{}", "''"), 1), ("v", "v", "s", "https://h.example/a", None, block, 1)]
+    frame = spark.createDataFrame(rows, "chunk_id string, doc_id string, source_id string, url string, heading_path string, text string, loaded_at int")
+    assert len(markup.template_subtrees(frame).collect()) == 2
+    clean = {r.chunk_id: r for r in markup.clean_chunks(frame).collect()}
+    assert "All rights" not in clean["c1"].text and "title of the hit" in clean["c1"].text and clean["c1"].markup == "html,markdown"
+    assert clean["w"].markup == "wiki" and clean["v"].markup == "markdown" and clean["v"].text == block.replace("python", "")
+
+
+def test_long_marks_and_deep_nesting():
+    words = "word " * 200
+    assert markup.convert(f"${'x + ' * 100}y$")[0] == {"latex"} and markup.convert(f"[[{words}end|b]]")[0] == {"wiki"} and markup.convert(f"*{words}end*")[0] == {"markdown"}
+    assert markup.convert("\\textbf{" * 6 + "in" + "}" * 6)[1] == "in"
+
+
 QUESTION = "We keep two copies of the index. On Aba-Bebe the cache feeds a small filter and holds 12 rows, how should I set the cutoff?"
 
 
