@@ -303,15 +303,21 @@ def refusal_templates(brief: DataFrame) -> DataFrame:
     # counted in parts.
     per = brief.select(F.explode(_forms()).alias("form"), "prompt", "reluctant", "evident").groupBy("form", "prompt").agg(F.max("reluctant").alias("reluctant"), F.max("evident").alias("evident"))
     classes = cut(per.groupBy("form").agg(F.count(F.lit(1)).alias("prompts"), F.count_if("reluctant").alias("reluctant"), F.count_if("evident").alias("evident")))
-    placed = _signed(classes).select("form", F.explode("bands").alias("band"))
-    held = _signed(classes.filter("evident > 0")).select("form", F.explode("bands").alias("band"))
-    met = held.join(placed.withColumnRenamed("form", "near"), "band").select("form", "near").distinct()
+    signed = cut(_signed(classes))
 
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         pairs = [(x, y, set(shingles_of(x)), set(shingles_of(y))) for x, y in zip(a, b)]
         return pd.Series([x == y or len(s & t) >= SIMILARITY * len(s | t) for x, y, s, t in pairs], dtype=bool)
 
-    verified = met.filter(F.pandas_udf(alike, "boolean")("form", "near")).join(classes.withColumnRenamed("form", "near"), "near")
+    def near(some: DataFrame) -> DataFrame:
+        """(form, near): the forms alike to some forms, themselves too."""
+        placed = signed.select(F.col("form").alias("near"), F.explode("bands").alias("band"))
+        met = signed.join(some, "form", "left_semi").select("form", F.explode("bands").alias("band")).join(placed, "band").select("form", "near").distinct()
+        return met.filter(F.pandas_udf(alike, "boolean")("form", "near"))
+
+    # Only clusters that hold an evidently reluctant form can pass; those are found first.
+    holding = near(classes.filter("evident > 0").select("form")).select(F.col("near").alias("form")).distinct()
+    verified = near(holding).join(classes.withColumnRenamed("form", "near"), "near")
     sums = verified.groupBy("form").agg(*[F.sum(c).alias(c) for c in ("prompts", "reluctant", "evident")])
     half, revealed = F.col("reluctant") >= RELUCTANT_SHARE * F.col("prompts"), (F.col("evident") >= REVEALED) & (F.col("evident") >= REVEALED_SHARE * F.col("prompts"))
     return sums.filter((F.col("prompts") >= PROMPTS) & (half | revealed)).select("form")
