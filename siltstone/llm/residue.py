@@ -1,50 +1,57 @@
 """Template residue and error pages: recurrent lines of a host are subtracted, what is left is looked at for evidence.
 
-Lines are normalised (case, figures, outer blanks) and counted per host over all documents. Those that recur are
-boilerplate - menus, footers - unless they hold evidence themselves and stand on few of the host's pages. The
-residual decides about whole pages (errors, access checks, script notices): nothing but evidence and its
-companions may be left. Slots and filler count wherever they stand, but not where a text explains or quotes them.
+Lines are normalised (case, figures, outer blanks) and counted per host over all documents. Those that recur on a
+host, or on several hosts, are boilerplate - menus, footers - unless they hold evidence themselves and stand on few of
+the host's pages. The residual decides: a slot left unfilled, but not where a text explains or quotes it; a filler
+passage; or a page of little else than errors, access checks or script notices. Sentences that carry slots are
+counted too, with the slot masked: where the same sentence carries slots in other documents, a word such as
+"undefined" in the slot's place is residue, and elsewhere it isn't.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.session import cut
 
-#: A line on so many pages of a host is boilerplate; with evidence in it, only from this share of the host's pages on.
-PAGES, SHARE = 3, 0.2
-#: Code points of ordinary text that an error page may hold beside its evidence.
-LEFTOVER = 60
+try:
+    from re import _constants as op
+    from re import _parser as parser
+except ImportError:  # Python 3.10
+    import sre_constants as op
+    import sre_parse as parser
+
+#: A line on so many pages of a host is boilerplate, and one on so many pages altogether of so many hosts; with evidence
+#: in it, only from this share of the host's pages on.
+PAGES, EVERYWHERE, HOSTS, SHARE = 3, 9, 3, 0.2
+#: A sentence carries slots if it has them, unfilled, in so many documents.
+CARRIED = 3
 
 # What a slot left unfilled looks like.
 SLOT = re.compile(
-    r"""\{\{[^{}\n]{0,60}\}\}|\{%[^%\n]{0,60}%\}|<%[^%\n]{0,60}%>|[$\#]\{[\w.\- ]{1,40}\}|\{\d{1,2}\}|\{[A-Za-z_]\w*(?:\.\w+)*\}
-    |%\(\w+\)[sdf]|%%[A-Za-z_]+%%|%[A-Za-z]+_[A-Za-z_]+%|<<[\w .\-]{1,40}>>|\[\[[\w .\-]{1,40}\]\]|\$\$[A-Za-z_]\w*\$\$|@[A-Za-z]+(?:[._][A-Za-z]+)+@
-    |\#\#[A-Za-z_]+\#\#|__[A-Z]+(?:_[A-Z]+)+__|<(?:your|insert|enter|add|replace)[_ ][\w ]+>|\[(?:insert|your|enter|add|replace|company|product|customer|author|date|todo|tbd)\b[^\]\n]{0,40}\]
-    |[【「\[（][^】」\]）\n]{0,6}(?:请填写|此处填写|此处插入|待填写|请输入|填写)[^】」\]）\n]{0,12}[】」\]）]|\bTBD(?:_\w+)+\b|\bXX/XX/XXXX\b|X{2,4}年X{1,2}月|\[object\ Object\]""",
+    r"""\{\{[^{}\n]*\}\}|\{%[^%\n]*%\}|<%[^%\n]*%>|[$\#]\{[\w.\- ]+\}|\{\d{1,2}\}|\{[A-Za-z_]\w*(?:\.\w+)*\}
+    |%\(\w+\)[sdf]|%%[A-Za-z_]+%%|%[A-Za-z]+_[A-Za-z_]+%|<<[\w .\-]+>>|\[\[[\w .\-]+\]\]|\$\$[A-Za-z_]\w*\$\$|@[A-Za-z]+(?:[._][A-Za-z]+)+@
+    |\#\#[A-Za-z_]+\#\#|__[A-Z]+(?:_[A-Z]+)+__|<(?:your|insert|enter|add|replace)[_ ][\w ]+>|\[(?:insert|your|enter|add|replace|company|product|customer|author|date|todo|tbd)\b[^\]\n]*\]
+    |[【「\[（][^】」\]）\n]{0,6}(?:请填写|此处填写|此处插入|待填写|请输入|填写)[^】」\]）\n]{0,12}[】」\]）]|\bTBD(?:_\w+)+\b|\bXX/XX/XXXX\b|XX(?:X{0,2})年XX?月|\[object\ Object\]""",
     re.X | re.I,
 )
-JUNK = r"(?:NaN|undefined|null|None|N/A|nil|\[object Object\]|TBD\w*|TODO|\?{2,}|X{2,}|)"
-# Sentences that hold a slot; with nothing usable in it they are residue.
-CARRIERS = re.compile(
-    rf"""\bHello\ {JUNK}\s?,\ here\ is|\bContact\ {JUNK}\s?for\ access|\bWelcome\ to\ {JUNK}\s?!|\bMaintained\ by\ {JUNK}\s?,\ version|,\ version\ {JUNK}\s?\.(?=\s|$)
-    |\bCopyright\ {JUNK}\s?\.\ All\ rights|\blast\ updated\ on\ {JUNK}\s?\.(?=\s|$)|\bSee\ the\ figure:\s*{JUNK}\s*$|^Dear\ {JUNK}\s?,|\bunder\ the\ name\ {JUNK}\s?\.(?=\s|$)
-    |\bYou\ have\ {JUNK}\s?new\ results|\bnew\ results\ for\ {JUNK}\s?\.(?=\s|$)|最后更新于\s?{JUNK}\s?。|欢迎使用\s?{JUNK}\s?！|请联系\s?{JUNK}\s?。|共找到\s?{JUNK}\s?条|条关于\s?{JUNK}\s?的结果|您好，\s?{JUNK}\s?：|负责人：\s?{JUNK}\s?，|版本：\s?{JUNK}\s?。""",
-    re.X | re.I | re.M,
-)
-CARRIER_HINT = tuple("here is|for access|welcome to|maintained by|, version|all rights|last updated on|see the figure|dear |under the name|new results|更新于|欢迎使用|请联系|共找到|条关于|您好，|负责人：|版本：".split("|"))
+# What is printed in a slot's place where there was nothing to fill in.
+JUNK = re.compile(r"(?<![A-Za-z0-9_])(?:(?:NaN|undefined|null|None|nil|TBD[A-Za-z0-9_]*|TODO|X{2,})(?![A-Za-z0-9_])|N/A)|\[object Object\]|\?{2,}")
 EXPLAINS = re.compile(
     r"templat|placeholder|\bslots?\b|variable|format string|shell script|environment|\bprompt|\bparser|\breturns?\b|syntax|\bsample command|such as|for example|e\.g\.|rendered|expands|replaced by|stands for|模板|变量|占位符|语法|例如|比如|表示|参数",
     re.I,
 )
 # Filler passages.
 FILLER = re.compile(
-    r"""\blorem\ ipsum\ dolor\b|(?:\b(?:lorem|ipsum|dolor|amet|consectetur|adipiscing|elit|eiusmod|tempor|incididunt|labore|magna|aliqua|veniam|nostrud|ullamco|aliquip|commodo|consequat|duis|aute|irure|reprehenderit|voluptate|velit|esse|cillum|fugiat|exercitation|minim|quis|laboris|nisi|enim|sed|sit|et|ut|do|ea|ex|ad|in|nulla)\b[\s,.]*){10,}
+    r"""\blorem\ ipsum\ dolor\b|(?:\b(?:lorem|ipsum|dolor|amet|consectetur|adipiscing|elit|eiusmod|tempor|incididunt|labore|magna|aliqua|veniam|nostrud|ullamco|aliquip|commodo|consequat|duis|aute|irure|reprehenderit|voluptate|velit|esse|cillum|fugiat|exercitation|minim|quis|laboris|nisi|enim|nulla)\b[\s,.]*(?:\b(?:sed|sit|et|ut|do|ea|ex|ad|in)\b[\s,.]*)*){6,}
     |\byour\ (?:text|content|title)\ goes\ here\b|\b(?:description|text|content|caption|title)\ goes\ here\b|\bthis\ is\ (?:sample|dummy|placeholder|filler)\ text\b|\breplace\ (?:it|this(?:\ text)?)\ with\ your\ own\ (?:content|text)\b
     |\btext\ block\ number\ \d+|\bdummy\ (?:paragraph|text)\ used\b|\bblah\ blah\ blah\b|\basdf\ asdf\b|\bqwer\ qwer\b|\btest\ test\ test\b|\badd\ a\ short\ summary\ of\ this\b
     |(?:此处|这里)(?:为|是)(?:占位|示例)(?:文本|文字)|测试测试测试|内容内容内容|请替换为正式内容|\bplatzhaltertext\b\.|\bbitte\ vor\ der\ freigabe\ ersetzen\b|\btexte\ de\ remplissage\b\.|\btexto\ de\ relleno\b\.""",
@@ -57,7 +64,7 @@ _FAILS = r"""could\ not\ be\ (?:loaded|found|displayed|shown)|failed\ to\ (?:ren
 EVIDENCE = re.compile(
     rf"""^(?:(?:sorry|oops)[.!,]?\s*)?(?:http\ )?(?:error\ )?[\[(]?(?:4\d\d|5\d\d)[\])]?(?:[:.]|\ |$)(?!.*\b(?:results|records|items|pages|thousand)\b)|^error\ \d+\W*$|{_FAILS}
     |access\ (?:is\ )?denied|do\ not\ have\ permission|not\ authori[sz]ed|not\ a\ robot|are\ you\ (?:a\ )?human|captcha|too\ many\ requests|has\ been\ limited|unusual\ traffic|session\ has\ expired|sign\ in\ again
-    |application\ error|an\ exception\ occurred|rendererror|traceback\ \(most|^\s*file\ ".*",\ line\ \d+|^fatal:|could\ not\ connect\ to|query\ aborted|^warning:\ \w+\(|no\ such\ file|nosuchpage|<error>|"status":\ ?\d+|^\{{"(?:error|status|code|message)"
+    |application\ error|an\ exception\ occurred|rendererror|traceback\ \(most|^\s*file\ ".*",\ line\ \d+|^fatal:|could\ not\ connect\ to|query\ aborted|^warning:\ \w+\(|no\ such\ file|nosuchpage|<error>|"status":\ ?\d+|^\{{"error"|^\{{"status"|^\{{"code"|^\{{"message"
     |gave\ up\ \(|before\ the\ first\ byte|did\ not\ answer\ in\ time|gateway\ time-?out|bad\ gateway|internal\ server\ error
     |(?:require[sd]?|need(?:s|ed)?|rel(?:y|ies)\ on|(?:cannot|does\ not|will\ not)\ (?:run|work)\ without|enable|activate|allow|block(?:s|ed)?|support|disabled|turned?\ off)\b[^.]{{0,60}}(?:javascript|\bscripts?\b|scripting)
     |(?:javascript|\bscripts?\b|scripting)\b[^.]{{0,40}}(?:required|needed|disabled|turned\ off|switched\ off|must\ be|is\ off|to\ work)|browser\ does\ not\ support\ it
@@ -76,110 +83,159 @@ TALK = re.compile(
     r"crawler|抓取|headless|无头|logged|never be indexed|收录|并发|when a page|页面返回|retries|重试|the short reply|explain|for example|such as|例如|should be\b|应当|come back nearly empty",
     re.I,
 )
-NAVIGATION = re.compile(
-    r"^(?:[\s|·•/>©&,:\-]|\b(?:home|docs|blog|search|skip to content|sign in|sign up|log in|register|menu|reference|guides|community|about|contact|help|privacy|terms|imprint|首页|文档|博客|登录|注册|搜索|关于)\b|首页|文档|博客|登录|注册|搜索|关于)+$|^©.{0,60}$",
-    re.I,
-)
 CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|`[^`\n]+`", re.S)
 SENTENCES = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n+")
-#: Without one of these a text holds no evidence of an error page; plain substrings of the lower-cased text.
-EVIDENCE_HINT = tuple(
-    "could not be |failed to |was moved|was deleted|was removed|were moved|were deleted|were removed|been moved|been deleted|been removed|moved or deleted|moved permanently|is blocked for|took too long|is being restored"
-    "|cannot be shown|cannot be displayed|cannot be found|not available |does not exist|not found|no longer exists|no longer available|temporarily unavailable|can't find that|went wrong|under maintenance|access denied|access is denied|have permission|not authori"
-    "|not a robot|are you human|are you a human|captcha|too many requests|has been limited|unusual traffic|session has expired|sign in again|application error|an exception occurred|rendererror|traceback (most|file \"|fatal:|could not connect|query aborted|warning: |no such file"
-    "|nosuchpage|<error>|\"status\"|{\"error|{\"code|{\"message|gave up (|the first byte|did not answer in|gateway time|bad gateway|internal server error|javascript| script|scripts|scripting|does not support it|seite nicht gefunden|zugriff verweigert|nicht verfügbar|nicht erreichbar"
-    "|introuvable|accès refusé|erreur |no está disponible|no se encontr|no encontr|acceso denegado|no encontrada|错误|不存在|已被删除|已删除|正在维护|无法访问|暂时无法|加载失败|响应超时|需要登录|找不到|登录后才能|没有权限|开小差|过于频繁|完成验证|人机验证|脚本".split("|")
-)
-STATUS = re.compile(r"(?m)^[\s\[(]*(?:sorry|oops)?[.!,]?\s*(?:http )?(?:error )?[\[(]?[45]\d\d|error \d+", re.I)
 
 
-def may_be_error(text: str) -> bool:
-    """Whether any line or sentence holds evidence; only then can the page be an error once boilerplate is gone."""
-    low = text.lower()
-    hints = [hint for hint in EVIDENCE_HINT if hint in low]
-    if not hints and not STATUS.search(text):
-        return False
-    for line in text.split("\n"):
-        below = line.lower()
-        if STATUS.search(line) or any(h in below for h in hints):
-            if any((STATUS.search(p) or any(h in p.lower() for h in hints)) and EVIDENCE.search(p.strip()) and not TALK.search(p) for p in (line, *SENTENCES.split(line))):
-                return True
-    return False
+def needed(pattern: re.Pattern) -> set[str] | None:
+    """Lower-case strings of which every match of the pattern holds one; None where there are none of two characters."""
 
+    def best(items) -> set[str] | None:
+        found: list[set[str]] = []
+        run = ""
+        for kind, value in [*items, (None, None)]:
+            if kind is op.LITERAL:
+                run += chr(value).lower()
+                continue
+            if run:
+                found.append({run})
+                run = ""
+            if kind is op.SUBPATTERN:
+                inner = [best(value[3])]
+            elif kind is op.BRANCH:
+                inner = [best(b) for b in value[1]]
+            elif kind in (op.MAX_REPEAT, op.MIN_REPEAT) and value[0] >= 1:
+                inner = [best(value[2])]
+            else:
+                continue
+            if None not in inner:
+                found.append(set().union(*inner))
+        return max(reversed(found), key=lambda f: min(map(len, f)), default=None)
 
-#: Without one of these in lower case a text has no slot.
-SLOT_HINT = tuple("{ } % @ ## #{ $ 【 「 << <your <insert <enter <add <replace [[ [insert [your [enter [add [replace [company [product [customer [author [date [todo [tbd [object __ tbd_ xx/xx x年 填写 插入 请输入".split())
-FILLER_HINT = ("ipsum", "lorem", "amet", "elit", "dolor", "goes here", "sample text", "dummy", "placeholder text", "filler text", "your own", "text block", "blah", "asdf", "qwer", "test test", "short summary", "占位", "示例", "测试测试", "内容内容", "正式内容", "platzhalter", "freigabe", "remplissage", "relleno")
+    return best(parser.parse(pattern.pattern, pattern.flags & ~re.UNICODE))
 
 
-def has_slot(text: str) -> bool:
-    """A slot left unfilled, or filled with nothing usable, outside code and outside explanations."""
-    low = text.lower()
-    marks = [m for m in SLOT_HINT if m in low]
-    carriers = [c for c in CARRIER_HINT if c in low]
-    if not marks and not carriers:
-        return False
-    for line in CODE.sub(" ", text).split("\n"):
-        below = line.lower()
-        if not any(m in below for m in marks) and not any(c in below for c in carriers):
+def alternatives(pattern: re.Pattern) -> list[re.Pattern]:
+    """The alternatives at the top of a verbose pattern, each as a pattern of its own."""
+    parts, depth, at, held = [], 0, 0, False
+    text = pattern.pattern
+    for i, c in enumerate(text):
+        if i and text[i - 1] == "\\" and not (i > 1 and text[i - 2] == "\\"):
             continue
-        for sentence in SENTENCES.split(line):
-            below = sentence.lower()
-            carried = any(c in below for c in carriers)
-            if carried and CARRIERS.search(sentence):
-                return True
-            for m in SLOT.finditer(sentence) if any(m in below for m in marks) else ():
-                quoted = sentence[: m.start()].count('"') % 2 or sentence[: m.start()].count("“") > sentence[: m.start()].count("”")
-                if carried or not (quoted or EXPLAINS.search(sentence)):
-                    return True
-    return False
+        if c == "[" and not held:
+            held = True
+        elif c == "]" and held:
+            held = False
+        elif not held:
+            depth += (c == "(") - (c == ")")
+            if c == "|" and not depth:
+                parts.append(text[at:i])
+                at = i + 1
+    return [re.compile(p, pattern.flags & ~re.UNICODE) for p in [*parts, text[at:]]]
+
+
+class Finder:
+    """Where a pattern of many alternatives may match: texts that hold what one of the alternatives needs.
+
+    The strings come from the pattern itself, so no match is lost; alternatives that need none are searched for.
+    """
 
+    def __init__(self, pattern: re.Pattern, least: int = 2) -> None:
+        self.automaton, self.rest = ahocorasick.Automaton(), []
+        for part in alternatives(pattern):
+            strings = needed(part)
+            if strings is None or min(map(len, strings)) < least:
+                self.rest.append(part)
+            else:
+                for x in strings:
+                    self.automaton.add_word(x, x)
+        self.automaton.make_automaton()
 
-def has_filler(text: str) -> bool:
-    low = text.lower()
-    if not any(hint in low for hint in FILLER_HINT):
-        return False
-    bare = CODE.sub(" ", text)
-    return any(FILLER.search(line) and not FILLER_TALK.search(line) for line in bare.split("\n")) if FILLER.search(bare) else False
+    def __call__(self, text: str, low: str | None = None) -> bool:
+        low = text.lower() if low is None else low
+        if next(self.automaton.iter(low), None) is not None:
+            return True
+        return any(p.search(text) for p in self.rest)
 
 
-def is_error_page(residual: str) -> bool:
-    """Nothing but evidence of an error, check or notice and its companions is left."""
-    evidence, left = False, 0
-    for line in residual.split("\n"):
-        if not line.strip() or NAVIGATION.match(line.strip()):
+may_be_slot, may_be_filler, may_be_evidence = Finder(SLOT, 1), Finder(FILLER), Finder(EVIDENCE)
+
+
+def masked(sentence: str) -> str:
+    """The sentence with slots and what stands for them masked, figures too, in lower case and single blanks."""
+    text = JUNK.sub("{}", SLOT.sub("{}", sentence))
+    return " ".join(re.sub(r"[0-9]+", "#", re.sub(r"(?:\{\})+", "{}", text)).lower().split())
+
+
+def carrier(sentence: str) -> int:
+    return xxhash.xxh64_intdigest(masked(sentence)) - (1 << 63)
+
+
+def slots(lines: list[str]) -> tuple[bool, list[int], list[int]]:
+    """(whether a slot is left unfilled, carriers of such slots, carriers of words that may stand in one).
+
+    Slots in quotation marks, and sentences that explain, are none. lines are those of a text without its code.
+    """
+    unfilled, open_, doubtful = False, [], []
+    for line in lines:
+        if not may_be_slot(line) and not JUNK.search(line):
             continue
-        whole = None
         for sentence in SENTENCES.split(line):
-            sentence = sentence.strip()
             if not sentence:
                 continue
-            if EVIDENCE.search(sentence) and not TALK.search(sentence):
-                evidence = True
-                continue
-            if COMPANIONS.search(sentence):
-                continue
-            if len(sentence) < 40:  # a part of evidence that the sentence split took apart
-                if whole is None:
-                    whole = bool(EVIDENCE.search(line.strip()) and not TALK.search(line))
-                if whole:
-                    evidence = True
-                    continue
-            left += len(sentence)
-            if left > LEFTOVER:
-                return False
-    return evidence
+            explains = None
+            for m in SLOT.finditer(sentence):
+                before = sentence[: m.start()]
+                explains = bool(EXPLAINS.search(sentence)) if explains is None else explains
+                if not (explains or before.count('"') % 2 or before.count("“") > before.count("”")):
+                    unfilled = True
+                    open_.append(carrier(sentence))
+                    break
+            else:
+                if JUNK.search(sentence):
+                    doubtful.append(carrier(sentence))
+    return unfilled, open_, doubtful
 
 
-def residue_of(text: str | None, residual: str | None = None) -> str | None:
-    """slot, filler, error or None for one record; residual is the text without its host's boilerplate."""
-    if not text or not text.strip():
-        return None
-    if has_slot(text):
-        return "slot"
-    if has_filler(text):
-        return "filler"
-    return "error" if is_error_page(text if residual is None else residual) else None
+def has_filler(lines: list[str]) -> bool:
+    return any(may_be_filler(line) and FILLER.search(line) and not FILLER_TALK.search(line) for line in lines)
+
+
+def prose(text: str) -> list[str]:
+    """The lines of a text without its code, blank where there was some."""
+    return (CODE.sub(lambda m: "\n" * m[0].count("\n"), text) if "`" in text or "~~~" in text else text).split("\n")
+
+
+def is_evidence(part: str) -> bool:
+    return bool(may_be_evidence(part) and EVIDENCE.search(part) and not TALK.search(part))
+
+
+def holds_evidence(text: str) -> bool:
+    """Whether any line or sentence is evidence of an error; only then can what is left of the text be an error page."""
+    for line in text.split("\n"):
+        if may_be_evidence(line) and any(is_evidence(p.strip()) for p in (line, *SENTENCES.split(line))):
+            return True
+    return False
+
+
+def is_error_page(residual: str) -> bool:
+    """Evidence of an error, check or notice, and no more text beside it and its companions than they have themselves."""
+    said = left = 0
+    evident = False
+    for line in residual.split("\n"):
+        if line.lstrip().startswith("©"):  # a copyright line is boilerplate, whoever is named in it
+            continue
+        parts = [p for p in map(str.strip, SENTENCES.split(line)) if re.search(r"\w", p)]
+        found = [is_evidence(p) for p in parts]
+        if not any(found) and is_evidence(line.strip()):  # the split took it apart
+            found = [True] * len(parts)
+        for part, told in zip(parts, found):
+            evident |= told
+            if told or COMPANIONS.search(part):
+                said += len(part)
+            else:
+                left += len(part)
+    return evident and left <= said
 
 
 def normal_line(line: Column) -> Column:
@@ -187,8 +243,13 @@ def normal_line(line: Column) -> Column:
 
 
 def hashes_of(text: Column) -> Column:
-    """Hashes of the normalised lines in order; null for blank lines."""
-    return F.transform(F.split(text, r"\n"), lambda x: F.when(normal_line(x) != "", F.xxhash64(normal_line(x))))
+    """Hashes of the normalised lines in order; 0 for blank lines (a null would turn all hashes into floats in pandas)."""
+    return F.transform(F.transform(F.split(text, r"\n"), normal_line), lambda x: F.when(x != "", F.xxhash64(x)).otherwise(F.lit(0).cast("bigint")))
+
+
+def lines_of(text: Column) -> Column:
+    """The distinct hashes of the lines that aren't blank; empty for a null text."""
+    return F.coalesce(F.array_remove(F.array_distinct(hashes_of(text)), F.lit(0).cast("bigint")), F.array())
 
 
 def host_of(url: str = "url", source: str = "source") -> Column:
@@ -197,16 +258,74 @@ def host_of(url: str = "url", source: str = "source") -> Column:
     return F.coalesce(F.when(host != "", host), F.lower(F.trim(F.col(source))), F.lit(""))
 
 
-def recurrent_lines(documents: DataFrame, pages: int = PAGES) -> DataFrame:
-    """(host, line, share): hashes of normalised lines on at least `pages` documents of a host, and the share of its pages.
+def recurrent_lines(documents: DataFrame, lines: DataFrame | None = None, pages: int = PAGES) -> DataFrame:
+    """(host, line, share): hashes of boilerplate lines, and the share of the host's pages that hold them.
 
-    A document counts once per line, however often it holds it; the counts cover all documents. Lines are counted as
-    hashes, so what is shuffled doesn't grow with their length.
+    Boilerplate is on at least `pages` documents of the host, or on EVERYWHERE documents of HOSTS hosts. A document
+    counts once per line, however often it holds it; the counts cover all documents. Lines are counted as hashes, so
+    what is shuffled doesn't grow with their length; `lines` (line) restricts what is counted to lines that are asked
+    for, not the documents they are counted in.
     """
-    placed = documents.select(host_of().alias("host"), F.coalesce(F.array_distinct(F.array_compact(hashes_of(F.col("text")))), F.array()).alias("lines"))
-    counted = placed.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= pages)
-    total = placed.groupBy("host").agg(F.count(F.lit(1)).alias("of"))
-    return counted.join(total, "host").select("host", "line", (F.col("n") / F.col("of")).alias("share"))
+    placed = documents.select(host_of().alias("host"), lines_of(F.col("text")).alias("lines"))
+    told = placed.select("host", F.explode("lines").alias("line"))
+    told = told if lines is None else told.join(lines, "line", "left_semi")
+    counted = cut(told.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")))
+    shared = counted.groupBy("line").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("hosts")).filter((F.col("all") >= EVERYWHERE) & (F.col("hosts") >= HOSTS)).select("line", F.lit(True).alias("shared"))
+    often = counted.join(shared, "line", "left").filter((F.col("n") >= pages) | F.col("shared"))
+    total = documents.select(host_of().alias("host")).groupBy("host").agg(F.count(F.lit(1)).alias("of"))
+    return often.join(total, "host").select("host", "line", (F.col("n") / F.col("of")).alias("share"))
+
+
+CANDIDATE = "doc_id bigint, host string, text string, carriers array<bigint>, doubtful array<bigint>"
+
+
+def candidates(documents: DataFrame) -> DataFrame:
+    """CANDIDATE of the documents with any evidence in their text; what has none has none in its residual either."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        for batch in batches:
+            rows = []
+            for doc, text, host in zip(*(c.to_pylist() for c in batch.columns)):
+                if not text or text.isspace():
+                    continue
+                lines = prose(text)
+                _, open_, doubtful = slots(lines)
+                if open_ or doubtful or has_filler(lines) or holds_evidence(text):
+                    rows.append((doc, host, text, open_, doubtful))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, types)], names=["doc_id", "host", "text", "carriers", "doubtful"])
+
+    return documents.select("doc_id", "text", host_of().alias("host")).mapInArrow(run, CANDIDATE)
+
+
+def slot_carriers(seen: DataFrame) -> DataFrame:
+    """(carrier): sentences, slots masked, that carry unfilled slots in at least CARRIED documents."""
+    per = seen.select("host", F.explode(F.array_distinct("carriers")).alias("carrier")).groupBy("host", "carrier").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("carrier").agg(F.sum("n").alias("n")).filter(F.col("n") >= CARRIED).select("carrier")
+
+
+def residue_of(text: str | None, boilerplate: dict[int, float] | None = None, codes: list[int] | None = None, carriers: set[int] = frozenset(), share: float = SHARE) -> str | None:
+    """slot, filler, error or None: what the text holds without its host's boilerplate.
+
+    codes are the hashes of its lines; boilerplate has their shares; carriers the sentences known to carry slots.
+    """
+    if not text or text.isspace():
+        return None
+    lines, boilerplate = text.split("\n"), boilerplate or {}
+    codes = codes if codes is not None else [0] * len(lines)
+    bare = prose(text)
+    kept = []
+    for i, (line, code) in enumerate(zip(lines, codes)):
+        often = boilerplate.get(code)
+        if often is None or often < share and (EVIDENCE.search(line.strip()) or SLOT.search(line) or JUNK.search(line) or FILLER.search(line)):
+            kept.append(i)
+    left = [bare[i] for i in kept if i < len(bare)]
+    unfilled, _, doubtful = slots(left)
+    if unfilled or not carriers.isdisjoint(doubtful):
+        return "slot"
+    if has_filler(left):
+        return "filler"
+    return "error" if is_error_page("\n".join(lines[i] for i in kept)) else None
 
 
 def template_residue(documents: DataFrame, pages: int = PAGES, share: float = SHARE) -> DataFrame:
@@ -215,32 +334,24 @@ def template_residue(documents: DataFrame, pages: int = PAGES, share: float = SH
     A record has one row, of the first kind that holds in that order. Null, empty and blank texts are none of
     these. Repeated rows collapse; a null doc_id keeps its row; columns other than doc_id, text, url and source
     don't matter, and url and source may be null.
-
-    Slots and filler don't depend on other pages and are decided in the scan. Of the rest only texts that hold
-    evidence of an error go on, to have their host's boilerplate subtracted.
     """
-
-    def look(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if not t or not t.strip() else "slot" if has_slot(t) else "filler" if has_filler(t) else "maybe" if may_be_error(t) else None)
-
-    first = documents.select("doc_id", "text", host_of().alias("host")).withColumn("kind", F.pandas_udf(look, "string")("text")).filter("kind is not null")
-    first = cut(first.select("doc_id", "host", "kind", F.when(F.col("kind") == "maybe", F.col("text")).alias("text")))
-    seen = first.filter("kind = 'maybe'").withColumn("key", F.xxhash64("doc_id", "host", "text"))
-    often = recurrent_lines(documents, pages)
-    lines = seen.select("key", "host", F.explode(F.array_distinct(F.array_compact(hashes_of(F.col("text"))))).alias("line")).distinct()
+    seen = cut(candidates(documents).withColumn("key", F.xxhash64("doc_id", "host", "text")).dropDuplicates(["key"]))
+    lines = seen.select("key", "host", F.explode(lines_of(F.col("text"))).alias("line"))
+    often = recurrent_lines(documents, lines.select("line").distinct(), pages)
     own = lines.join(often, ["host", "line"]).groupBy("key").agg(F.collect_list(F.struct("line", "share")).alias("boilerplate"))
+    doubtful = seen.select("key", F.explode("doubtful").alias("carrier")).join(slot_carriers(seen), "carrier", "left_semi")
+    known = doubtful.groupBy("key").agg(F.collect_set("carrier").alias("known"))
 
-    def judge(texts: pd.Series, hashes: pd.Series, boilerplate: pd.Series) -> pd.Series:
+    def judge(texts: pd.Series, hashes: pd.Series, boilerplate: pd.Series, known: pd.Series) -> pd.Series:
         out = []
-        for text, codes, often in zip(texts, hashes, boilerplate):
+        for text, codes, often, carriers in zip(texts, hashes, boilerplate, known):
             shares = {r["line"]: r["share"] for r in often} if often is not None else {}
-            kept = [line for line, code in zip(text.split("\n"), codes) if code is None or code != code or code not in shares or (shares[code] < share and EVIDENCE.search(line))]
-            out.append("error" if is_error_page("\n".join(kept)) else None)
+            out.append(residue_of(text, shares, codes.tolist(), set(carriers) if carriers is not None else set(), share))
         return pd.Series(out, dtype=object)
 
-    beside = seen.select("key", "doc_id", "text").join(own, "key", "left")
-    judged = beside.select("doc_id", F.pandas_udf(judge, "string")("text", hashes_of(F.col("text")), "boilerplate").alias("kind"))
-    return first.filter("kind <> 'maybe'").select("doc_id", "kind").unionByName(judged.filter("kind is not null")).groupBy("doc_id").agg(F.max("kind").alias("kind"))
+    beside = seen.select("key", "doc_id", "text").join(own, "key", "left").join(known, "key", "left")
+    judged = beside.select("doc_id", F.pandas_udf(judge, "string")("text", hashes_of(F.col("text")), "boilerplate", "known").alias("kind"))
+    return judged.filter("kind is not null").groupBy("doc_id").agg(F.max("kind").alias("kind"))
 
 
 def usable_documents(documents: DataFrame) -> DataFrame:

@@ -214,7 +214,35 @@ def test_overlap_equals_all_pairs(spark):
     ],
 )
 def test_residue(text, kind):
-    assert residue.residue_of(text) == kind
+    known = {residue.carrier(s) for s in ("Contact {{ team }} for access.", "负责人：${owner}，版本：${version}。", "负责人：{{a}}，版本：3。")}
+    assert residue.residue_of(text, carriers=known) == kind
+
+
+def test_every_match_holds_what_its_pattern_needs():
+    for pattern, may_be in ((residue.SLOT, residue.may_be_slot), (residue.FILLER, residue.may_be_filler), (residue.EVIDENCE, residue.may_be_evidence)):
+        for text in ("Hello {{ a }}", "${HOME}", "##NAME##", "<your name>", "XXXX年X月", "[object Object]", "此处为占位文本", "your text goes here", "asdf asdf", "lorem ipsum dolor", "amet elit sed et magna aliqua duis aute irure ex velit esse", "404 Not Found", "Error 17", "This needs SCRIPTS to work", "页面不存在", '{"status": 504}', "the scripts are turned off"):
+            assert not pattern.search(text) or may_be(text)
+    assert residue.needed(residue.re.compile("a(?:bc|de)f+|gh")) == {"f", "gh"} or residue.needed(residue.re.compile("a(?:bc|de)f+|gh")) == {"bc", "de", "gh"}
+
+
+def site(spark):
+    nav = "Overview of all the parts and pages and services of this site for everyone who comes here to read"
+    words = ["Mail {} about the keys.", "The owner is {} since spring."]
+    texts = [(f"h{i % 4}", f"{nav}\nReal text number {i} about caches, long enough to be one. {words[0].format('{{ owner }}') if i < 4 else ''}") for i in range(16)]
+    texts += [("h0", f"{nav}\nThis page does not exist."), ("h1", "Real text here, and more of it. " + words[0].format("undefined")), ("h2", "Real text here, and more of it. " + words[1].format("undefined"))]
+    return spark.createDataFrame([(i, t, f"https://{h}.example/x", "s", None) for i, (h, t) in enumerate(texts)], "doc_id long, text string, url string, source string, lang string")
+
+
+def test_what_recurs_decides(spark, monkeypatch):
+    """Boilerplate makes the error page one, and counted carriers the word in the slot's place; without either both are lost."""
+    frame = site(spark)
+    found = {r.doc_id: r.kind for r in residue.template_residue(frame).collect()}
+    assert found == {0: "slot", 1: "slot", 2: "slot", 3: "slot", 16: "error", 17: "slot"}
+    with monkeypatch.context() as m:
+        m.setattr(residue, "recurrent_lines", lambda *a, **k: spark.createDataFrame([], "host string, line bigint, share double"))
+        assert 16 not in {r.doc_id for r in residue.template_residue(frame).collect()}
+    monkeypatch.setattr(residue, "slot_carriers", lambda seen: spark.createDataFrame([], "carrier bigint"))
+    assert 17 not in {r.doc_id for r in residue.template_residue(frame).collect()}
 
 
 def test_recurrent_lines_are_subtracted(spark):
