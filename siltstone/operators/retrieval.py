@@ -98,14 +98,14 @@ def deepest(k: int, pool: int) -> int:
 def fuse_runs(specs: DataFrame, chunks: DataFrame, most: int) -> DataFrame:
     """The fused candidates of (query_id, run_ord, query, category, aspect, weight, depth), each run cut to its depth.
 
-    No depth exceeds `most`, a constant that lets Spark cut the runs before it shuffles them.
+    No depth exceeds `most`, which bounds what a search keeps.
     """
-    texts = cut(specs.select(F.col("query").alias("question")).distinct().withColumn("query_id", F.monotonically_increasing_id()))
-    scores = sparse.bm25_scores(texts, chunks).filter("score > 0").withColumn("score", F.round("score", 6))
-    runs = specs.join(texts.select(F.col("question").alias("query"), F.col("query_id").alias("text_id")), "query").drop("query")
-    wide = runs.join(scores.withColumnRenamed("query_id", "text_id"), "text_id").join(chunks.select("chunk_id", F.col("category").alias("own")), "chunk_id").filter(F.col("category").isNull() | (F.col("own") == F.col("category")))
-    order = Window.partitionBy("query_id", "run_ord").orderBy(F.desc("score"), "chunk_id")
-    found = wide.withColumn("rank", F.row_number().over(order)).filter((F.col("rank") <= most) & (F.col("rank") <= F.col("depth")))
+    # Runs that ask the same text within the same category share one search.
+    searches = cut(specs.select(F.col("query").alias("question"), "category").distinct().withColumn("query_id", F.monotonically_increasing_id()))
+    hits = sparse.search_index(searches, sparse.term_index(chunks), most)
+    same = [specs["query"] == searches["question"], specs["category"].eqNullSafe(searches["category"])]
+    runs = specs.join(searches.withColumnRenamed("query_id", "search_id"), same).drop("query", "question", "category")
+    found = runs.join(hits.withColumnRenamed("query_id", "search_id"), "search_id").filter(F.col("rank") <= F.col("depth"))
     return fusion.reciprocal_rank_fusion(found.select("query_id", "run_ord", "rank", "chunk_id", (1 / (1 + F.col("score"))).alias("distance"), "aspect", F.lit("bm25").alias("channel"), "weight"))
 
 

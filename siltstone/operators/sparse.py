@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.operators.fixed import TERM_ALIASES
+from siltstone.session import cut
 
 K1, B = 1.5, 0.75
+#: Searches whose terms go to the executors at once, and chunks scored at once: both bound what a task holds.
+BLOCK, ROWS = 512, 4096
 
 
 def index_text() -> Column:
@@ -48,7 +56,7 @@ def bm25_scores(questions: DataFrame, chunks: DataFrame, idf_mode: str = "plus_o
     facts = chunks.select(T.token_count(index_text()).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
     n, average = facts.n or 0, max(1.0, facts.avgdl or 0.0)
     wanted = terms.select("term").distinct()
-    # Terms are counted inside the row, so a chunk's text never leaves its partition as single words.
+    # Only terms of a question go on; they are counted per task before they are shuffled.
     held = tokens.select("chunk_id", "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     odds = (n - F.col("df") + 0.5) / (F.col("df") + 0.5)
@@ -58,18 +66,121 @@ def bm25_scores(questions: DataFrame, chunks: DataFrame, idf_mode: str = "plus_o
     return terms.join(weighed, "term").groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
 
 
+def term_index(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, category, dl, terms, counts): the index of a search, one row per chunk, made once for all searches.
+
+    terms are the distinct 64-bit hashes of the chunk's terms in order, counts how often each occurs, dl the length in
+    terms. Terms are told apart by their hashes alone.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = batch.column(2)
+            lengths = hashes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            values = hashes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            rows = np.repeat(np.arange(batch.num_rows), lengths)
+            order = np.lexsort((values, rows))
+            rows, values = rows[order], values[order]
+            new = np.ones(len(rows), bool)
+            new[1:] = (rows[1:] != rows[:-1]) | (values[1:] != values[:-1])
+            first = np.flatnonzero(new)
+            offsets = pa.array(np.searchsorted(rows[first], np.arange(batch.num_rows + 1)).astype(np.int32))
+            counts = np.diff(np.append(first, len(rows))).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (values[first], counts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lengths.astype(np.int32)), *lists], names=["chunk_id", "category", "dl", "terms", "counts"])
+
+    hashed = chunks.select("chunk_id", "category", F.transform(T.search_tokens(index_text()), lambda t: F.xxhash64(t)).alias("terms"))
+    return cut(hashed.mapInArrow(run, "chunk_id string, category string, dl int, terms array<bigint>, counts array<int>"))
+
+
+def _postings(batch: pa.RecordBatch, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in wanted, count) of the batch's postings of wanted terms, by place and row."""
+    lengths = batch.column(3).value_lengths().to_numpy(zero_copy_only=False)
+    values = batch.column(3).flatten().to_numpy(zero_copy_only=False)
+    at = np.minimum(np.searchsorted(wanted, values), len(wanted) - 1)
+    held = np.flatnonzero(wanted[at] == values)
+    rows = np.repeat(np.arange(batch.num_rows), lengths)[held]
+    order = np.lexsort((rows, at[held]))
+    return rows[order], at[held][order], batch.column(4).flatten().to_numpy(zero_copy_only=False)[held][order]
+
+
+def search_index(searches: DataFrame, index: DataFrame, k: int, idf_mode: str = "plus_one") -> DataFrame:
+    """(query_id, rank, chunk_id, score): the best k chunks of each of (query_id, question) or (query_id, question, category).
+
+    Where a search names a category only its chunks compete; the statistics stay those of the whole corpus. Ties go
+    to the smaller chunk_id. Searches go over the index in blocks of BLOCK; a task scores its chunks against a block
+    and keeps the best k of each search, so what is shuffled doesn't grow with the matches.
+    """
+    narrowed = "category" in searches.columns
+    facts = index.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    n, average = facts.n or 0, max(1.0, facts.avgdl or 0.0)
+    category = F.col("category") if narrowed else F.lit(None).cast("string")
+    asked = cut(searches.select("query_id", category.alias("category"), F.transform(query_terms("question"), lambda t: F.xxhash64(t)).alias("terms")))
+    blocks = max(1, -(-asked.count() // BLOCK))
+    numbered = asked.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    kind = asked.schema["query_id"].dataType.simpleString()
+
+    def one(block: int) -> DataFrame:
+        queries = numbered.filter(F.col("_b") == block).collect()  # about BLOCK rows of a question's terms
+        ids, categories = [q.query_id for q in queries], np.array([q.category for q in queries], object)
+        pairs = np.array(sorted((t, i) for i, q in enumerate(queries) for t in set(q.terms or ())), np.int64).reshape(-1, 2)
+        wanted, starts = np.unique(pairs[:, 0], return_index=True)
+        if not len(wanted):
+            return asked.sparkSession.createDataFrame([], f"query_id {kind}, chunk_id string, score double")
+        asking = np.split(pairs[:, 1], starts[1:])
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(wanted), np.int64)
+            for batch in batches:
+                total += np.bincount(_postings(batch, wanted)[1], minlength=len(wanted))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(wanted))), pa.array(total)], names=["at", "n"])
+
+        df = np.zeros(len(wanted))
+        for r in index.mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect():  # one row per wanted term
+            df[r["at"]] = r.n
+        with np.errstate(divide="ignore", invalid="ignore"):
+            odds = (n - df + 0.5) / (df + 0.5)
+            weight = np.where(df > 0, np.log(1 + odds) if idf_mode == "plus_one" else np.log(odds), 0.0)
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for begin in range(0, whole.num_rows, ROWS):
+                    batch = whole.slice(begin, ROWS)
+                    rows, at, counts = _postings(batch, wanted)
+                    length = 1 - B + B * batch.column(2).to_numpy() / average
+                    parts = weight[at] * counts * (K1 + 1) / (counts + K1 * length[rows])
+                    scores = np.zeros((batch.num_rows, len(ids)))
+                    edges = np.searchsorted(at, np.arange(len(wanted) + 1))
+                    for t in np.unique(at):
+                        span = slice(edges[t], edges[t + 1])
+                        scores[np.ix_(rows[span], asking[t])] += parts[span][:, None]
+                    scores = np.round(scores, 6)
+                    chunk, own = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+                    out: list[tuple] = []
+                    for i in range(len(ids)):
+                        s = scores[:, i] if categories[i] is None else np.where(own == categories[i], scores[:, i], 0.0)
+                        found = np.flatnonzero(s > 0)
+                        if len(found) > k:
+                            found = found[s[found] >= np.partition(s[found], -k)[-k]]
+                        out += sorted(((ids[i], chunk[j], s[j]) for j in found), key=lambda r: (-r[2], r[1]))[:k]
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["query_id", "chunk_id", "score"])
+
+        made = index.mapInArrow(search, f"query_id {kind}, chunk_id string, score double")
+        return cut(made) if blocks > 1 else made
+
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    found = reduce(DataFrame.unionByName, [one(b) for b in range(blocks)])
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
+
+
 def bm25_search(questions: DataFrame, chunks: DataFrame, k: int = 10, category: str | None = None) -> DataFrame:
     """(query_id, rank, chunk_id, score): the best k chunks per question; ties go to the smaller chunk_id.
 
     A category filters after scoring, so the statistics stay those of the whole corpus.
     """
-    scores = bm25_scores(questions, chunks).filter("score > 0")
-    if category is not None:
-        scores = scores.join(chunks.filter(F.col("category") == category).select("chunk_id"), "chunk_id", "left_semi")
-    # Rounded scores decide, so that the order of additions doesn't.
-    scores = scores.withColumn("score", F.round("score", 6))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return scores.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
+    searches = questions.select("query_id", "question")
+    return search_index(searches if category is None else searches.withColumn("category", F.lit(category)), term_index(chunks), k)
 
 
 def as_candidates(hits: DataFrame) -> DataFrame:
