@@ -10,8 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries whose vectors go to the executors at once; what is sent is bounded whatever the number of queries.
-BLOCK = 512
+from siltstone.session import cut
+
+#: Bytes of query vectors that go to the executors at once, and queries that a task holds against its vectors at once.
+PASS_BYTES, BLOCK = 1 << 26, 1024
 
 
 def squared_distance(a: str, b: str):
@@ -32,44 +34,53 @@ def cosine(a: str, b: str):
 def l2_search(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, vec_id, distance, rank): the k nearest vectors of every query, ties to the smaller vec_id.
 
-    queries are (query_id, embedding) and optionally (label): then only vectors of that label compete. Each block of
-    queries is one pass over the vectors, in which a batch keeps its own best k per query; nothing else is shuffled.
-    Null vectors take no part.
+    queries are (query_id, embedding) and optionally (label): then only vectors of that label compete. A pass over the
+    vectors takes PASS_BYTES of query vectors; a task holds its vectors against them by matrix products, settles the
+    nearest ones by exact distances and keeps k per query; nothing else is shuffled. Null vectors take no part.
     """
     filtered = "label" in queries.columns
     queries = queries.filter("embedding is not null")
-    many = queries.count()
-    blocks = max(1, -(-many // BLOCK))
-    numbered = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    first = queries.select(F.size("embedding").alias("n")).first()
+    size = max(1, first.n if first else 1)
+    passes = max(1, -(-queries.count() * size * 8 // PASS_BYTES))
+    numbered = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(passes)))
+    schema = ", ".join(f"{n} {df.schema[n].dataType.simpleString()}" for df, n in ((queries, "query_id"), (vectors, "vec_id"))) + ", distance double"
 
     def one(block: int) -> DataFrame:
-        rows = numbered.filter(F.col("_b") == block).collect()  # about BLOCK rows
-        ids = np.array([r.query_id for r in rows], np.int64)
+        rows = numbered.filter(F.col("_b") == block).collect()  # about PASS_BYTES
+        ids = np.array([r.query_id for r in rows] or [0])
         points = np.array([r.embedding for r in rows], np.float64).reshape(len(rows), -1)
-        labels = np.array([r.label for r in rows]) if filtered else None
+        labels = np.array([r.label for r in rows], object) if filtered else None
+
+        def nearest(at: np.ndarray, place: np.ndarray, theirs: np.ndarray | None, begin: int) -> tuple[np.ndarray, ...]:
+            """(query, row, distance) of the k nearest rows of the queries from begin on; place orders equal distances."""
+            some = points[begin : begin + BLOCK]
+            far = (at**2).sum(1)[:, None] - 2 * at @ some.T + (some**2).sum(1)[None, :]
+            if theirs is not None:
+                far[theirs[:, None] != labels[None, begin : begin + BLOCK]] = np.inf
+            last = np.partition(far, min(k, len(at)) - 1, axis=0)[min(k, len(at)) - 1]
+            row, query = np.nonzero((far <= last + 1e-6 * (1 + np.abs(np.where(np.isfinite(last), last, 0)))) & np.isfinite(far))
+            exact = np.round(((at[row] - some[query]) ** 2).sum(1), 6)
+            order = np.lexsort((place[row], exact, query))
+            row, query, exact = row[order], query[order], exact[order]
+            nth = np.arange(len(query)) - np.searchsorted(query, query)
+            return query[nth < k] + begin, row[nth < k], exact[nth < k]
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if not len(ids) or not batch.num_rows:
+                if not len(points) or not batch.num_rows:
                     continue
-                own = batch.column(0).to_numpy()
-                at = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
-                out_q, out_v, out_d = [], [], []
-                for i in range(len(ids)):
-                    d = ((at - points[i]) ** 2).sum(1)
-                    if labels is not None:
-                        d = np.where(batch.column(2).to_numpy() == labels[i], d, np.inf)
-                    best = np.lexsort((own, np.round(d, 9)))[:k]
-                    best = best[np.isfinite(d[best])]
-                    out_q += [ids[i]] * len(best)
-                    out_v += own[best].tolist()
-                    out_d += d[best].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_v, pa.int64()), pa.array(out_d, pa.float64())], names=["query_id", "vec_id", "distance"])
+                at = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                place = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_inverse=True)[1]
+                theirs = batch.column(2).to_numpy(zero_copy_only=False).astype(object) if filtered else None
+                for begin in range(0, len(points), BLOCK):
+                    query, row, exact = nearest(at, place, theirs, begin)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[query].tolist()), batch.column(0).take(pa.array(row)), pa.array(exact)], names=["query_id", "vec_id", "distance"])
 
         columns = ["vec_id", "embedding"] + ["label"] * filtered
-        return vectors.filter("embedding is not null").select(*columns).mapInArrow(search, "query_id bigint, vec_id bigint, distance double")
+        made = vectors.filter("embedding is not null").select(*columns).mapInArrow(search, schema)
+        return cut(made) if passes > 1 else made
 
-    found = reduce(DataFrame.unionByName, [one(b) for b in range(blocks)])
-    found = found.withColumn("distance", F.round("distance", 6))
+    found = reduce(DataFrame.unionByName, [one(b) for b in range(passes)]).withColumn("distance", F.round("distance", 6))
     best = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

@@ -126,14 +126,3 @@ def cover_aspects(candidates: DataFrame, k: int) -> DataFrame:
     first = F.col("aspect").isNotNull() & (F.row_number().over(Window.partitionBy("query_id", "aspect").orderBy("rank")) == 1)
     chosen = candidates.withColumn("take", F.row_number().over(query.orderBy(F.when(first, 0).otherwise(1), "rank"))).filter(F.col("take") <= k)
     return chosen.withColumn("place", F.row_number().over(query.orderBy("rank"))).select("query_id", "chunk_id", "place")
-
-
-def cover_bounded(candidates: DataFrame, slots: int, k: int) -> DataFrame:
-    """(query_id, chunk_id, place): rank 1 stays, at most `slots` places cover further aspects, the rest follows rank."""
-    query = Window.partitionBy("query_id")
-    later = F.col("aspect").isNotNull() & (F.col("rank") > 1)
-    first = later & (F.row_number().over(Window.partitionBy("query_id", "aspect", later).orderBy("rank")) == 1)
-    slot = F.when(first, F.row_number().over(Window.partitionBy("query_id", first).orderBy("aspect")))
-    kind = F.when(F.col("rank") == 1, 0).when(slot <= slots, slot).otherwise(slots + F.col("rank"))
-    chosen = candidates.withColumn("kind", kind).withColumn("place", F.row_number().over(query.orderBy("kind")))
-    return chosen.filter(F.col("place") <= k).select("query_id", "chunk_id", "place")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.embedding import profile
+from siltstone.operators import dense, fusion, planning, sparse
 from siltstone.operators import fixed as X
-from siltstone.operators import fusion, planning, sparse
 from siltstone.session import cut
 
 FIELDS = ["chunk_id", "title", "category", "heading_path", "text", "source_id"]
@@ -21,6 +22,44 @@ def direct_retrieve(questions: DataFrame, chunks: DataFrame, k: int = 7, pool: i
     return rerank_candidates(hits.drop("rank"), questions, chunks, k, rerank, scorer)
 
 
+def dense_candidates(questions: DataFrame, chunks: DataFrame, k: int, category: str | None = None, embed: Callable[[Column], Column] = profile) -> DataFrame:
+    """(query_id, rank, chunk_id, distance, channel): the k nearest chunks of each question by the vectors of `embed`.
+
+    embed turns a text column into a column of arrays; chunks are embedded by their index text, as BM25 reads them.
+    """
+    held = chunks if category is None else chunks.filter(F.col("category") == category)
+    vectors = held.select(F.col("chunk_id").alias("vec_id"), embed(sparse.index_text()).alias("embedding"))
+    hits = dense.l2_search(questions.select("query_id", embed(F.col("question")).alias("embedding")), vectors, k)
+    return hits.select("query_id", "rank", F.col("vec_id").alias("chunk_id"), "distance", F.lit("dense").alias("channel"))
+
+
+def hybrid_candidates(questions: DataFrame, chunks: DataFrame, k: int, category: str | None = None, embed: Callable[[Column], Column] = profile) -> DataFrame:
+    """The k nearest and the k best by BM25, fused by reciprocal rank with equal weights, the nearest as the first run."""
+    near = dense_candidates(questions, chunks, k, category, embed)
+    best = sparse.as_candidates(sparse.bm25_search(questions, chunks, k, category))
+    columns = ["query_id", "rank", "chunk_id", "distance", "channel"]
+    runs = near.select(*columns, F.lit(1).alias("run_ord")).unionByName(best.select(*columns, F.lit(2).alias("run_ord")))
+    return fusion.reciprocal_rank_fusion(runs.withColumn("aspect", F.lit(None).cast("string")).withColumn("weight", F.lit(1.0)))
+
+
+def retrieve(questions: DataFrame, chunks: DataFrame, strategy: str = "dense", k: int = 5, pool: int | None = None, category: str | None = None, rerank: str = "none", embed: Callable[[Column], Column] = profile, scorer: Callable | None = None) -> DataFrame:
+    """(query_id, chunk_id, score, rank): the k best of the max(k, pool) candidates of a strategy, reranked.
+
+    The strategy is dense, hybrid or bm25; another one is an error. Dense candidates have no score of their own: a
+    rerank starts from 1 / (1 + distance).
+    """
+    depth = max(k, pool or k)
+    if strategy == "hybrid":
+        hits = hybrid_candidates(questions, chunks, depth, category, embed)
+    elif strategy == "dense":
+        hits = dense_candidates(questions, chunks, depth, category, embed).withColumn("score", F.round(1 / (1 + F.col("distance")), 9))
+    elif strategy == "bm25":
+        hits = sparse.as_candidates(sparse.bm25_search(questions, chunks, depth, category))
+    else:
+        raise ValueError(f"strategy must be dense, hybrid or bm25, not {strategy}")
+    return rerank_candidates(hits.drop("rank"), questions, chunks, k, rerank, scorer)
+
+
 def rerank_candidates(hits: DataFrame, questions: DataFrame, chunks: DataFrame, k: int, mode: str, scorer: Callable | None = None) -> DataFrame:
     """Rerank by none, lexical or model; texts join the few candidates last, never the other way round."""
     if mode == "none":

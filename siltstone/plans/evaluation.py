@@ -50,8 +50,9 @@ def i02(spark, d):
     return grades(spark, d).withColumn("i", i).filter("i <= 10").groupBy("query_id").agg(F.round(F.sum(E._gain(F.col("grade"), F.col("i"))), 5).alias("ideal"))
 
 
-_POOL = f"""{_RANK}, pool0 AS (SELECT query_id, chunk_id, count(DISTINCT system) AS systems, array_to_string(list_transform(list_sort(list(DISTINCT {{'s': system, 'r': rank}})), lambda x: x.s || '=' || x.r), ',') AS provenance FROM rankings GROUP BY 1, 2),
+_POOLED = """pool0 AS (SELECT query_id, chunk_id, count(DISTINCT system) AS systems, array_to_string(list_transform(list_sort(list(DISTINCT {'s': system, 'r': rank})), lambda x: x.s || '=' || x.r), ',') AS provenance FROM rankings GROUP BY 1, 2),
 pooled AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sha256('42:' || query_id || ':' || chunk_id)) AS INTEGER) AS place FROM pool0)"""
+_POOL = f"{_RANK}, {_POOLED}"
 
 
 @add("i03_pool", f"WITH {_POOL} SELECT * FROM pooled")

@@ -27,11 +27,19 @@ def b01(spark, d):
     return table(spark, d, "documents").select("doc_id", html.markdown(page).alias("markdown"))
 
 
-@add("b04_python_symbols")
+_DEFINED = r"```[a-z]*\n(def load\([^`]*?)\n```"
+
+
+@add("b04_python_symbols", rf"""WITH wanted AS (SELECT DISTINCT lower(trim(source_id)) AS source_id, extract_symbol FROM source_manifest WHERE extract_symbol IS NOT NULL AND source_id IS NOT NULL),
+held AS (SELECT doc_id, coalesce(extract_symbol, 'Page.load') AS extract_symbol, regexp_extract(text, '{_DEFINED}', 1) AS code FROM documents LEFT JOIN wanted ON lower(trim(source)) = source_id WHERE text IS NOT NULL AND contains(text, '```'))
+SELECT doc_id, sha256(CASE WHEN code <> '' THEN '# Official symbol: ' || extract_symbol || chr(10) || replace(code, chr(10), chr(10) || '    ') END) AS text_hash, CASE WHEN code = '' THEN 'not defined: ' || extract_symbol END AS error FROM held""")
 def b04(spark, d):
-    code = "import os\n\n\n@first\nclass A:\n    def one(self):\n        return 1\n\n    async def two(self):\n        return 2\n\n\ndef f(x):\n    return x\n"
-    frame = spark.createDataFrame([(code, n) for n in ("A", "A.one", "A.two", "f", "A.none", "")] + [("def broken(", "f"), (None, "f")], "source string, symbol string")
-    return frame.select("symbol", html.symbol("source", "symbol").alias("code"))
+    wanted = table(spark, d, "source_manifest").filter("extract_symbol is not null and source_id is not null").select(F.lower(F.trim("source_id")).alias("source_id"), "extract_symbol").distinct()
+    docs = table(spark, d, "documents").filter(F.col("text").contains("```")).select("doc_id", F.lower(F.trim("source")).alias("source_id"), F.regexp_extract("text", _DEFINED, 1).alias("code"))
+    held = docs.join(wanted, "source_id", "left").withColumn("extract_symbol", F.coalesce("extract_symbol", F.lit("Page.load")))
+    body = F.when(F.col("code") == "", "    pass").otherwise(F.regexp_replace("code", "(?m)^", "    "))
+    made = held.withColumn("source", F.concat(F.lit("class "), F.substring_index("extract_symbol", ".", 1), F.lit(":\n"), body)).withColumn("s", html.symbol("source", "extract_symbol"))
+    return made.select("doc_id", T.sha256("s.text").alias("text_hash"), F.col("s.error").alias("error"))
 
 
 @add("e02_planned_retrieval")
@@ -58,7 +66,7 @@ def c20(spark, d):
 def e10(spark, d):
     c = R._candidates(spark, d)
     plans = planning.plan(R._asked(spark, d)).select("query_id", "aspects", "categories")
-    return retrieval.cover_plan(c, plans, 5)
+    return retrieval.cover_plan(c, plans, 5, by_rank=True)
 
 
 @add("g02_prompts", f"""WITH {S.TURNS} SELECT id, sha256('问题：' || {S.strip("coalesce(user_text, '')")} || chr(10) || '要求：只根据资料回答，并用 [n] 标注来源。' || chr(10) || '资料：' || chr(10) || coalesce(source_titles_json, '[]')) AS hash FROM spoken""")
@@ -100,9 +108,19 @@ def i36(spark, d):
     return dedupe.greedy_dedupe(table(spark, d, "embeddings"), "vec_id", "label", "embedding")
 
 
-@add("i09_system_grid", f"WITH {V._RANK} SELECT system, count(DISTINCT query_id) AS queries, count(*) AS rows FROM rankings GROUP BY system")
+@add("i09_system_grid", f"{R._SYSTEMS} SELECT system, count(DISTINCT query_id) AS queries, count(*) AS rows FROM rankings GROUP BY system")
 def i09(spark, d):
-    return V._rankings(spark, d).groupBy("system").agg(F.countDistinct("query_id").alias("queries"), F.count(F.lit(1)).alias("rows"))
+    return R._systems(spark, d).groupBy("system").agg(F.countDistinct("query_id").alias("queries"), F.count(F.lit(1)).alias("rows"))
+
+
+@add("i09_system_metrics", f"{R._SYSTEMS}, {S.GRADES}, {V._metrics_sql(10)} SELECT * FROM metrics")
+def i09_metrics(spark, d):
+    return E.ranking_metrics(R._systems(spark, d), grades(spark, d), 10)
+
+
+@add("i09_system_pool", f"{R._SYSTEMS}, {V._POOLED} SELECT * FROM pooled")
+def i09_pool(spark, d):
+    return E.pool_rankings(R._systems(spark, d))
 
 
 @add("h07_streamed", f"WITH {N._UP} SELECT namespace, content_hash, importance, kind, times FROM up")
@@ -156,12 +174,6 @@ def g12(spark, d):
     return c.select("id", F.col("c.passed").alias("rule_pass"), (F.col("c.passed") & (F.col("c.score") >= 3.5)).alias("coverage_pass"))
 
 
-@add("c04_strategies", R._BM25 + f" SELECT query_id, 'sparse' AS strategy, count(*) AS hits FROM (SELECT *, {R._TOP} AS rank FROM scores WHERE score > 0) WHERE rank <= 7 GROUP BY query_id")
-def c04(spark, d):
-    hits = retrieval.direct_retrieve(asked(spark, d), current_chunks(spark, d), 7, 16, "none")
-    return hits.groupBy("query_id").agg(F.lit("sparse").alias("strategy"), F.count(F.lit(1)).alias("hits"))
-
-
 @add("i38_novelty", f"""WITH d AS (SELECT q.vec_id, {R._L2} AS distance FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id), m AS (SELECT vec_id, min(distance) AS distance FROM d GROUP BY vec_id)
 SELECT vec_id, round(1 - distance / 2, 5) AS nearest, 1 - distance / 2 < 0.86 AS novel FROM m""")
 def i38(spark, d):

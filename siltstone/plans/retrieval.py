@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import sql as S
 from siltstone.functions import text as T
-from siltstone.operators import dense, fusion, planning, sparse
+from siltstone.functions.embedding import CHARACTERS
+from siltstone.operators import dense, fusion, planning, retrieval, sparse
 from siltstone.operators import fixed as X
 from siltstone.plans.registry import Registry
+from siltstone.session import cut
 from siltstone.sources.inputs import asked, current_chunks, questions
 from siltstone.sources.tables import table
 
@@ -105,7 +110,7 @@ def i35(spark, d):
 _RUNS = """pairs AS (SELECT DISTINCT query_id, chunk_id FROM qrels WHERE query_id IS NOT NULL AND chunk_id IS NOT NULL),
 runs AS (SELECT * FROM (SELECT query_id, chunk_id, r AS run_ord, CAST(row_number() OVER (PARTITION BY query_id, r ORDER BY sha256(r || ':' || chunk_id)) AS INTEGER) AS rank,
   (strpos('0123456789abcdef', substr(sha256(chunk_id || ':' || r), 1, 1)) - 1) / 16.0::DOUBLE AS distance, CASE r WHEN 2 THEN 'evaluation' WHEN 3 THEN 'techniques' END AS aspect,
-  CASE WHEN r = 2 THEN 'bm25' ELSE 'dense' END AS channel, CASE r WHEN 1 THEN 2.0::DOUBLE WHEN 2 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS weight FROM pairs, (VALUES (1), (2), (3)) t(r)) WHERE rank <= 4)"""
+  CASE WHEN r = 2 THEN 'bm25' ELSE 'dense' END AS channel, CASE r WHEN 1 THEN 2.0::DOUBLE WHEN 2 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS weight FROM pairs, (VALUES (1), (2), (3)) t(r)))"""
 
 
 def _runs(spark, d):
@@ -118,16 +123,18 @@ def _runs(spark, d):
     aspect = F.when(F.col("run_ord") == 2, "evaluation").when(F.col("run_ord") == 3, "techniques")
     channel = F.when(F.col("run_ord") == 2, "bm25").otherwise("dense")
     weight = F.when(F.col("run_ord") == 1, 2.0).when(F.col("run_ord") == 2, 1.0).otherwise(0.5)
-    return r.withColumns({"rank": F.row_number().over(by), "distance": digit, "aspect": aspect, "channel": channel, "weight": weight}).filter("rank <= 4")
+    return r.withColumns({"rank": F.row_number().over(by), "distance": digit, "aspect": aspect, "channel": channel, "weight": weight})
 
 
-_FUSED = _RUNS + """,
+_FUSE = """,
 steps AS (SELECT *, min(distance) OVER (PARTITION BY query_id, chunk_id ORDER BY run_ord, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM runs),
 fuse AS (SELECT query_id, chunk_id, round(sum(weight / (60 + rank)), 9) AS score, min(distance) AS distance,
-  coalesce(max_by(aspect, run_ord * 100 + rank) FILTER ((before IS NULL OR distance < before) AND aspect IS NOT NULL), min_by(aspect, run_ord * 100 + rank) FILTER (aspect IS NOT NULL)) AS aspect,
+  coalesce(max_by(aspect, run_ord * 1000000 + rank) FILTER ((before IS NULL OR distance < before) AND aspect IS NOT NULL), min_by(aspect, run_ord * 1000000 + rank) FILTER (aspect IS NOT NULL)) AS aspect,
   array_to_string(list_sort(list(DISTINCT channel)), ',') AS channels FROM steps GROUP BY 1, 2),
 fused AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, distance, chunk_id) AS INTEGER) AS rank FROM fuse)"""
 
+_FUSED = _RUNS + _FUSE
+
 
 def _fused(spark, d):
     return fusion.reciprocal_rank_fusion(_runs(spark, d))
@@ -152,9 +159,51 @@ def _candidates(spark, d):
     return _fused(spark, d).join(q, "query_id").join(current_chunks(spark, d).select("chunk_id", "title", "category", "heading_path", "text", "source_id"), "chunk_id")
 
 
-@add("c03_hybrid", f"WITH {_FUSED} SELECT query_id, chunk_id, rank FROM fused WHERE contains(channels, 'bm25') AND contains(channels, 'dense') AND rank <= 5")
+def _profile(x):
+    return "[" + ", ".join(f"100.0::DOUBLE * (length({x}) - length(replace({x}, '{c}', ''))) / greatest(length({x}), 1)" for c in CHARACTERS) + "]"
+
+
+#: The three systems over real searches: nearest by profile, best by BM25 and both fused, 16 candidates each.
+_SYSTEMS = f"""{_BM25}, vec AS (SELECT chunk_id, {_profile('x')} AS embedding FROM (SELECT chunk_id, {_INDEX} AS x FROM current)), qv AS (SELECT query_id, {_profile('question')} AS embedding FROM asked WHERE question IS NOT NULL),
+near AS (SELECT query_id, chunk_id, round(list_sum(list_transform(list_zip(qv.embedding, vec.embedding), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) AS distance FROM qv, vec),
+nearest AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS INTEGER) AS rank FROM near QUALIFY rank <= 16),
+best AS (SELECT query_id, chunk_id, 1 / (1 + score) AS distance, CAST({_TOP} AS INTEGER) AS rank FROM scores WHERE score > 0 QUALIFY rank <= 16),
+runs AS (SELECT query_id, chunk_id, rank, distance, 1 AS run_ord, 'dense' AS channel, NULL::VARCHAR AS aspect, 1.0::DOUBLE AS weight FROM nearest UNION ALL SELECT query_id, chunk_id, rank, distance, 2, 'bm25', NULL, 1.0 FROM best){_FUSE},
+rankings AS (SELECT query_id, 'dense' AS system, chunk_id, rank FROM nearest UNION ALL SELECT query_id, 'bm25', chunk_id, rank FROM best UNION ALL SELECT query_id, 'hybrid', chunk_id, rank FROM fused WHERE rank <= 16)"""
+
+
+def _systems(spark, d):
+    """(query_id, system, chunk_id, rank): every system run over every asked question."""
+    q, c = asked(spark, d), current_chunks(spark, d)
+    near = retrieval.dense_candidates(q, c, 16).withColumn("run_ord", F.lit(1))
+    best = sparse.as_candidates(sparse.bm25_search(q, c, 16)).withColumn("run_ord", F.lit(2))
+    columns = ["query_id", "rank", "chunk_id", "distance", "channel", "run_ord"]
+    runs = cut(near.select(*columns).unionByName(best.select(*columns)))
+    both = fusion.reciprocal_rank_fusion(runs.withColumn("aspect", F.lit(None).cast("string")).withColumn("weight", F.lit(1.0)))
+    fused = both.filter("rank <= 16").select("query_id", F.lit("hybrid").alias("system"), "chunk_id", "rank")
+    return runs.select("query_id", F.col("channel").alias("system"), "chunk_id", "rank").unionByName(fused)
+
+
+@add("c03_hybrid", f"{_SYSTEMS} SELECT query_id, chunk_id, score, rank, channels FROM fused WHERE rank <= 5")
 def c03(spark, d):
-    return _fused(spark, d).filter(F.col("channels").contains("bm25") & F.col("channels").contains("dense") & (F.col("rank") <= 5)).select("query_id", "chunk_id", "rank")
+    hits = retrieval.hybrid_candidates(asked(spark, d), current_chunks(spark, d), 16)
+    return retrieval.rerank_candidates(hits.drop("rank"), None, None, 5, "none").select("query_id", "chunk_id", "score", "rank", "channels")
+
+
+@add("c04_strategies", f"{_SYSTEMS} SELECT system AS strategy, query_id, chunk_id, rank FROM rankings WHERE rank <= 7 UNION ALL SELECT 'other', 'strategy must be dense, hybrid or bm25, not other', NULL, NULL")
+def c04(spark, d):
+    q, c = asked(spark, d), current_chunks(spark, d)
+    found = [retrieval.retrieve(q, c, s, 7, 16).select(F.lit(s).alias("strategy"), "query_id", "chunk_id", "rank") for s in ("dense", "bm25", "hybrid")]
+    try:
+        retrieval.retrieve(q, c, "other")
+    except ValueError as e:
+        found.append(spark.createDataFrame([("other", str(e), None, None)], "strategy string, query_id string, chunk_id string, rank int"))
+    return reduce(DataFrame.unionByName, found)
+
+
+@add("i09_system_runs", f"{_SYSTEMS} SELECT query_id, system, chunk_id, rank FROM rankings")
+def i09_runs(spark, d):
+    return _systems(spark, d)
 
 
 @add("c22_base_score", f"WITH {_FUSED} SELECT query_id, chunk_id, round(CASE WHEN rank % 2 = 0 THEN 1 / (1 + greatest(0, distance)) ELSE score END, 6) AS base FROM fused")
@@ -236,13 +285,6 @@ def e12(spark, d):
     return fusion.cover_aspects(_fused(spark, d), 3)
 
 
-@add("e11_bounded_coverage", f"""WITH {_FUSED}, f AS (SELECT *, aspect IS NOT NULL AND rank > 1 AND row_number() OVER (PARTITION BY query_id, aspect, (aspect IS NOT NULL AND rank > 1) ORDER BY rank) = 1 AS first FROM fused),
-k AS (SELECT *, CASE WHEN rank = 1 THEN 0 WHEN first AND row_number() OVER (PARTITION BY query_id, first ORDER BY aspect) <= 1 THEN 1 ELSE 1000 + rank END AS key FROM f)
-SELECT query_id, chunk_id, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY key) AS INTEGER) AS place FROM k) WHERE place <= 3""")
-def e11(spark, d):
-    return fusion.cover_bounded(_fused(spark, d), 1, 3)
-
-
 # --- planning -------------------------------------------------------------------------------------------------------
 
 
@@ -298,6 +340,24 @@ def _show(plans):
     return plans.select("query_id", "confidence", F.array_join(F.transform("aspects", lambda a: a["name"]), ",").alias("aspects"), F.array_join("categories", ",").alias("categories"), "intent", T.sha256(F.array_join("sub_queries", "\n")).alias("searches"))
 
 
+def _preferred():
+    narrow = "list_filter(a.categories, lambda x: x NOT IN ('RAG overview', 'RAG paper'))"
+    return f"CASE WHEN a.name = 'classification' OR len({narrow}) = 0 THEN a.categories ELSE {narrow} END"
+
+
+@add("e11_bounded_coverage", f"""WITH {_CAND}, {_PLAN2.replace(S.QUESTIONS + ', ', '')},
+c AS (SELECT cand.query_id, chunk_id, aspect, category, row_number() OVER (PARTITION BY cand.query_id ORDER BY rank) AS rank, aspects, categories AS asked FROM cand JOIN plans USING (query_id)),
+by_aspect AS (SELECT query_id, chunk_id, 0 AS way, pos, CASE WHEN list_contains({_preferred()}, category) THEN 0 ELSE 1 END AS other, rank FROM (SELECT *, unnest(aspects) AS a, unnest(range(1, len(aspects) + 1)) AS pos FROM c) WHERE aspect = a.name AND rank > 1),
+by_category AS (SELECT query_id, chunk_id, 1 AS way, list_position({S.lst(X.CATEGORY_PRIORITY)}, category) AS pos, 0 AS other, rank FROM c WHERE rank > 1 AND list_position({S.lst(X.CATEGORY_PRIORITY)}, category) > 0
+  AND list_contains(asked || flatten(list_transform(aspects, lambda x: x.categories)), category) AND category <> (SELECT coalesce(t.category, '') FROM c t WHERE t.query_id = c.query_id AND t.rank = 1)),
+slot AS (SELECT query_id, chunk_id FROM (SELECT * FROM by_aspect UNION ALL SELECT * FROM by_category) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY way, pos, other, rank) = 1),
+k AS (SELECT c.query_id, c.chunk_id, CASE WHEN rank = 1 THEN 0 WHEN slot.chunk_id IS NOT NULL THEN 1 ELSE 1000 + rank END AS key FROM c LEFT JOIN slot ON slot.query_id = c.query_id AND slot.chunk_id = c.chunk_id)
+SELECT query_id, chunk_id, place FROM (SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY key) AS INTEGER) AS place FROM k) WHERE place <= 3""")
+def e11(spark, d):
+    plans = planning.plan(_asked(spark, d)).select("query_id", "aspects", "categories", F.lit(3).alias("k"), F.lit(1).alias("slots"))
+    return retrieval.cover_plan_bounded(fusion.ranked(_candidates(spark, d)), plans)
+
+
 @add("d01_normalized", f"WITH {_P0} SELECT query_id, n AS normalized FROM p0")
 def d01(spark, d):
     return _asked(spark, d).select("query_id", planning.normalized("question").alias("normalized"))

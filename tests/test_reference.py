@@ -187,7 +187,11 @@ def test_html_and_symbols():
     assert html.html_to_markdown("<h2>Head</h2><script>x</script><p>a &amp; b<br>c<ul><li>one</ul>") == "## Head \n\n\na & b \nc \n\n\n- one"
     assert html.html_to_markdown(None) is None
     code = "@d\ndef f():\n    pass\n\nclass A:\n    def g(self):\n        return 1\n"
-    assert html.python_symbol(code, "f") == "@d\ndef f():\n    pass" and html.python_symbol(code, "A.g").strip().startswith("def g") and html.python_symbol(code, "A.h") is None
+    assert html.python_symbols(code, "f") == ("# Official symbol: f\n@d\ndef f():\n    pass", None)
+    assert html.python_symbols(code, "A.g")[0].startswith("# Official symbol: A.g\ndef g") and html.python_symbols(code, "A.h") == (None, "not defined: A.h")
+    both = html.python_symbols(code, " f, A.g ,")[0]
+    assert both.count("# Official symbol: ") == 2 and "\n\n# Official symbol: A.g\n" in both
+    assert html.python_symbols("def broken(", "f")[0] is None and html.python_symbols(None, "f") == (None, None) and html.python_symbols(code, None) == (code, None) and html.python_symbols(code, ",") == (None, "no name given")
 
 
 def test_greedy_dedupe_by_brute_force(spark):
