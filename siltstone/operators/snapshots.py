@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.sources.files import exists, replace_parquet
 from siltstone.sources.tables import latest
 
 #: States (keys times versions) that one block holds, so that neither more keys nor more deliveries make tasks grow.
@@ -35,14 +36,57 @@ def pack_bits(ordinals: np.ndarray, size: int) -> tuple[str, np.ndarray]:
     return "bits", np.packbits(bits)
 
 
-def unpack_bits(bitmap: tuple[str, np.ndarray], size: int) -> np.ndarray:
+Bitmap = tuple[str, np.ndarray]
+NOTHING: Bitmap = ("runs", np.zeros((0, 2), np.int64))
+
+
+def words(bitmap: Bitmap, size: int) -> np.ndarray:
+    """The packed bits of a bitmap; the few runs of one held as runs are written into them."""
+    kind, data = bitmap
+    if kind == "bits":
+        return data
+    packed = np.zeros((size + 7) // 8, np.uint8)
+    for start, length in data:
+        first, last = start >> 3, (start + length - 1) >> 3
+        head, tail = 0xFF >> (start & 7), (0xFF << (7 - ((start + length - 1) & 7))) & 0xFF
+        if first == last:
+            packed[first] |= head & tail
+        else:
+            packed[first] |= head
+            packed[first + 1 : last] = 0xFF
+            packed[last] |= tail
+    return packed
+
+
+def _sweep(a: np.ndarray, b: np.ndarray, wanted) -> Bitmap:
+    """The runs where wanted(in a, in b) holds, from the ends of the runs of both alone."""
+    edges = np.unique(np.concatenate([a[:, 0], a.sum(1), b[:, 0], b.sum(1)]))
+    if not len(edges):
+        return NOTHING
+    inside = [np.searchsorted(r[:, 0], edges, "right") > np.searchsorted(r.sum(1), edges, "right") for r in (a, b)]
+    held = wanted(*inside)[:-1]
+    return "runs", np.stack([edges[:-1][held], np.diff(edges)[held]], 1)
+
+
+def and_not(a: Bitmap, b: Bitmap, size: int) -> Bitmap:
+    """What is in a and not in b, without unpacking either: run by run, or word by word."""
+    if a[0] == b[0] == "runs":
+        return _sweep(a[1], b[1], lambda x, y: x & ~y)
+    return "bits", words(a, size) & ~words(b, size)
+
+
+def in_both(a: Bitmap, b: Bitmap, size: int) -> Bitmap:
+    if a[0] == b[0] == "runs":
+        return _sweep(a[1], b[1], lambda x, y: x & y)
+    return "bits", words(a, size) & words(b, size)
+
+
+def ordinals_of(bitmap: Bitmap, size: int) -> np.ndarray:
+    """The ordinals that a bitmap holds, in order."""
     kind, data = bitmap
     if kind == "bits":
-        return np.unpackbits(data, count=size).astype(bool)
-    edge = np.zeros(size + 1, np.int64)
-    np.add.at(edge, data[:, 0], 1)
-    np.add.at(edge, data[:, 0] + data[:, 1], -1)
-    return np.cumsum(edge[:-1]) > 0
+        return np.flatnonzero(np.unpackbits(data, count=size))
+    return np.concatenate([np.arange(s, s + n) for s, n in data]) if len(data) else np.zeros(0, np.int64)
 
 
 def normal_hash(column: str = "text_hash"):
@@ -82,43 +126,64 @@ def assign_ordinals(keys: DataFrame, blocks: int, known: DataFrame | None = None
     return found.select("key", "block", F.coalesce("kept", following).cast("int").alias("ordinal"))
 
 
+def stored_ordinals(keys: DataFrame, blocks: int, store: str) -> DataFrame:
+    """(key, block, ordinal) of every key ever seen, kept as a table at `store` and extended by the new keys.
+
+    The number of blocks is that of the first run, unless the table has outgrown it: more than four times the blocks
+    are asked for. Then the table starts anew with the number asked for.
+    """
+    spark = keys.sparkSession
+    known = spark.read.parquet(store) if exists(spark, store) else None
+    if known is not None:
+        of = known.select(F.max("of")).first()[0]
+        known, blocks = (known.drop("of"), of) if of and blocks <= 4 * of else (None, blocks)
+    found = assign_ordinals(keys, blocks, known)
+    every = found if known is None else found.unionByName(known.join(found.select("key"), "key", "left_anti"))
+    replace_parquet(every.withColumn("of", F.lit(blocks)), store)
+    return spark.read.parquet(store).drop("of")
+
+
 def _diff_block(pdf: pd.DataFrame, delivered: list[int]) -> pd.DataFrame:
     """All versions of one block: bitmaps per version, AND-NOT of neighbours, vectors of the keys in both."""
     size = int(pdf["ordinal"].max()) + 1
     keys = np.full(size, None, object)
     keys[pdf["ordinal"].to_numpy()] = pdf["key"].to_numpy(object)
-    bitmaps: dict[int, tuple[str, np.ndarray]] = {}
-    vectors: dict[int, np.ndarray] = {}
-    sources: dict[int, np.ndarray] = {}
+    # Values become numbers, alike where the values are; -1 is null.
+    hashes, sources = pd.factorize(pdf["hash"])[0], pd.factorize(pdf["source_id"])
+    names = np.append(np.asarray(sources[1], object), None)
+    pdf = pdf.assign(hash=hashes, source=sources[0])
+    bitmaps: dict[int, Bitmap] = {}
+    vectors: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for version, rows in pdf.groupby("version_no", sort=True):
         at = rows["ordinal"].to_numpy()
         bitmaps[version] = pack_bits(at, size)
-        for vector, column in ((vectors, "hash"), (sources, "source_id")):
-            vector[version] = np.full(size, None, object)
-            vector[version][at] = [None if x is None or x != x else x for x in rows[column].to_numpy(object)]
-    none = ("runs", np.zeros((0, 2), np.int64))
-    out: list[tuple] = []
+        vectors[version] = tuple(np.full(size, -1, np.int64) for _ in range(2))
+        for vector, column in zip(vectors[version], ("hash", "source")):
+            vector[at] = rows[column].to_numpy()
+    absent = (np.full(size, -1, np.int64),) * 2
+    parts: list[pd.DataFrame] = []
     for before, after in zip(delivered, delivered[1:]):
-        old, new = unpack_bits(bitmaps.get(before, none), size), unpack_bits(bitmaps.get(after, none), size)
-        both = np.flatnonzero(old & new)
-        changed = both
-        if len(both):
-            a, b = vectors[before][both], vectors[after][both]
-            changed = both[np.fromiter((x is not None and y is not None and x != y for x, y in zip(a, b)), bool, len(both))]
-        for kind, at, version in (("added", np.flatnonzero(new & ~old), after), ("removed", np.flatnonzero(old & ~new), before), ("changed", changed, after)):
+        old, new = bitmaps.get(before, NOTHING), bitmaps.get(after, NOTHING)
+        (a, earlier), (b, later) = vectors.get(before, absent), vectors.get(after, absent)
+        both = ordinals_of(in_both(old, new, size), size)
+        changed = both[(a[both] != b[both]) & (a[both] >= 0) & (b[both] >= 0)]
+        for kind, at, source in (("added", ordinals_of(and_not(new, old, size), size), later), ("removed", ordinals_of(and_not(old, new, size), size), earlier), ("changed", changed, later)):
             if len(at):
-                out += zip([after] * len(at), keys[at], [kind] * len(at), sources[version][at])
-    columns = list(zip(*out)) if out else [(), (), (), ()]
-    kinds = ("int32", object, object, object)
-    return pd.DataFrame({n: pd.Series(list(c), dtype=t) for n, c, t in zip(("version_no", "chunk_id", "change_type", "source_id"), columns, kinds)})
+                parts.append(pd.DataFrame({"version_no": np.int32(after), "chunk_id": keys[at], "change_type": kind, "source_id": names[source[at]]}))
+    if parts:
+        return pd.concat(parts, ignore_index=True)
+    return pd.DataFrame({"version_no": pd.Series([], dtype="int32"), **{c: pd.Series([], dtype=object) for c in ("chunk_id", "change_type", "source_id")}})
 
 
-def snapshot_changes(df: DataFrame, block_states: int = BLOCK_STATES, known: DataFrame | None = None, blocks: int | None = None) -> DataFrame:
+def snapshot_changes(df: DataFrame, block_states: int = BLOCK_STATES, known: DataFrame | None = None, blocks: int | None = None, store: str | None = None) -> DataFrame:
     """(version_no, chunk_id, change_type, source_id) from each delivered version to the next delivered one.
 
     version_no is the later version; change_type is added, removed or changed. A null hash means present and is
     never changed against its neighbours. source_id is the later state's (the earlier one's for a removal) and may
     be null. An empty table and a single version give no rows. Extra columns are ignored.
+
+    Ordinals come from the table at `store`, which is made or extended, or from `known` (with `blocks`, its number of
+    blocks); without either they hold for this call only.
     """
     states = snapshot_states(df)
     # One small aggregate: the versions are as many as the deliveries, whatever the number of rows.
@@ -126,11 +191,13 @@ def snapshot_changes(df: DataFrame, block_states: int = BLOCK_STATES, known: Dat
     delivered = list(facts[0] or [])
     if blocks is None:
         blocks = max(1, -(-int(facts[1]) * len(delivered) // block_states))
-    if known is None:
+    if store is not None:
+        spread = states.join(stored_ordinals(states.select("key"), blocks, store), "key")
+    elif known is not None:
+        spread = states.join(assign_ordinals(states, blocks, known), "key")
+    else:
         # Without earlier ordinals the block itself can rank its keys: one shuffle less.
         spread = states.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
-    else:
-        spread = states.join(assign_ordinals(states, blocks, known), "key")
 
     def diff(pdf: pd.DataFrame) -> pd.DataFrame:
         if "ordinal" not in pdf:

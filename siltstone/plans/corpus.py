@@ -5,6 +5,7 @@ from __future__ import annotations
 from siltstone.operators.snapshots import change_counts, snapshot_changes
 from siltstone.plans.registry import Registry
 from siltstone.sources.tables import table
+from siltstone.streaming.ingest import shared_folder
 
 registry = Registry()
 
@@ -31,7 +32,9 @@ changes AS (
 
 @registry.add("p6_found", _CHANGES + "SELECT version_no, chunk_id, change_type FROM changes WHERE change_type IS NOT NULL")
 def p6_found(spark, sf_dir):
-    return snapshot_changes(table(spark, sf_dir, "chunk_snapshots")).select("version_no", "chunk_id", "change_type")
+    # Another run that names the same folder goes on with its ordinals.
+    store = shared_folder(spark, "ordinals")
+    return snapshot_changes(table(spark, sf_dir, "chunk_snapshots"), store=store).select("version_no", "chunk_id", "change_type")
 
 
 @registry.add(

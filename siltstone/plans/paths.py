@@ -127,7 +127,7 @@ def i09_pool(spark, d):
 def h07_streamed(spark, d):
     target = ingest.shared_folder(spark, "memories")
     ingest.stream_memories(spark, f"{d}/turns.parquet", target, target + ".progress")
-    return spark.read.parquet(target).select("namespace", "content_hash", "importance", "kind", "times")
+    return ingest.read_memories(spark, target).select("namespace", "content_hash", "importance", "kind", "times")
 
 
 @add("s01_windowed_events", "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS events, round(sum(value), 4) AS value FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")

@@ -13,6 +13,11 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> Data
     return spark.read.schema(schema).json(path, mode="FAILFAST")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def replace_jsonl(df: DataFrame, path: str) -> None:
     """Write df beside `path`, then put it in the path's place by renaming in the same file system."""
     _replace(df, path, lambda writer, to: writer.json(to))

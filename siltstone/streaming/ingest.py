@@ -1,14 +1,15 @@
-"""Incremental paths as streams: turns become memories, snapshots become deltas, each micro-batch merged by rewriting."""
+"""Incremental paths as streams: turns become memories, each micro-batch a new version of the table."""
 
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.operators import memory
-from siltstone.sources.files import replace_parquet
+from siltstone.session import shared_root
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -29,21 +30,39 @@ def merge_memories(known: DataFrame, fresh: DataFrame) -> DataFrame:
     ).select("namespace", "content_hash", F.col("first.id").alias("id"), F.col("first.created_at").alias("created_at"), "importance", "updated_at", "kind", "content", "times")
 
 
+def versions(spark: SparkSession, target: str) -> list[int]:
+    """The complete versions of the table, in order; one that is still written, or was given up, isn't complete."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and _exists(spark, f"{target}/{n}/_SUCCESS"))
+
+
+def read_memories(spark: SparkSession, target: str) -> DataFrame:
+    """The latest complete version of the table."""
+    return spark.read.parquet(f"{target}/v{versions(spark, target)[-1]}")
+
+
 def stream_memories(spark: SparkSession, turns_path: str, target: str, checkpoint: str) -> None:
-    """Read what is new under turns_path, extract memories and merge them into the Parquet table at target.
+    """Read what is new under turns_path, extract memories and merge them into the table at target.
 
-    A turn delivered again in the same or another batch counts once: extraction runs on distinct turns, and a batch
-    is applied only if its number isn't recorded yet beside the table, so a repeated batch after a failure is harmless.
+    A batch is written as the version of its number; its commit - the marker of the finished job - is both the data
+    and the note that the batch is in, so a batch repeated after a failure finds itself done or starts afresh, and
+    readers never see a part. A turn delivered again in the same batch counts once. The last two versions are kept.
     """
     schema = spark.read.parquet(turns_path).schema
 
     def apply(batch: DataFrame, number: int) -> None:
-        if _exists(spark, f"{target}.batches/{number}"):
+        done = versions(spark, target)
+        if done and done[-1] >= number:
             return
         fresh = memory.upsert(memory.extract_memories(batch.dropDuplicates(["id"])))
-        merged = merge_memories(spark.read.parquet(target), fresh) if _exists(spark, target) else fresh
-        replace_parquet(merged, target)
-        spark.range(1).write.parquet(f"{target}.batches/{number}")
+        merged = merge_memories(spark.read.parquet(f"{target}/v{done[-1]}"), fresh) if done else fresh
+        merged.write.mode("overwrite").parquet(f"{target}/v{number}")
+        jvm = spark.sparkContext._jvm
+        for old in done[:-1]:
+            at = jvm.org.apache.hadoop.fs.Path(f"{target}/v{old}")
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
     # A file source watches folders or patterns; a single file is watched as a pattern that only it matches.
     watched = turns_path if _is_folder(spark, turns_path) else turns_path[:-1] + f"[{turns_path[-1]}]"
@@ -61,9 +80,5 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hou
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A folder of that name in the shared checkpoint folder, or a temporary one where none is set."""
-    import tempfile
-    import uuid
-
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="siltstone-")
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+    """A new folder of that name in the session's shared folder."""
+    return os.path.join(shared_root(spark), f"{name}-{uuid.uuid4().hex}")

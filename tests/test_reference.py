@@ -319,7 +319,7 @@ def test_streamed_memories_equal_the_batch(spark, tmp_path):
     ingest.stream_memories(spark, path, target, str(tmp_path / "progress"))
     ingest.stream_memories(spark, path, target, str(tmp_path / "progress"))
     key = lambda df: sorted((r.content, r.id, r.times, r.updated_at) for r in df.collect())
-    assert key(spark.read.parquet(target)) == key(memory.upsert(memory.extract_memories(turns)))
+    assert key(ingest.read_memories(spark, target)) == key(memory.upsert(memory.extract_memories(turns)))
 
 
 def test_manifest_and_urls(spark):

@@ -23,10 +23,41 @@ def test_bitmaps_round_trip():
     for size in (1, 7, 64, 1000):
         for many in (0, 1, size // 2, size):
             at = np.sort(rng.choice(size, many, replace=False))
-            assert (np.flatnonzero(S.unpack_bits(S.pack_bits(at, size), size)) == at).all()
+            assert (S.ordinals_of(S.pack_bits(at, size), size) == at).all()
+            assert (np.flatnonzero(np.unpackbits(S.words(S.pack_bits(at, size), size), count=size)) == at).all()
     assert S.pack_bits(np.arange(5000), 5000)[0] == "runs" and S.pack_bits(np.arange(0, 5000, 2), 5000)[0] == "bits"
 
 
+def test_bitmap_operations_equal_sets():
+    rng = np.random.default_rng(3)
+    made = []
+    for size in (1, 9, 600):
+        runs = [np.arange(a, min(size, a + n)) for a, n in ((0, size), (0, 0), (size // 3, size // 2), (size // 2, 1))]
+        mixed = np.unique(np.concatenate([np.arange(20, 300), np.arange(310, 311), np.arange(400, 555)]))
+        made += [(size, x, y) for x in [*runs, np.flatnonzero(rng.random(size) < 0.5), mixed[mixed < size]] for y in [*runs, np.flatnonzero(rng.random(size) < 0.2), mixed[mixed < size]]]
+    kinds = set()
+    for size, x, y in made:
+        a, b = S.pack_bits(x, size), S.pack_bits(y, size)
+        kinds.add((a[0], b[0]))
+        assert S.ordinals_of(S.and_not(a, b, size), size).tolist() == sorted(set(x.tolist()) - set(y.tolist()))
+        assert S.ordinals_of(S.in_both(a, b, size), size).tolist() == sorted(set(x.tolist()) & set(y.tolist()))
+    assert len(kinds) == 4
+
+
+def test_stored_ordinals_go_on(spark, tmp_path):
+    store = str(tmp_path / "ordinals")
+    rows = [(v, f"k{i}", f"h{i + v * (i % 3 == 0)}", "s", T0) for v in (1, 2) for i in range(v * 5, 60)]
+    want = found(spark.createDataFrame(rows, SCHEMA))
+    first = S.snapshot_changes(spark.createDataFrame(rows, SCHEMA), store=store)
+    assert sorted((r.version_no, r.chunk_id, r.change_type) for r in first.collect()) == want
+    before = {r.key: (r.block, r.ordinal) for r in spark.read.parquet(store).collect()}
+    rows += [(3, f"k{i}", "h", None, T0) for i in range(50, 90)]
+    again = S.snapshot_changes(spark.createDataFrame(rows, SCHEMA), store=store)
+    assert sorted((r.version_no, r.chunk_id, r.change_type) for r in again.collect()) == found(spark.createDataFrame(rows, SCHEMA))
+    after = {r.key: (r.block, r.ordinal) for r in spark.read.parquet(store).collect()}
+    assert all(after[k] == v for k, v in before.items()) and len(set(after.values())) == len(after) == 85
+
+
 def test_against_brute_force(spark):
     rng = random.Random(6)
     rows, state = [], {}
