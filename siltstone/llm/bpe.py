@@ -1,6 +1,6 @@
 """Byte-pair encoding with a public vocabulary: a priority queue of merges over a doubly linked symbol list.
 
-The vocabulary file is a parameter and is read once per Python worker. A pre-token is first cut wherever no token
+The vocabulary file is a parameter; the driver reads it and its bytes, about one MB, go to the executors once. A pre-token is first cut wherever no token
 of the vocabulary holds the two bytes that meet there: no merge can ever cross such a place, so the parts are
 encoded on their own, are short, and recur - which is what makes the cache of encoded parts effective.
 """
@@ -62,11 +62,10 @@ def merge_symbols(symbols: list, rank_of: Callable[[object, object], int | None]
 
 
 class BytePairs:
-    """Encoder and decoder for a rank file."""
+    """Encoder and decoder for the contents of a rank file."""
 
-    def __init__(self, path: str) -> None:
-        with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    def __init__(self, ranks: bytes) -> None:
+        self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, ranks.splitlines())}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.meets = {token[i : i + 2] for token in self.ranks for i in range(len(token) - 1)}
         self.split = regex.compile(PATTERN)
@@ -122,9 +121,15 @@ class BytePairs:
 
 
 @lru_cache(maxsize=2)
+def encoder_of(ranks: bytes) -> BytePairs:
+    """The encoder of the contents of a rank file, one per Python worker."""
+    return BytePairs(ranks)
+
+
 def encoder(path: str) -> BytePairs:
-    """The encoder of a rank file, one per Python worker."""
-    return BytePairs(path)
+    """The encoder of a rank file on this machine."""
+    with open(path, "rb") as file:
+        return encoder_of(file.read())
 
 
 def rank_file(name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> str:

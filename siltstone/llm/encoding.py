@@ -5,26 +5,33 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.bpe import encoder, rank_file
+from siltstone.llm.bpe import encoder_of, rank_file
 
 #: Texts per Arrow step inside a worker, so that the ids of one step stay small whatever the batch.
 STEP = 256
 
 
+def shipped(spark: SparkSession, path: str) -> Broadcast:
+    """The contents of a rank file as a broadcast: executors need no copy of the file. A public one is about 1 MB."""
+    with open(path, "rb") as file:
+        return spark.sparkContext.broadcast(file.read())
+
+
 def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """(key, ids): the token ids of each row's whole text, without special tokens.
 
     Null and empty texts give an empty list; a blank text is encoded like any other. Repeated rows stay repeated
     and a null key is kept. Only the two columns are read, whatever others the table has. Nothing is shuffled.
     """
-    path = path or rank_file()
+    ranks = shipped(df.sparkSession, path or rank_file())
     kind = df.schema[key].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoder(path)
+        tokens = encoder_of(ranks.value)
         for batch in batches:
             for at in range(0, batch.num_rows, STEP):
                 part = batch.slice(at, STEP)
@@ -37,11 +44,11 @@ def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", path: s
 
 def decode_ids(df: DataFrame, key: str = "doc_id", ids: str = "ids", path: str | None = None) -> DataFrame:
     """(key, text): the text of each row's ids; null and empty lists give an empty text."""
-    path = path or rank_file()
+    ranks = shipped(df.sparkSession, path or rank_file())
     kind = df.schema[key].dataType.simpleString()
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoder(path)
+        tokens = encoder_of(ranks.value)
         for batch in batches:
             texts = [tokens.decode(x or []) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["k", "text"])
@@ -51,11 +58,11 @@ def decode_ids(df: DataFrame, key: str = "doc_id", ids: str = "ids", path: str |
 
 def count_tokens(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """(key, n_tokens): the number of tokens of each row's whole text; 0 for null and empty texts."""
-    path = path or rank_file()
+    ranks = shipped(df.sparkSession, path or rank_file())
     kind = df.schema[key].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoder(path)
+        tokens = encoder_of(ranks.value)
         for batch in batches:
             sizes = [len(tokens.encode(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32())], names=["k", "n_tokens"])
