@@ -126,7 +126,8 @@ def stratified_sample(chunks: DataFrame, stratum: str, per: int, seed: int) -> D
     """(stratum, chunk_id, place): per stratum the chunks with the least hashes, preferring different sources."""
     key = F.sha2(F.concat_ws(":", F.lit(str(seed)), stratum, "chunk_id"), 256)
     first = F.row_number().over(Window.partitionBy(stratum, "source_id").orderBy("key"))
-    placed = chunks.withColumn("key", key).withColumn("nth", first)
+    # No source can give more than `per`; that is cut before the strata are sorted, and before the shuffle.
+    placed = chunks.withColumn("key", key).withColumn("nth", first).filter(F.col("nth") <= per)
     place = F.row_number().over(Window.partitionBy(stratum).orderBy(F.when(F.col("nth") == 1, 0).otherwise(1), "key"))
     return placed.withColumn("place", place).filter(F.col("place") <= per).select(stratum, "chunk_id", "place")
 

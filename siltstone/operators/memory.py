@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
+from siltstone.functions.embedding import profile
+from siltstone.operators import dense
 from siltstone.operators import fixed as X
 from siltstone.operators.planning import has_any
 
@@ -83,5 +87,21 @@ def recall_score(distance: Column, importance: Column, updated_at: Column, as_of
     return F.round(0.72 / (1 + F.greatest(F.lit(0.0), distance)) + 0.18 * importance + 0.10 * recency, 6)
 
 
+def recall(queries: DataFrame, memories: DataFrame, as_of: float, k: int = 5, embed: Callable[[Column], Column] = profile) -> DataFrame:
+    """The k best memories of each query's namespace, with `query_id`, distance, score and rank.
+
+    queries are (query_id, namespace, query). Of the 3 k memories nearest to a query within its namespace the k with
+    the best blend of nearness, importance and recency come out; ties go to the nearer, then the smaller hash. The
+    search keeps 3 k rows per task and query, so a namespace that holds a third of all memories isn't gathered.
+    """
+    key = F.concat_ws("\x1f", "namespace", "content_hash")
+    held = memories.withColumn("vec_id", key)
+    vectors = held.select("vec_id", embed(F.col("content")).alias("embedding"), F.col("namespace").alias("label"))
+    near = dense.l2_search(queries.select("query_id", embed(F.col("query")).alias("embedding"), F.col("namespace").alias("label")), vectors, 3 * k)
+    scored = near.drop("rank").join(held, "vec_id").withColumn("score", recall_score(F.col("distance"), F.col("importance"), F.col("updated_at"), as_of))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "distance", "content_hash")
+    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).drop("vec_id")
+
+
 def memory_line(rank: Column, kind: Column, importance: Column, score: Column, content: Column) -> Column:
     return F.format_string("%d. [%s, importance=%.2f, score=%.3f] %s", rank, kind, importance, score, content)

@@ -97,3 +97,20 @@ def lenient_object(text: Column | str) -> Column:
     inner = F.regexp_extract(t, r"(?s)(\{.*\})", 1)
     good = lambda x: F.when((x != "") & F.get_json_object(x, "$").isNotNull(), x)
     return F.coalesce(F.when(T.strip(t).startswith("{"), good(t)), good(inner))
+
+
+def combine_audits(rule_pass: Column, reply: Column, scores: dict[str, float]) -> Column:
+    """Whether an answer passes the rules and the model's audit; without a reply the rules alone decide.
+
+    The reply is a JSON object with `pass` and the named scores, each of which must reach its least value; one that
+    is absent counts as 0.
+    """
+    enough = F.coalesce(F.get_json_object(reply, "$.pass") == "true", F.lit(False))
+    for name, least in scores.items():
+        enough = enough & (F.coalesce(F.get_json_object(reply, f"$.{name}").cast("double"), F.lit(0.0)) >= least)
+    return rule_pass & (reply.isNull() | enough)
+
+
+#: Least scores of a model's audit of an answer, and of its coverage.
+ANSWER_SCORES = {"faithfulness_score": 4.0, "citation_score": 4.0, "relevance_score": 4.0}
+COVERAGE_SCORES = {"coverage_score": 4.0, "source_coverage_score": 3.5}

@@ -6,12 +6,13 @@ import json
 import os
 import re
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
+from siltstone.functions.embedding import profile
 from siltstone.operators import chunking
 
 VERSION_ID = r"^[A-Za-z0-9._-]+$"
@@ -72,6 +73,31 @@ def reuse(current: DataFrame, previous: DataFrame) -> DataFrame:
     return joined.select("chunk_id", F.when(F.col("own"), "same chunk").when(F.col("alike"), "same text").otherwise("new").alias("reuse"))
 
 
+def materialise(current: DataFrame, previous: DataFrame, embed: Callable[[Column], Column] = profile) -> DataFrame:
+    """(chunk_id, text_hash, embedding, reuse): the vectors of a version, taken from the previous one where the text is the same.
+
+    current is (chunk_id, source_id, text_hash, text), previous (chunk_id, source_id, text_hash, embedding). A vector
+    is taken from the same chunk with the same hash, else from a chunk of the same source with the same hash (of
+    several the one with the smallest id), else the text is embedded. Null hashes are never the same.
+    """
+    own = previous.groupBy("chunk_id", "text_hash").agg(F.first("embedding").alias("own"))
+    alike = previous.groupBy("source_id", "text_hash").agg(F.min_by("embedding", "chunk_id").alias("alike"))
+    joined = current.join(own, ["chunk_id", "text_hash"], "left").join(alike, ["source_id", "text_hash"], "left")
+    reuse = F.when(F.col("own").isNotNull(), "same chunk").when(F.col("alike").isNotNull(), "same text").otherwise("new")
+    # The branch of coalesce that embeds runs only for rows without a vector.
+    return joined.select("chunk_id", "text_hash", F.coalesce("own", "alike", embed(F.col("text"))).alias("embedding"), reuse.alias("reuse"))
+
+
+def store_problems(manifest: DataFrame, store: DataFrame, size: int) -> DataFrame:
+    """(chunk_id, problem): chunks whose stored vector is missing, unknown to the manifest, stale or of a wrong size.
+
+    manifest is (chunk_id, text_hash), store (chunk_id, text_hash, embedding); hashes are compared, nulls as equal.
+    """
+    m, s = manifest.select("chunk_id", F.col("text_hash").alias("due"), F.lit(True).alias("listed")), store.select("chunk_id", F.col("text_hash").alias("held"), "embedding", F.lit(True).alias("stored"))
+    problem = F.when(F.col("stored").isNull(), "missing").when(F.col("listed").isNull(), "unknown").when(~F.col("due").eqNullSafe(F.col("held")), "stale").when(F.coalesce(F.size("embedding"), F.lit(-1)) != size, "size")
+    return m.join(s, "chunk_id", "full_outer").select("chunk_id", problem.alias("problem")).filter("problem is not null")
+
+
 def source_states(chunks: DataFrame) -> DataFrame:
     """(source_id, chunk_count, ids_hash, texts_hash): per source the ordered chunk ids and text hashes, folded.
 

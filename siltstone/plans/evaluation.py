@@ -225,11 +225,11 @@ def i33(spark, d):
     return _oracle(spark, d).select("query_id", "delta", "benefit")
 
 
-_ROUTED = f"""{R._PLAN2}, {R._ROUTE}, routed AS (SELECT query_id, CASE WHEN complexity >= 3 AND estimated_ms <= 12000 THEN 'planned' ELSE 'direct' END AS route FROM r)"""
+_ROUTED = f"""{R._PLAN2}, {R._ROUTE}, routed AS (SELECT query_id, estimated_ms, CASE WHEN complexity >= 3 AND estimated_ms <= 12000 THEN 'planned' ELSE 'direct' END AS route FROM r)"""
 
 
 def _routed(spark, d):
-    return planning.route(planning.plan(R._asked(spark, d))).select("query_id", "route")
+    return planning.route(planning.plan(R._asked(spark, d))).select("query_id", "route", "estimated_ms")
 
 
 def _both(a, b):
@@ -243,19 +243,19 @@ def i27(spark, d):
     return j.groupBy("route").agg(F.count(F.lit(1)).alias("queries"), F.sum("m").alias("matches"), F.round(F.avg("m"), 4).alias("match_rate"))
 
 
-@add("i28_acceptance", f"""WITH {_both(_ROUTED, _ORACLE)}, j AS (SELECT b.*, rt.route, m.ndcg, m.recall, m.reciprocal_rank AS rr FROM routed rt JOIN benefit b USING (query_id) JOIN metrics m ON m.query_id = rt.query_id AND m.system = rt.route),
+@add("i28_acceptance", f"""WITH {_both(_ROUTED, _ORACLE)}, j AS (SELECT b.*, rt.route, rt.estimated_ms, m.ndcg, m.recall, m.reciprocal_rank AS rr FROM routed rt JOIN benefit b USING (query_id) JOIN metrics m ON m.query_id = rt.query_id AND m.system = rt.route),
 dd AS (SELECT avg(ndcg) AS ndcg, avg(recall) AS recall, avg(reciprocal_rank) AS rr FROM metrics WHERE system = 'direct' AND query_id IN (SELECT query_id FROM j)),
-aa AS (SELECT avg(ndcg) AS ndcg, avg(recall) AS recall, avg(rr) AS rr, avg(CASE WHEN route = oracle THEN 1.0::DOUBLE ELSE 0 END) AS match, count(*) FILTER (route = 'planned' AND delta < -0.25) AS harm FROM j)
-SELECT name, passed FROM (SELECT unnest([{{'name': 'auto_ndcg_noninferior', 'passed': aa.ndcg >= dd.ndcg - 0.03}}, {{'name': 'auto_recall_noninferior', 'passed': aa.recall >= dd.recall - 0.03}}, {{'name': 'auto_mrr_noninferior', 'passed': aa.rr >= dd.rr - 0.05}}, {{'name': 'oracle_agreement', 'passed': match >= 0.6}}, {{'name': 'planned_route_worst_case', 'passed': harm = 0}}], recursive := true) FROM aa, dd)""")
+aa AS (SELECT avg(ndcg) AS ndcg, avg(recall) AS recall, avg(rr) AS rr, avg(CASE WHEN route = oracle THEN 1.0::DOUBLE ELSE 0 END) AS match, count(*) FILTER (route = 'planned' AND delta < -0.25) AS harm, median(estimated_ms) / 1000 AS seconds FROM j)
+SELECT name, passed FROM (SELECT unnest([{{'name': 'auto_ndcg_noninferior', 'passed': aa.ndcg >= dd.ndcg - 0.03}}, {{'name': 'auto_recall_noninferior', 'passed': aa.recall >= dd.recall - 0.03}}, {{'name': 'auto_mrr_noninferior', 'passed': aa.rr >= dd.rr - 0.05}}, {{'name': 'oracle_agreement', 'passed': match >= 0.6}}, {{'name': 'planned_route_worst_case', 'passed': harm = 0}}, {{'name': 'median_latency_within_budget', 'passed': seconds <= 4.0}}], recursive := true) FROM aa, dd)""")
 def i28(spark, d):
     m = E.ranking_metrics(_rankings(spark, d), grades(spark, d), 5)
     j = _routed(spark, d).join(E.oracle_routes(m, "direct", "planned"), "query_id")
-    auto = j.join(m.withColumnRenamed("system", "route"), ["query_id", "route"]).select("query_id", "route", "oracle", "delta", "ndcg", "recall", F.col("reciprocal_rank").alias("rr"))
+    auto = j.join(m.withColumnRenamed("system", "route"), ["query_id", "route"]).select("query_id", "route", "estimated_ms", "oracle", "delta", "ndcg", "recall", F.col("reciprocal_rank").alias("rr"))
     direct = m.filter("system = 'direct'").select("query_id", F.col("ndcg").alias("d_ndcg"), F.col("recall").alias("d_recall"), F.col("reciprocal_rank").alias("d_rr"))
     s = auto.join(direct, "query_id").agg(
-        *[F.avg(c).alias(c) for c in ("ndcg", "recall", "rr", "d_ndcg", "d_recall", "d_rr")], F.avg((F.col("route") == F.col("oracle")).cast("double")).alias("match"), F.count_if((F.col("route") == "planned") & (F.col("delta") < -0.25)).alias("harm")
+        *[F.avg(c).alias(c) for c in ("ndcg", "recall", "rr", "d_ndcg", "d_recall", "d_rr")], F.avg((F.col("route") == F.col("oracle")).cast("double")).alias("match"), F.count_if((F.col("route") == "planned") & (F.col("delta") < -0.25)).alias("harm"), (F.median("estimated_ms") / 1000).alias("seconds")
     )
-    checks = {"auto_ndcg_noninferior": F.col("ndcg") >= F.col("d_ndcg") - 0.03, "auto_recall_noninferior": F.col("recall") >= F.col("d_recall") - 0.03, "auto_mrr_noninferior": F.col("rr") >= F.col("d_rr") - 0.05, "oracle_agreement": F.col("match") >= 0.6, "planned_route_worst_case": F.col("harm") == 0}
+    checks = {"auto_ndcg_noninferior": F.col("ndcg") >= F.col("d_ndcg") - 0.03, "auto_recall_noninferior": F.col("recall") >= F.col("d_recall") - 0.03, "auto_mrr_noninferior": F.col("rr") >= F.col("d_rr") - 0.05, "oracle_agreement": F.col("match") >= 0.6, "planned_route_worst_case": F.col("harm") == 0, "median_latency_within_budget": F.col("seconds") <= 4.0}
     return s.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), c.alias("passed")) for n, c in checks.items()])).alias("c")).select("c.name", "c.passed")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import sql as S
 from siltstone.functions import text as T
+from siltstone.functions.embedding import CHARACTERS, profile
 from siltstone.operators import fixed as X
 from siltstone.operators import chunking, memory, planning, safety, versions
 from siltstone.operators.snapshots import snapshot_states
@@ -94,6 +95,35 @@ def f08(spark, d):
     return versions.manifest_differences(versions.source_states(c.filter(~F.col("chunk_id").endswith("7"))), versions.source_states(c))
 
 
+_FIRST = """before AS (SELECT chunk_id, source_id, lower(text_hash) AS h, text FROM chunks WHERE chunk_id IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY loaded_at NULLS FIRST, text NULLS FIRST, source_id NULLS FIRST, text_hash NULLS FIRST) = 1)"""
+
+
+def _first_version(spark, d):
+    """(chunk_id, source_id, text_hash, text): the earliest delivered text of every chunk."""
+    r = F.struct("loaded_at", "text", "source_id", "text_hash")
+    one = table(spark, d, "chunks").filter("chunk_id is not null").groupBy("chunk_id").agg(F.min(r).alias("r"))
+    return one.select("chunk_id", "r.source_id", F.lower("r.text_hash").alias("text_hash"), "r.text")
+
+
+@add("f07_materialised", f"""WITH {S.CURRENT}, {_FIRST}, c AS (SELECT chunk_id, source_id, lower(text_hash) AS h, text FROM current), alike AS (SELECT source_id, h, arg_min(text, chunk_id) AS text FROM before GROUP BY 1, 2),
+j AS (SELECT c.chunk_id, CASE WHEN b.chunk_id IS NOT NULL THEN 'same chunk' WHEN a.h IS NOT NULL THEN 'same text' ELSE 'new' END AS reuse, CASE WHEN b.chunk_id IS NOT NULL THEN b.text WHEN a.h IS NOT NULL THEN a.text ELSE c.text END AS t FROM c LEFT JOIN before b ON b.chunk_id = c.chunk_id AND b.h = c.h LEFT JOIN alike a ON a.source_id = c.source_id AND a.h = c.h)
+SELECT chunk_id, reuse, round(list_sum({R._profile('t')}), 4) AS total FROM j""")
+def f07_materialised(spark, d):
+    before = _first_version(spark, d).select("chunk_id", "source_id", "text_hash", profile(F.col("text")).alias("embedding"))
+    made = versions.materialise(current_chunks(spark, d).withColumn("text_hash", F.lower("text_hash")), before)
+    return made.select("chunk_id", "reuse", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+@add("f08_store_check", f"""WITH {S.CURRENT}, {_FIRST}, m AS (SELECT chunk_id, lower(text_hash) AS h FROM current WHERE NOT ends_with(chunk_id, '3')), s AS (SELECT chunk_id, h, CASE WHEN ends_with(chunk_id, '5') THEN 1 ELSE {len(CHARACTERS)} END AS n FROM before WHERE NOT ends_with(chunk_id, '7')),
+p AS (SELECT coalesce(m.chunk_id, s.chunk_id) AS chunk_id, CASE WHEN s.chunk_id IS NULL THEN 'missing' WHEN m.chunk_id IS NULL THEN 'unknown' WHEN m.h IS DISTINCT FROM s.h THEN 'stale' WHEN n <> {len(CHARACTERS)} THEN 'size' END AS problem FROM m FULL JOIN s ON m.chunk_id = s.chunk_id) SELECT * FROM p WHERE problem IS NOT NULL""")
+def f08_store(spark, d):
+    vector = F.when(F.col("chunk_id").endswith("5"), F.array(F.lit(1.0))).otherwise(profile(F.coalesce("text", F.lit(""))))
+    store = _first_version(spark, d).filter(~F.col("chunk_id").endswith("7")).withColumn("embedding", vector)
+    manifest = current_chunks(spark, d).filter(~F.col("chunk_id").endswith("3")).withColumn("text_hash", F.lower("text_hash"))
+    return versions.store_problems(manifest, store, len(CHARACTERS))
+
+
 @add("f10_version_ids", "SELECT DISTINCT version_id, regexp_matches(version_id, '^[A-Za-z0-9._-]+$') AS valid FROM (SELECT version_id FROM chunk_snapshots UNION ALL VALUES ('a b'), ('../x'), ('v1.2_3-x'))")
 def f10(spark, d):
     ids = table(spark, d, "chunk_snapshots").select("version_id").unionByName(spark.createDataFrame([("a b",), ("../x",), ("v1.2_3-x",)], "version_id string"))
@@ -216,14 +246,55 @@ def g11(spark, d):
     return c.select("id", "c.covered", "c.thin", "c.missing", "c.score")
 
 
-_COMBINED = "CASE WHEN llm_relevance >= 2 AND codex_relevance >= 2 AND human_relevance >= 2 THEN true ELSE false END"
+def _digit(x, n):
+    return f"(strpos('0123456789abcdef', substr(sha256({x}), {n}, 1)) - 1)"
+
+
+#: A model's replies, which a seam would give, made from the id: none for a quarter of the turns, else a verdict and scores.
+_SILENT, _PASS = f"{_digit('id', 1)} < 4", f"{_digit('id', 2)} >= 2"
+_ANSWER_OK = f"({_PASS} AND " + " AND ".join(f"4 + {_digit('id', n)} % 2 - CASE WHEN {_digit('id', n)} = 7 THEN 3 ELSE 0 END >= 4" for n in (3, 4, 5)) + ")"
+_COVER_OK = f"({_PASS} AND 4 + {_digit('id', 6)} % 2 - CASE WHEN {_digit('id', 6)} = 7 THEN 3 ELSE 0 END >= 4 AND 3 + ({_digit('id', 7)} % 5) * 0.5 >= 3.5)"
+_RULE_OK = "((len(valid) > 0 OR insufficient) AND len(outside) = 0 AND (listed OR insufficient))"
+
+
+def _replies(spark, d):
+    """Turns with the replies `answer_reply` and `coverage_reply` of a model."""
+    digit = lambda n: F.conv(F.substring(F.sha2("id", 256), n, 1), 16, 10).cast("int")
+    score = lambda n: (4 + digit(n) % 2 - F.when(digit(n) == 7, 3).otherwise(0)).cast("string")
+    head = F.concat(F.lit('{"pass": '), (digit(2) >= 2).cast("string"))
+    answer = F.concat(head, *[x for name, n in zip(safety.ANSWER_SCORES, (3, 4, 5)) for x in (F.lit(f', "{name}": '), score(n))], F.lit("}"))
+    cover = F.concat(head, F.lit(', "coverage_score": '), score(6), F.lit(', "source_coverage_score": '), (3 + (digit(7) % 5) * 0.5).cast("string"), F.lit("}"))
+    spoken = turns(spark, d).filter("user_text is not null and answer is not null")
+    return spoken.withColumn("answer_reply", F.when(digit(1) >= 4, answer)).withColumn("coverage_reply", F.when(digit(1) >= 4, cover))
 
 
-@add("g10_combined_audit", f"SELECT DISTINCT query_id, chunk_id, {_COMBINED} AS passed, coalesce(llm_relevance, 0) + coalesce(codex_relevance, 0) + coalesce(human_relevance, 0) + CASE WHEN {_COMBINED} THEN 10 ELSE 0 END AS quality FROM spot_audit")
+def _audited(spark, d):
+    """(id, overall_pass, coverage_pass, planned, security_pass) of every turn: rules and replies together."""
+    t = planning.plan(_replies(spark, d).withColumn("question", F.col("user_text")))
+    t = t.withColumn("a", safety.citation_audit("answer", F.lit(3))).withColumn("c", safety.coverage_audit("answer", F.transform("aspects", lambda a: a["name"]))).withColumn("s", safety.screen_request("user_text"))
+    overall = safety.combine_audits(F.col("a.passed"), F.col("answer_reply"), safety.ANSWER_SCORES)
+    cover = safety.combine_audits(F.col("c.passed"), F.col("coverage_reply"), safety.COVERAGE_SCORES)
+    return t.select("id", overall.alias("overall_pass"), cover.alias("coverage_pass"), (F.size("aspects") > 0).alias("planned"), (F.size(safety.security_audit("answer", F.col("s.action"), F.lit(0))) == 0).alias("security_pass"))
+
+
+@add("g10_combined_audit", f"WITH {_AUDIT} SELECT id, {_RULE_OK} AND ({_SILENT} OR {_ANSWER_OK}) AS overall_pass FROM a0 JOIN spoken USING (id) WHERE user_text IS NOT NULL")
 def g10(spark, d):
-    scores = [F.coalesce(f"{w}_relevance", F.lit(0)) for w in ("llm", "codex", "human")]
-    passed = (scores[0] >= 2) & (scores[1] >= 2) & (scores[2] >= 2)
-    return table(spark, d, "spot_audit").select("query_id", "chunk_id", passed.alias("passed"), (sum(scores[1:], scores[0]) + F.when(passed, 10).otherwise(0)).alias("quality")).distinct()
+    return _audited(spark, d).select("id", "overall_pass")
+
+
+_COVER_RULE = "(missing = 0 AND CASE WHEN n = 0 THEN 5.0::DOUBLE ELSE round(5.0::DOUBLE * covered / n, 1) END >= 4)"
+
+
+@add("g12_combined_coverage", f"{_COVERAGE} SELECT id, {_COVER_RULE} AND ({_SILENT} OR {_COVER_OK}) AS coverage_pass FROM (SELECT *, query_id AS id FROM g)")
+def g12(spark, d):
+    return _audited(spark, d).select("id", "coverage_pass")
+
+
+@add("g13_full_audit", f"""{_COVERAGE}, {_AUDIT.replace(S.TURNS + ", ", "", 1)}, scr AS ({_SCREEN}), sec AS (SELECT t.id, NOT ((s.action = 'refuse' AND NOT contains(t.answer, '无法执行该请求')) OR (s.action = 'insufficient' AND NOT contains(t.answer, '资料不足') AND NOT contains(t.answer, '不足以回答')) OR contains(t.answer, 'SECURITY_BYPASS_OK')) AS security_pass FROM spoken t JOIN (SELECT DISTINCT question, action FROM scr) s ON s.question = t.user_text WHERE t.answer IS NOT NULL),
+e AS (SELECT id, {_RULE_OK} AND ({_SILENT} OR {_ANSWER_OK}) AND (n = 0 OR ({_COVER_RULE} AND ({_SILENT} OR {_COVER_OK}))) AND security_pass AS quality_pass FROM a0 JOIN (SELECT *, query_id AS id FROM g) USING (id) JOIN sec USING (id)) SELECT id, quality_pass, NOT quality_pass AS repair FROM e""")
+def g13_full(spark, d):
+    good = F.col("overall_pass") & (~F.col("planned") | F.col("coverage_pass")) & F.col("security_pass")
+    return _audited(spark, d).select("id", good.alias("quality_pass"), (~good).alias("repair"))
 
 
 @add("g07_security_audit", f"""WITH s AS ({_SCREEN}), {S.TURNS}, j AS (SELECT t.id, s.action, coalesce(t.answer, '') AS a FROM spoken t JOIN s ON s.question = t.user_text)
@@ -288,17 +359,17 @@ def h07(spark, d):
     return memory.upsert(memory.extract_memories(turns(spark, d))).select("namespace", "content_hash", "id", F.round("created_at", 3).alias("created_at"), "importance", F.round("updated_at", 3).alias("updated_at"), "kind", "times")
 
 
-_DIST = "(strpos('0123456789abcdef', substr(content_hash, 1, 1)) - 1) / 8.0::DOUBLE"
-_RECALL = f"{_UP}, sc AS (SELECT namespace, content_hash, kind, content, importance, round(0.72::DOUBLE / (1 + greatest(0, {_DIST})) + 0.18::DOUBLE * importance + 0.1::DOUBLE * (CASE WHEN updated_at IS NULL OR updated_at = 0 THEN 0 ELSE 1 / (1 + greatest(0, (1800000000.0::DOUBLE - updated_at) / 86400)) END), 6) AS score FROM up), rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY namespace ORDER BY score DESC, content_hash) AS INTEGER) AS rank FROM sc)"
+_RECALL = f"""{_UP}, asking AS (SELECT namespace, arg_max(user_text, (created_at, id)) AS q FROM spoken WHERE user_text IS NOT NULL AND namespace IS NOT NULL AND created_at IS NOT NULL GROUP BY 1), qv AS (SELECT namespace, {R._profile('q')} AS embedding FROM asking),
+near AS (SELECT up.*, round(list_sum(list_transform(list_zip(qv.embedding, {R._profile('content')}), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) AS distance FROM qv JOIN up USING (namespace)),
+nearest AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY namespace ORDER BY distance, content_hash) <= 15),
+sc AS (SELECT namespace, content_hash, kind, content, importance, distance, round(0.72::DOUBLE / (1 + greatest(0, distance)) + 0.18::DOUBLE * importance + 0.1::DOUBLE * (CASE WHEN updated_at IS NULL OR updated_at = 0 THEN 0 ELSE 1 / (1 + greatest(0, (1800000000.0::DOUBLE - updated_at) / 86400)) END), 6) AS score FROM nearest),
+rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY namespace ORDER BY score DESC, distance, content_hash) AS INTEGER) AS rank FROM sc)"""
 
 
 def _recalled(spark, d):
-    from pyspark.sql import Window
-
-    distance = F.conv(F.substring("content_hash", 1, 1), 16, 10).cast("double") / 8
-    up = memory.upsert(memory.extract_memories(turns(spark, d)))
-    scored = up.withColumn("score", memory.recall_score(distance, F.col("importance"), F.col("updated_at"), 1_800_000_000.0))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("namespace").orderBy(F.desc("score"), "content_hash"))).filter("rank <= 5")
+    spoken = turns(spark, d)
+    asking = spoken.filter("user_text is not null and namespace is not null and created_at is not null").groupBy("namespace").agg(F.max_by("user_text", F.struct("created_at", "id")).alias("query"))
+    return memory.recall(asking.withColumn("query_id", F.col("namespace")), memory.upsert(memory.extract_memories(spoken)), 1_800_000_000.0)
 
 
 @add("h08_recall", f"WITH {_RECALL} SELECT namespace, rank, content_hash, score FROM rk WHERE rank <= 5")

@@ -164,27 +164,19 @@ def g03(spark, d):
     return kept.groupBy("query_id").agg(F.count(F.lit(1)).alias("sources"), T.sha256(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "block"))), lambda x: x["block"]), "\n\n")).alias("hash"))
 
 
-@add("g12_combined_coverage", f"""{N._COVERAGE}, s AS (SELECT query_id AS id, CASE WHEN n = 0 THEN 5.0::DOUBLE ELSE round(5.0::DOUBLE * covered / n, 1) END AS score, missing FROM g), a AS (SELECT query_id AS id FROM g)
-SELECT id, missing = 0 AND score >= 4 AS rule_pass, missing = 0 AND score >= 4 AND score >= 3.5 AS coverage_pass FROM s""")
-def g12(spark, d):
-    from siltstone.operators import safety
-
-    t = turns(spark, d).filter("user_text is not null and answer is not null").withColumn("question", F.col("user_text"))
-    c = planning.plan(t).withColumn("c", safety.coverage_audit("answer", F.transform("aspects", lambda a: a["name"])))
-    return c.select("id", F.col("c.passed").alias("rule_pass"), (F.col("c.passed") & (F.col("c.score") >= 3.5)).alias("coverage_pass"))
-
-
-@add("i38_novelty", f"""WITH d AS (SELECT q.vec_id, {R._L2} AS distance FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id), m AS (SELECT vec_id, min(distance) AS distance FROM d GROUP BY vec_id)
-SELECT vec_id, round(1 - distance / 2, 5) AS nearest, 1 - distance / 2 < 0.86 AS novel FROM m""")
+@add("i38_novelty", """WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS e FROM embeddings),
+m AS (SELECT q.vec_id, max(list_sum(list_transform(list_zip(q.e, v.e), lambda p: p[1] * p[2]))) AS nearest FROM u q, u v WHERE q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id GROUP BY 1) SELECT vec_id, round(nearest, 5) AS nearest, nearest < 0.86 AS novel FROM m""")
 def i38(spark, d):
     from siltstone.operators import dense
 
-    e = table(spark, d, "embeddings")
-    near = dense.l2_search(e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e, 2).filter("vec_id <> query_id")
+    norm = F.sqrt(F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x))
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") / norm).alias("embedding"))
+    near = dense.l2_search(e.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), e, 2).filter("vec_id <> query_id")
     cosine = 1 - F.min("distance") / 2
     return near.groupBy(F.col("query_id").alias("vec_id")).agg(F.round(cosine, 5).alias("nearest"), (cosine < 0.86).alias("novel"))
 
 
+
 @add("i37_lexical_similarity")
 def i37(spark, d):
     """Of every question, the likeness to the most alike of all questions with a lower id."""
