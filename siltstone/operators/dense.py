@@ -49,7 +49,7 @@ def l2_search(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     def one(block: int) -> DataFrame:
         rows = numbered.filter(F.col("_b") == block).collect()  # about PASS_BYTES
         ids = np.array([r.query_id for r in rows] or [0])
-        points = np.array([r.embedding for r in rows], np.float64).reshape(len(rows), -1)
+        points = np.array([r.embedding for r in rows], np.float64).reshape(len(rows), size)
         labels = np.array([r.label for r in rows], object) if filtered else None
 
         def nearest(at: np.ndarray, place: np.ndarray, theirs: np.ndarray | None, begin: int) -> tuple[np.ndarray, ...]:

@@ -166,3 +166,68 @@ def parse_judgments(replies: DataFrame) -> DataFrame:
     kind = "struct<rows: array<struct<chunk_id: string, relevance: int, reason: string>>, problem: string>"
     parsed = replies.select("query_id", F.udf(judgments_of, kind, useArrow=True)("content", "expected").alias("p"))
     return parsed.select("query_id", "p.problem", F.posexplode_outer("p.rows").alias("at", "r")).select("query_id", (F.col("at") + 1).alias("place"), "r.*", "problem")
+
+
+def _term_hits(text: Column, terms: list[str]) -> Column:
+    return sum((F.when(F.contains(F.lower(text), F.lit(t.lower())), 1).otherwise(0) for t in terms), F.lit(0))
+
+
+def response_checks(responses: DataFrame, case: dict) -> DataFrame:
+    """(id, check, required, passed) of end-to-end responses against what a case expects.
+
+    responses are (id, ok, quality_pass, answer, aspects, categories, sources, memory_answer_mode, retrieved, stored)
+    with the names found and the text of the sources. A response that isn't ok has that one check. The case may hold
+    must_quality_pass; expected_aspects, expected_categories, expected_source_terms and expected_answer_terms, each
+    with the least number of hits as least_..., all of them by default; memory_answer_mode, least_retrieved,
+    most_stored; and insufficient_terms, one of which the answer must hold. What it doesn't hold isn't checked.
+    """
+    answer = F.coalesce("answer", F.lit(""))
+    found = lambda c, wanted: F.size(F.array_intersect(F.coalesce(c, F.array().cast("array<string>")), F.array(*map(F.lit, wanted))))
+    counts = {"aspects": lambda w: found("aspects", w), "categories": lambda w: found("categories", w), "source_terms": lambda w: _term_hits(F.coalesce("sources", F.lit("")), w), "answer_terms": lambda w: _term_hits(answer, w)}
+    must = bool(case.get("must_quality_pass"))
+    checks = [("response_ok", True, F.lit(True)), ("quality", must, F.coalesce("quality_pass", F.lit(False)) if must else F.lit(True))]
+    for name, count in counts.items():
+        if wanted := case.get(f"expected_{name}"):
+            least = case.get(f"least_{name}", len(wanted))
+            checks.append((name, least > 0, count(wanted) >= least))
+    if "memory_answer_mode" in case:
+        checks.append(("memory_answer_mode", True, F.coalesce("memory_answer_mode", F.lit(False)) == F.lit(bool(case["memory_answer_mode"]))))
+    if "least_retrieved" in case:
+        checks.append(("long_memory_retrieved", True, F.coalesce("retrieved", F.lit(0)) >= case["least_retrieved"]))
+    if "most_stored" in case:
+        checks.append(("long_memory_stored", True, F.coalesce("stored", F.lit(0)) <= case["most_stored"]))
+    if terms := case.get("insufficient_terms"):
+        checks.append(("insufficient_boundary", True, _term_hits(answer, terms) > 0))
+    row = lambda name, required, passed: F.struct(F.lit(name).alias("check"), F.lit(required).alias("required"), passed.alias("passed"))
+    listed = F.when(F.coalesce("ok", F.lit(False)), F.array(*[row(*c) for c in checks])).otherwise(F.array(row("response_ok", True, F.lit(False))))
+    return responses.select("id", F.explode(listed).alias("c")).select("id", "c.*")
+
+
+def contract_checks(responses: DataFrame, mode: str, categories: list[str], most_seconds: float, least_categories: int | None = None) -> DataFrame:
+    """(id, check, passed): the twelve conditions of the response contract.
+
+    responses are (id, ok, answer, sources, requested_mode, retrieval_mode, selected_mode, fusion_mode,
+    planner_version, provider, seconds), sources an array of structs of index, url and category.
+    """
+    text = lambda c: F.coalesce(c, F.lit(""))
+    sources = F.coalesce("sources", F.array())
+    cited = F.transform(F.regexp_extract_all(text("answer"), F.lit(r"\[(\d{1,9})\]"), F.lit(1)), lambda x: x.cast("int"))
+    least = least_categories if least_categories is not None else int(bool(categories))
+    planner = F.col("planner_version").isNull() if mode == "direct" else text("planner_version") == "rules_v3_conservative"
+    hits = F.size(F.array_intersect(F.transform(sources, lambda s: text(s["category"])), F.array(*map(F.lit, categories)) if categories else F.array().cast("array<string>")))
+    checks = {
+        "response_ok": F.coalesce("ok", F.lit(False)),
+        "answer_nonempty": T.strip(text("answer")) != "",
+        "sources_present": F.size(sources) > 0,
+        "source_urls_present": F.forall(sources, lambda s: F.trim(text(s["url"])) != ""),
+        "expected_category_present": hits >= least,
+        "citation_present": F.arrays_overlap(cited, F.transform(sources, lambda s: s["index"])),
+        "requested_mode": text("requested_mode") == mode,
+        "selected_mode": (text("retrieval_mode") == mode) & (text("selected_mode") == mode),
+        "conservative_fusion": text("fusion_mode") == "conservative",
+        "planner_shape": planner,
+        "local_generation": text("provider") == "ollama",
+        "latency_budget": F.coalesce(F.col("seconds") <= most_seconds, F.lit(False)),
+    }
+    rows = F.array(*[F.struct(F.lit(n).alias("check"), F.coalesce(c, F.lit(False)).alias("passed")) for n, c in checks.items()])
+    return responses.select("id", F.explode(rows).alias("c")).select("id", "c.*")

@@ -91,12 +91,19 @@ ASPECTS = {
 CONSERVATIVE_ORDER = ["workflow", "classification", "techniques", "query_optimization", "bottlenecks", "evaluation", "citation_quality", "badcase_analysis"]
 # Markers under which an evaluation question also needs these.
 CITATION_MARKERS = ["citation", "cite", "source attribution", "attribution", "verifiability", "badcase", "metric", "指标"]
+# What a broad question is about.
 BROAD_SUBJECTS = ["rag", "检索增强", "知识库"]
+# How a broad question asks.
 BROAD_MARKERS = ["介绍", "概览", "系统", "整体", "完整", "有哪些", "是什么", "overview"]
+# Questions about ingestion.
 INGESTION_SCOPE = ["ingestion", "摄取", "入库", "知识库更新", "增量更新", "向量写入"]
+# Questions about identity in ingestion.
 INGESTION_IDENTITY = ["幂等", "重复", "去重", "文档id", "document id", "旧向量", "一致性", "过期"]
+# Questions about caches in ingestion.
 INGESTION_CACHE = ["缓存", "cache"]
+# Search text of ingestion identity.
 IDENTITY_SEARCH = "ingestion pipeline document ID idempotency deduplication update delete stale vectors vector store consistency"
+# Search text of ingestion caches.
 CACHE_SEARCH = "ingestion pipeline cache invalidation document update transformation cache clear stale processing results"
 # What the techniques aspect becomes for narrower questions.
 TECHNIQUES_METADATA = (["vector db", "retrieval", "ingestion"], "Chroma vector database collection metadata filter where embeddings document storage retrieval RAG")
@@ -188,3 +195,6 @@ MEMORY_QUESTIONS = ["我之前", "刚才", "上次", "之前说", "记得", "偏
 WISHES = ["我希望", "我想", "我需要", "不要", "不想", "每天", "后面", "以后", "作品集", "github", "项目", "学习"]
 PREFERENCES = ["我希望", "不要", "不想", "每天", "学习"]
 PROJECT_WORDS = ["继续", "下一步", "现在", "项目", "RAG", "网页", "长记忆"]
+
+# How a prompt opens and closes the list of what an answer must cover.
+REQUIREMENTS = ("本轮问题需要覆盖这些子问题：", "如果某个子问题没有足够检索资料支持，请在答案中明确说明资料不足。")

@@ -49,6 +49,7 @@ def intent(n: Column, categories: Column) -> Column:
 
 def _techniques(n: Column) -> tuple[Column, Column]:
     """Which narrower form the techniques aspect takes: (categories, search text)."""
+    # The words that narrow the aspect.
     metadata = n.contains("chroma") & has_any(n, ["metadata", "filter", "where", "过滤"])
     rerank = has_any(n, ["rerank", "重排"]) & ~has_any(n, ["hybrid", "混合检索", "metadata"])
     hybrid = (has_any(n, ["hybrid", "混合检索"]) | has_any(n, ["only vector", "single vector", "vector similarity", "向量相似度", "只做一次"])) & has_any(n, ["metadata", "filter", "过滤", "rerank", "重排"])

@@ -99,6 +99,12 @@ def lenient_object(text: Column | str) -> Column:
     return F.coalesce(F.when(T.strip(t).startswith("{"), good(t)), good(inner))
 
 
+def requirement_list(requirements: Column) -> Column:
+    """The part of a prompt that lists what an answer must cover; empty where there is nothing."""
+    numbered = F.transform(requirements, lambda r, i: F.concat((i + 1).cast("string"), F.lit(". "), r))
+    return F.when(F.size(requirements) > 0, F.concat(F.lit(f"\n{X.REQUIREMENTS[0]}\n"), F.array_join(numbered, "\n"), F.lit(f"\n{X.REQUIREMENTS[1]}"))).otherwise("")
+
+
 def combine_audits(rule_pass: Column, reply: Column, scores: dict[str, float]) -> Column:
     """Whether an answer passes the rules and the model's audit; without a reply the rules alone decide.
 

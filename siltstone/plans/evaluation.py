@@ -11,6 +11,7 @@ from siltstone.operators import evaluation as E
 from siltstone.operators import planning
 from siltstone.plans import retrieval as R
 from siltstone.plans.registry import Registry
+from siltstone.session import cut
 from siltstone.sources.inputs import current_chunks, grades, questions, turns
 from siltstone.sources.tables import table
 
@@ -249,7 +250,8 @@ aa AS (SELECT avg(ndcg) AS ndcg, avg(recall) AS recall, avg(rr) AS rr, avg(CASE
 SELECT name, passed FROM (SELECT unnest([{{'name': 'auto_ndcg_noninferior', 'passed': aa.ndcg >= dd.ndcg - 0.03}}, {{'name': 'auto_recall_noninferior', 'passed': aa.recall >= dd.recall - 0.03}}, {{'name': 'auto_mrr_noninferior', 'passed': aa.rr >= dd.rr - 0.05}}, {{'name': 'oracle_agreement', 'passed': match >= 0.6}}, {{'name': 'planned_route_worst_case', 'passed': harm = 0}}, {{'name': 'median_latency_within_budget', 'passed': seconds <= 4.0}}], recursive := true) FROM aa, dd)""")
 def i28(spark, d):
     m = E.ranking_metrics(_rankings(spark, d), grades(spark, d), 5)
-    j = _routed(spark, d).join(E.oracle_routes(m, "direct", "planned"), "query_id")
+    # Routes are large expressions over the plan; written out they are made once.
+    j = cut(_routed(spark, d)).join(E.oracle_routes(m, "direct", "planned"), "query_id")
     auto = j.join(m.withColumnRenamed("system", "route"), ["query_id", "route"]).select("query_id", "route", "estimated_ms", "oracle", "delta", "ndcg", "recall", F.col("reciprocal_rank").alias("rr"))
     direct = m.filter("system = 'direct'").select("query_id", F.col("ndcg").alias("d_ndcg"), F.col("recall").alias("d_recall"), F.col("reciprocal_rank").alias("d_rr"))
     s = auto.join(direct, "query_id").agg(
@@ -324,27 +326,3 @@ f AS (SELECT *, row_number() OVER (PARTITION BY category, source_id ORDER BY key
 def i44(spark, d):
     c = current_chunks(spark, d).filter(E.usable_evidence()).withColumn("category", F.coalesce("category", F.lit("")))
     return E.stratified_sample(c, "category", 3, 7)
-
-
-_CHECKS = rf"[{{'c': 'answered', 'p': coalesce({S.strip('answer')}, '') <> ''}}, {{'c': 'cited', 'p': regexp_matches(coalesce(answer, ''), '\[\d+\]')}}, {{'c': 'sources', 'p': coalesce(source_titles_json, '') NOT IN ('', '[]')}}, {{'c': 'bounded', 'p': length(coalesce(answer, '')) <= 4000}}]"
-
-
-def _checks(spark, d):
-    a = F.coalesce("answer", F.lit(""))
-    listed = {"answered": T.strip(a) != "", "cited": a.rlike(r"\[\d+\]"), "sources": ~F.coalesce("source_titles_json", F.lit("")).isin("", "[]"), "bounded": F.char_length(a) <= 4000}
-    return turns(spark, d).select("id", F.explode(F.array(*[F.struct(F.lit(n).alias("c"), p.alias("p")) for n, p in listed.items()])).alias("x")).select("id", F.col("x.c").alias("check"), F.col("x.p").alias("passed"))
-
-
-@add("i45_response_checks", f"WITH {S.TURNS}, x AS (SELECT id, unnest({_CHECKS}) AS x FROM spoken) SELECT id, x.c AS \"check\", x.p AS passed FROM x")
-def i45(spark, d):
-    return _checks(spark, d)
-
-
-@add("i46_response_summary", f"WITH {S.TURNS}, x AS (SELECT id, unnest({_CHECKS}) AS x FROM spoken) SELECT x.c AS \"check\", count(*) AS responses, count(*) FILTER (x.p) AS passed, round(avg(CASE WHEN x.p THEN 1.0 ELSE 0.0 END), 4) AS rate FROM x GROUP BY 1")
-def i46(spark, d):
-    return _checks(spark, d).groupBy("check").agg(F.count(F.lit(1)).alias("responses"), F.count_if("passed").alias("passed"), F.round(F.avg(F.col("passed").cast("int")), 4).alias("rate"))
-
-
-@add("i47_contract", f"WITH {S.TURNS}, x AS (SELECT id, unnest({_CHECKS}) AS x FROM spoken) SELECT id, bool_and(x.p) AS passed FROM x WHERE x.c IN ('answered', 'bounded') GROUP BY id")
-def i47(spark, d):
-    return _checks(spark, d).filter(F.col("check").isin("answered", "bounded")).groupBy("id").agg(F.bool_and("passed").alias("passed"))

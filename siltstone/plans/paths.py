@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import sql as S
 from siltstone.functions import text as T
-from siltstone.operators import dedupe, fusion, planning, retrieval
+from siltstone.operators import dedupe, fusion, memory, planning, retrieval, safety
+from siltstone.operators import fixed as X
 from siltstone.operators import evaluation as E
 from siltstone.plans import evaluation as V
 from siltstone.plans import index as N
@@ -69,10 +70,14 @@ def e10(spark, d):
     return retrieval.cover_plan(c, plans, 5, by_rank=True)
 
 
-@add("g02_prompts", f"""WITH {S.TURNS} SELECT id, sha256('问题：' || {S.strip("coalesce(user_text, '')")} || chr(10) || '要求：只根据资料回答，并用 [n] 标注来源。' || chr(10) || '资料：' || chr(10) || coalesce(source_titles_json, '[]')) AS hash FROM spoken""")
+_REQUIRED = f"CASE WHEN len(aspects) = 0 THEN '' ELSE chr(10) || {S.lit(X.REQUIREMENTS[0])} || chr(10) || array_to_string(list_transform(aspects, lambda a, i: i || '. ' || a.name), chr(10)) || chr(10) || {S.lit(X.REQUIREMENTS[1])} END"
+
+
+@add("g02_prompts", f"""WITH {S.TURNS}, {N._COVER} SELECT p.query_id AS id, sha256({_REQUIRED} || chr(10) || '问题：' || {S.strip("question")} || chr(10) || '资料：' || chr(10) || coalesce(source_titles_json, '[]')) AS hash FROM plans p JOIN spoken t ON t.id = p.query_id""")
 def g02(spark, d):
-    prompt = F.concat(F.lit("问题："), T.strip(F.coalesce("user_text", F.lit(""))), F.lit("\n要求：只根据资料回答，并用 [n] 标注来源。\n资料：\n"), F.coalesce("source_titles_json", F.lit("[]")))
-    return turns(spark, d).select("id", T.sha256(prompt).alias("hash"))
+    t = planning.plan(turns(spark, d).filter("user_text is not null and answer is not null").withColumn("question", F.col("user_text")))
+    prompt = F.concat(safety.requirement_list(F.transform("aspects", lambda a: a["name"])), F.lit("\n问题："), T.strip(F.col("question")), F.lit("\n资料：\n"), F.coalesce("source_titles_json", F.lit("[]")))
+    return t.select("id", T.sha256(prompt).alias("hash"))
 
 
 @add("g06_policy_answers", f"WITH x AS ({N._SCREEN}) SELECT DISTINCT action, CASE action WHEN 'refuse' THEN '结论：无法执行该请求。' WHEN 'insufficient' THEN '结论：根据当前知识库资料不足以回答。' END AS answer FROM x")
@@ -183,3 +188,58 @@ def i37(spark, d):
     from siltstone.sources.inputs import questions
 
     return dedupe.prior_likeness(questions(spark, d), "id", "question")
+
+
+# --- checks of whole responses: turns as the responses, their plans as what was planned --------------------------------
+
+_CASE = {
+    "must_quality_pass": True, "expected_aspects": ["evaluation", "techniques"], "least_aspects": 1, "expected_categories": ["retrieval", "evaluation", "embedding"], "least_categories": 1, "expected_source_terms": ["guide", "notes"],
+    "expected_answer_terms": ["recall", "召回率"], "least_answer_terms": 1, "memory_answer_mode": False, "least_retrieved": 1, "most_stored": 0, "insufficient_terms": ["资料不足", "不足以回答"],
+}
+_CITES = r"regexp_matches(coalesce(answer, ''), '\[\d+\]')"
+_RESPONSES = rf"""WITH {S.TURNS}, {N._COVER}, resp AS (SELECT p.query_id AS id, {S.strip("p.answer")} <> '' AS ok, regexp_matches(p.answer, '\[\d+\]') AS quality, p.answer, list_transform(p.aspects, lambda a: a.name) AS aspects, p.categories, lower(coalesce(t.source_titles_json, '')) AS sources,
+  {N._has(X.MEMORY_QUESTIONS, 'p.question')} AS mem, len(regexp_extract_all(p.answer, '\[\d+\]')) AS retrieved FROM plans p JOIN spoken t ON t.id = p.query_id),
+checks AS (SELECT id, unnest(CASE WHEN NOT ok THEN [{{'c': 'response_ok', 'p': false}}] ELSE [{{'c': 'response_ok', 'p': true}}, {{'c': 'quality', 'p': quality}},
+ {{'c': 'aspects', 'p': len(list_intersect(aspects, {S.lst(_CASE['expected_aspects'])})) >= 1}}, {{'c': 'categories', 'p': len(list_intersect(categories, {S.lst(_CASE['expected_categories'])})) >= 1}}, {{'c': 'source_terms', 'p': contains(sources, 'guide') AND contains(sources, 'notes')}},
+ {{'c': 'answer_terms', 'p': contains(lower(answer), 'recall') OR contains(answer, '召回率')}}, {{'c': 'memory_answer_mode', 'p': NOT mem}}, {{'c': 'long_memory_retrieved', 'p': retrieved >= 1}}, {{'c': 'long_memory_stored', 'p': NOT mem}},
+ {{'c': 'insufficient_boundary', 'p': contains(answer, '资料不足') OR contains(answer, '不足以回答')}}] END, recursive := true) FROM resp)"""
+
+
+def _responses(spark, d):
+    t = planning.plan(turns(spark, d).filter("user_text is not null and answer is not null").withColumn("question", F.col("user_text")))
+    cites = F.regexp_extract_all("answer", F.lit(r"(\[\d+\])"), F.lit(1))
+    asks = memory.is_memory_question("user_text")
+    return t.select(
+        "id", (T.strip(F.col("answer")) != "").alias("ok"), (F.size(cites) > 0).alias("quality_pass"), "answer", F.transform("aspects", lambda a: a["name"]).alias("aspects"), "categories", F.coalesce("source_titles_json", F.lit("")).alias("sources"),
+        asks.alias("memory_answer_mode"), F.size(cites).alias("retrieved"), asks.cast("int").alias("stored"),
+    )
+
+
+@add("i45_response_checks", f"{_RESPONSES} SELECT id, c AS \"check\", true AS required, p AS passed FROM checks")
+def i45(spark, d):
+    return E.response_checks(_responses(spark, d), _CASE)
+
+
+@add("i46_response_summary", f"{_RESPONSES}, per AS (SELECT id, bool_and(p) AS passed, count(*) FILTER (c = 'quality' AND p) > 0 AS quality FROM checks GROUP BY 1) SELECT count(*) AS responses, count(*) FILTER (passed) AS passed, round(avg(CASE WHEN passed THEN 1.0 ELSE 0.0 END), 4) AS pass_rate, round(avg(CASE WHEN quality THEN 1.0 ELSE 0.0 END), 4) AS quality_rate, (SELECT count(*) FILTER (NOT p) FROM checks) AS failed_checks FROM per")
+def i46(spark, d):
+    checks = E.response_checks(_responses(spark, d), _CASE)
+    per = checks.groupBy("id").agg(F.bool_and(~F.col("required") | F.col("passed")).alias("passed"), F.bool_or((F.col("check") == "quality") & F.col("passed")).alias("quality"), F.count_if(~F.col("passed")).alias("failed"))
+    rate = lambda c: F.round(F.avg(F.col(c).cast("double")), 4)
+    return per.agg(F.count(F.lit(1)).alias("responses"), F.count_if("passed").alias("passed"), rate("passed").alias("pass_rate"), rate("quality").alias("quality_rate"), F.sum("failed").alias("failed_checks"))
+
+
+_TITLES = "len(regexp_extract_all(coalesce(source_titles_json, ''), '\"[^\"]+\"'))"
+
+
+@add("i47_contract", rf"""WITH {S.TURNS}, r AS (SELECT id, answer, {_TITLES} AS n, list_transform(regexp_extract_all(coalesce(answer, ''), '\[(\d{{1,9}})\]', 1), lambda x: CAST(x AS INTEGER)) AS cited, namespace, created_at FROM spoken),
+c AS (SELECT id, unnest([{{'c': 'response_ok', 'p': answer IS NOT NULL}}, {{'c': 'answer_nonempty', 'p': {S.strip("coalesce(answer, '')")} <> ''}}, {{'c': 'sources_present', 'p': n > 0}}, {{'c': 'source_urls_present', 'p': n < 3}}, {{'c': 'expected_category_present', 'p': n >= 2}},
+ {{'c': 'citation_present', 'p': len(list_filter(cited, lambda x: x BETWEEN 1 AND n)) > 0}}, {{'c': 'requested_mode', 'p': true}}, {{'c': 'selected_mode', 'p': length(id) % 3 > 0}}, {{'c': 'conservative_fusion', 'p': true}}, {{'c': 'planner_shape', 'p': length(coalesce(answer, '')) % 2 = 0}}, {{'c': 'local_generation', 'p': true}},
+ {{'c': 'latency_budget', 'p': coalesce(length(answer) / 100.0 <= 3, false)}}], recursive := true) FROM r) SELECT id, c AS "check", p AS passed FROM c""")
+def i47(spark, d):
+    n = F.size(F.regexp_extract_all(F.coalesce("source_titles_json", F.lit("")), F.lit('("[^"]+")'), F.lit(1)))
+    source = lambda i: F.struct(i.cast("int").alias("index"), F.when(i < 3, "https://kb.example").otherwise(F.lit("")).alias("url"), F.when(i == 2, "retrieval").otherwise("other").alias("category"))
+    r = turns(spark, d).select(
+        "id", F.col("answer").isNotNull().alias("ok"), "answer", F.when(n > 0, F.transform(F.sequence(F.lit(1), n), source)).alias("sources"), F.lit("planned").alias("requested_mode"), F.lit("planned").alias("retrieval_mode"), F.when(F.char_length("id") % 3 > 0, "planned").otherwise("direct").alias("selected_mode"),
+        F.lit("conservative").alias("fusion_mode"), F.when(F.char_length(F.coalesce("answer", F.lit(""))) % 2 == 0, "rules_v3_conservative").otherwise("rules_v2").alias("planner_version"), F.lit("ollama").alias("provider"), (F.char_length("answer") / 100).alias("seconds"),
+    )
+    return E.contract_checks(r, "planned", ["retrieval"], 3.0)

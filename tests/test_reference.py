@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import random
 
 import numpy as np
 import pytest
@@ -347,3 +348,79 @@ def test_queries_equal_their_sql(name):
     from tools import compare
 
     assert compare.main(["-d", root, name]) == 0
+
+
+def test_spans_are_the_fewest_groups():
+    rng = random.Random(4)
+    for _ in range(300):
+        sizes, limit, gap = [rng.randint(1, 40) for _ in range(rng.randint(0, 30))], rng.randint(1, 90), rng.randint(0, 2)
+        cut = chunking.spans(sizes, limit, gap)
+        assert [i for a, b in cut for i in range(a, b)] == list(range(len(sizes)))
+        whole = lambda a, b: sum(sizes[a:b]) + gap * (b - a - 1)
+        assert all(whole(a, b) <= limit or b == a + 1 for a, b in cut)
+        assert all(whole(a, b + 1) > limit for (a, b) in cut[:-1])
+
+
+def test_chunks_keep_every_character_and_limit():
+    rng = random.Random(5)
+    for _ in range(60):
+        words = [rng.choice(["word", "longer", "a", "end.", "停。"]) * rng.randint(1, 3) for _ in range(rng.randint(1, 1500))]
+        body = "".join(w + rng.choice([" ", " ", " ", "\n\n"]) for w in words)
+        pieces = chunking.pack_paragraphs(body, 180, 350)
+        assert all(0 < len(p) <= 350 for p in pieces)
+        assert "".join("".join(pieces).split()) == "".join(body.split())
+        merged = chunking.merge_tiny([{"text": p} for p in pieces], 350, 100)
+        assert "".join("".join(c["text"] for c in merged).split()) == "".join(body.split()) and all(len(c["text"]) <= 350 for c in merged)
+        held = [len(c["text"]) for c in merged]
+        assert all(min(a, b) >= 100 or a + b + 2 > 350 for a, b in zip(held, held[1:])) or len(pieces) == len(merged)
+
+
+def test_dense_search_equals_all_pairs(spark):
+    rng = random.Random(6)
+    vectors = [(f"v{i}", [rng.choice([0.0, 1.0, 2.0]) for _ in range(3)], rng.choice("ab")) for i in range(200)]
+    frame = spark.createDataFrame(vectors, "vec_id string, embedding array<double>, label string").repartition(5)
+    queries = frame.filter("vec_id like '%0'").withColumnRenamed("vec_id", "query_id")
+    for asked, fits in ((queries.drop("label"), lambda a, b: True), (queries, lambda a, b: a == b)):
+        got = {(r.query_id, r["rank"]): (r.vec_id, r.distance) for r in dense.l2_search(asked, frame, 4).collect()}
+        want = {}
+        for q, e, label in vectors:
+            if q.endswith("0"):
+                near = sorted((round(sum((x - y) ** 2 for x, y in zip(e, f)), 6), v) for v, f, other in vectors if fits(label, other))[:4]
+                want |= {(q, i): (v, d) for i, (d, v) in enumerate(near, 1)}
+        assert got == want
+    assert dense.l2_search(queries.limit(0).drop("label"), frame, 4).count() == 0
+
+
+def test_search_keeps_the_best_of_many_blocks(spark, monkeypatch):
+    rng = random.Random(7)
+    words = [f"term{i}" for i in range(30)]
+    chunks = spark.createDataFrame([(f"c{i:03d}", None, rng.choice("xy"), None, " ".join(rng.choices(words, k=20))) for i in range(120)], "chunk_id string, title string, category string, heading_path string, text string")
+    asked = spark.createDataFrame([(i, " ".join(rng.sample(words, 3))) for i in range(9)], "query_id int, question string")
+    scores = {(r.query_id, r.chunk_id): round(r.score, 6) for r in sparse.bm25_scores(asked, chunks).collect()}
+    category = {r.chunk_id: r.category for r in chunks.collect()}
+    for block, rows in ((512, 4096), (2, 7)):
+        monkeypatch.setattr(sparse, "BLOCK", block)
+        monkeypatch.setattr(sparse, "ROWS", rows)
+        for wanted in (None, "x"):
+            got = sorted((r.query_id, r["rank"], r.chunk_id, r.score) for r in sparse.bm25_search(asked, chunks, 5, wanted).collect())
+            want = []
+            for q in range(9):
+                best = sorted((-s, c) for (i, c), s in scores.items() if i == q and s > 0 and (wanted is None or category[c] == wanted))[:5]
+                want += [(q, n, c, -s) for n, (s, c) in enumerate(best, 1)]
+            assert [g[:3] for g in got] == [w[:3] for w in want] and all(abs(g[3] - w[3]) < 2e-6 for g, w in zip(got, want))
+    assert sparse.bm25_search(asked.limit(0), chunks).count() == 0
+
+
+def test_materialised_vectors_are_reused(spark):
+    previous = spark.createDataFrame([("a", "s", "h1", [1.0]), ("b", "s", "h2", [2.0]), ("c", "s", None, [3.0])], "chunk_id string, source_id string, text_hash string, embedding array<double>")
+    current = spark.createDataFrame([("a", "s", "h1", "x"), ("d", "s", "h2", "x"), ("c", "s", None, "x"), ("b", "t", "h9", None)], "chunk_id string, source_id string, text_hash string, text string")
+    made = {r.chunk_id: (r.reuse, r.embedding) for r in versions.materialise(current, previous, lambda t: F.when(t.isNotNull(), F.array(F.lit(9.0)))).collect()}
+    assert made == {"a": ("same chunk", [1.0]), "d": ("same text", [2.0]), "c": ("new", [9.0]), "b": ("new", None)}
+    problems = {r.chunk_id: r.problem for r in versions.store_problems(current, previous, 1).collect()}
+    assert problems == {"b": "stale", "d": "missing"}
+    assert {r.chunk_id: r.problem for r in versions.store_problems(current.filter("chunk_id = 'a'"), previous, 2).collect()} == {"a": "size", "b": "unknown", "c": "unknown"}
+
+
+def test_unknown_strategy_is_an_error(spark):
+    with pytest.raises(ValueError):
+        retrieval.retrieve(spark.createDataFrame([], "query_id string, question string"), spark.createDataFrame([], "chunk_id string"), "other")
