@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from siltstone.session import cut
 
@@ -44,6 +45,7 @@ def l2_search(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     size = max(1, first.n if first else 1)
     passes = max(1, -(-queries.count() * size * 8 // PASS_BYTES))
     numbered = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(passes)))
+    arrow = to_arrow_type(queries.schema["query_id"].dataType)
     schema = ", ".join(f"{n} {df.schema[n].dataType.simpleString()}" for df, n in ((queries, "query_id"), (vectors, "vec_id"))) + ", distance double"
 
     def one(block: int) -> DataFrame:
@@ -75,7 +77,7 @@ def l2_search(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
                 theirs = batch.column(2).to_numpy(zero_copy_only=False).astype(object) if filtered else None
                 for begin in range(0, len(points), BLOCK):
                     query, row, exact = nearest(at, place, theirs, begin)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[query].tolist()), batch.column(0).take(pa.array(row)), pa.array(exact)], names=["query_id", "vec_id", "distance"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[query].tolist(), arrow), batch.column(0).take(pa.array(row)), pa.array(exact)], names=["query_id", "vec_id", "distance"])
 
         columns = ["vec_id", "embedding"] + ["label"] * filtered
         made = vectors.filter("embedding is not null").select(*columns).mapInArrow(search, schema)

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from siltstone.functions import text as T
 from siltstone.operators.fixed import TERM_ALIASES
@@ -118,7 +119,7 @@ def search_index(searches: DataFrame, index: DataFrame, k: int, idf_mode: str =
     asked = cut(searches.select("query_id", category.alias("category"), F.transform(query_terms("question"), lambda t: F.xxhash64(t)).alias("terms")))
     blocks = max(1, -(-asked.count() // BLOCK))
     numbered = asked.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    kind = asked.schema["query_id"].dataType.simpleString()
+    kind, arrow = asked.schema["query_id"].dataType.simpleString(), to_arrow_type(asked.schema["query_id"].dataType)
 
     def one(block: int) -> DataFrame:
         queries = numbered.filter(F.col("_b") == block).collect()  # about BLOCK rows of a question's terms
@@ -164,7 +165,7 @@ def search_index(searches: DataFrame, index: DataFrame, k: int, idf_mode: str =
                             found = found[s[found] >= np.partition(s[found], -k)[-k]]
                         out += sorted(((ids[i], chunk[j], s[j]) for j in found), key=lambda r: (-r[2], r[1]))[:k]
                     if out:
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["query_id", "chunk_id", "score"])
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (arrow, pa.string(), pa.float64()))], names=["query_id", "chunk_id", "score"])
 
         made = index.mapInArrow(search, f"query_id {kind}, chunk_id string, score double")
         return cut(made) if blocks > 1 else made
