@@ -57,6 +57,11 @@ def language_scores(text: str) -> dict[str, float]:
     return scores
 
 
+def mostly_ideographs(text: str) -> bool:
+    """Whether a third of the text is ideographs and none of it kana; then no other language can score as high as zh."""
+    return not text.isascii() and 3 * len(IDEOGRAPH.findall(text)) >= len(text) and not KANA.search(text)
+
+
 def language_of(text: str | None, least: float = 1.5) -> str | None:
     """zh, en, de, fr, es or another script's language; None where the text says too little."""
     if not text:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.language import CODE, has_code, language_of, language_scores
+from siltstone.llm.language import CODE, has_code, language_of, language_scores, mostly_ideographs
 from siltstone.session import cut
 from siltstone.sources.tables import latest
 
@@ -126,6 +126,8 @@ def is_foreign(question: str | None, answer: str) -> bool:
     """In a language that is neither the question's nor asked for in it; code and names don't count."""
     if not question:
         return False
+    if mostly_ideographs(question) and mostly_ideographs(answer):
+        return False
     theirs = language_of(question)
     if theirs is None:
         return False
@@ -324,11 +326,10 @@ def refusal_templates(brief: DataFrame) -> DataFrame:
 
 
 def refusal_closings(speech: DataFrame) -> DataFrame:
-    """(said): sentences that follow several openings, and reluctant ones in at least half of the prompts and at least REVEALED."""
-    later = speech.select(F.explode("later").alias("said"), "prompt", "reluctant", "opening")
-    per = later.groupBy("said", "prompt").agg(F.max("reluctant").alias("reluctant"), F.min("opening").alias("least"), F.max("opening").alias("most"))
-    counted = per.groupBy("said").agg(F.count(F.lit(1)).alias("n"), F.count_if("reluctant").alias("r"), F.min("least").alias("least"), F.max("most").alias("most"))
-    return counted.filter((F.col("least") < F.col("most")) & (F.col("n") >= REVEALED) & (F.col("r") >= RELUCTANT_SHARE * F.col("n"))).select("said")
+    """(said): sentences said, word for word but for names and figures, in at least REVEALED prompts, after reluctance in half of them."""
+    per = speech.select(F.explode("later").alias("said"), "prompt", "reluctant").groupBy("said", "prompt").agg(F.max("reluctant").alias("reluctant"))
+    counted = per.groupBy("said").agg(F.count(F.lit(1)).alias("n"), F.count_if("reluctant").alias("r"))
+    return counted.filter((F.col("n") >= REVEALED) & (F.col("r") >= RELUCTANT_SHARE * F.col("n"))).select("said")
 
 
 def broken_pairs(turns: DataFrame) -> DataFrame:

@@ -337,7 +337,7 @@ def test_refusals_are_told_by_recurring_openings(spark):
         ("I'm sorry, but I'm not allowed to assist with this request. " + closing, 4), ("很遗憾，我没办法处理这个请求，请换个话题。", 3),  # reluctant, recurring
         ("Let us look at the stars tonight instead.", 6), ("Let us look at the stars tonight instead. " + closing, 4),  # revealed by what follows refusals
         ("I cannot say whether the cache is cold.", 1),  # reluctant, but in one answer only
-        ("I can't confirm that figure. The cache is rebuilt every night and then the filter is read again.", 5),  # goes on
+        *((f"I can't confirm that figure. The {x} is rebuilt every night and then the filter is read again.", 1) for x in ("cache", "index", "log", "copy", "job")),  # goes on
         ("The cache cannot be updated in place.", 6), ("Yes.", 6), ("The cache is rebuilt every night so that the filter stays fresh.", 6),
     ])
     found = pairs.broken_pairs(frame).collect()
