@@ -202,6 +202,38 @@ def test_overlap_equals_all_pairs(spark):
     assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 20
 
 
+def overlaps(spark, rows, *args):
+    frame = spark.createDataFrame([(*r, "g", None) for r in rows], "id string, split string, question string, generator string, created_at timestamp")
+    return sorted((r.train_id, r.held_id) for r in overlap.split_overlaps(frame, *args).collect())
+
+
+@pytest.mark.parametrize("similarity", [0.3, overlap.SIMILARITY, 0.7])
+def test_overlap_leaves_no_nameless_pair_out(spark, similarity):
+    rng = random.Random(3)
+    words = "cache index filter query recall latency shard token batch score prompt judge merge probe".split()
+    rows = []
+    for i in range(150):
+        base = [rng.choice(words) for _ in range(rng.randint(1, 24))]
+        copy = [rng.choice(words) if rng.random() < 0.15 else w for w in base]
+        # The longest words of either are never those of the other.
+        rows += [(f"t{i}", "train", " ".join([*base, "comprehensively", "unquestionably"])), (f"d{i}", rng.choice(["dev", "holdout"]), " ".join([*copy, "notwithstanding", "circumstances"]))]
+    told = {i: set(overlap.shingles_of(q.split()).tolist()) for i, _, q in rows}
+    want = sorted((a, b) for a in told for b in told if a[0] == "t" and b[0] == "d" and len(told[a] & told[b]) / len(told[a] | told[b]) >= similarity)
+    assert overlaps(spark, rows, similarity) == want and len(want) > 10
+
+
+def test_overlap_meets_however_names_are_written(spark):
+    asked = "How do we tune the {} cache for long pages each night?"
+    held = {"apart": "Bezor - Vili", "torn": "Bezo r-Vili", "left": "Bezor-V ili", "glued": "xBezor-Vilis", "upper": "BEZOR-VILI"}
+    rows = [("t", "train", asked.format("Bezor-Vili")), *((i, "dev", asked.format(n)) for i, n in held.items()), ("other", "dev", asked.format("Bezor-Vala"))]
+    assert overlaps(spark, rows) == sorted(("t", i) for i in held)
+    # A copy in capitals holds no name like Bezor-Vili; it must not speak for the question that does.
+    both = [rows[0], ("u", "train", asked.format("Bezor-Vili").upper()), rows[1]]
+    assert overlaps(spark, both) == [("t", "apart")]
+    small = asked.lower()
+    assert overlaps(spark, [("t", "train", small.format("bezor-vili")), ("d", "dev", small.format("bexor-vyli"))]) == [("t", "d")]
+
+
 @pytest.mark.parametrize(
     "text, kind",
     [
