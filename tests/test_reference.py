@@ -424,3 +424,42 @@ def test_materialised_vectors_are_reused(spark):
 def test_unknown_strategy_is_an_error(spark):
     with pytest.raises(ValueError):
         retrieval.retrieve(spark.createDataFrame([], "query_id string, question string"), spark.createDataFrame([], "chunk_id string"), "other")
+
+
+def _corpus(rng, n):
+    words = ["cache", "bge-m3", "缓存", "召回率低", "的", "index_", "-x", "top_k", "Straße", "a", "recall"]
+    return [(f"c{i:03d}", rng.choice(["Title", None]), rng.choice(["retrieval", "x", None]), None, rng.choice([None, " ".join(rng.choices(words, k=12)), "".join(rng.choices(words, k=5))])) for i in range(n)]
+
+
+def test_hashed_terms_are_the_search_tokens(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("ab1_- 缓存的率é\n鿿一K", k=rng.randrange(40))) for _ in range(300)] + ["", "a", "缓", "_a", "-_ab"]
+    tokens = [r.t for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.search_tokens("t").alias("t")).orderBy("i").collect()]
+    rows, hashes = sparse.hashed_terms([t.lower() for t in texts])
+    known = dict(zip(sorted({t for ts in tokens for t in ts}), sparse._hashes(sorted({t for ts in tokens for t in ts})).tolist()))
+    assert len(set(known.values())) == len(known) > 200
+    assert [sorted(hashes[rows == i].tolist()) for i in range(len(texts))] == [sorted(known[t] for t in ts) for ts in tokens]
+
+
+@pytest.mark.parametrize("sizes", [{}, {"BLOCK": 3, "ROWS": 7, "TEXTS": 2, "SORTED": 5}])
+def test_score_summary_shuffles_no_matches(spark, monkeypatch, tmp_path, sizes):
+    from siltstone.plans import retrieval as R
+
+    for name, size in sizes.items():
+        monkeypatch.setattr(sparse, name, size)
+    rng = random.Random(9)
+    plain = {n: None for n in ("source_id", "doc_id", "url", "text_hash")}
+    chunks = spark.createDataFrame(_corpus(rng, 60), "chunk_id string, title string, category string, heading_path string, text string").withColumns({n: F.lit(v).cast("string") for n, v in plain.items()}).withColumn("loaded_at", F.lit(1))
+    chunks.write.parquet(f"{tmp_path}/chunks.parquet")
+    asked = [(f"q_{50 * i}", t) for i, t in enumerate(["cache 缓存", "缓存 cache", "召回率", "bge-m3 recall top_k", "nowhere", None, "的 index_ strasse"])]
+    spark.createDataFrame(asked, "id string, question string").withColumn("created_at", F.lit(1)).write.parquet(f"{tmp_path}/natural_queries.parquet")
+    made = R.c14(spark, str(tmp_path))
+    assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
+    scores = sparse.bm25_scores(spark.createDataFrame(asked, "query_id string, question string"), spark.read.parquet(f"{tmp_path}/chunks.parquet")).collect()
+    want = {}
+    for r in scores:
+        want.setdefault(r.query_id, []).append(round(r.score, 6))
+    got = {r.query_id: (r.chunks, r.best, r.average) for r in made.collect()}
+    assert got.keys() == want.keys() and len(got) == 5
+    for q, s in want.items():
+        assert got[q][0] == len(s) and abs(got[q][1] - max(s)) < 1e-4 and abs(got[q][2] - sum(s) / len(s)) < 1e-4
