@@ -463,3 +463,28 @@ def test_score_summary_shuffles_no_matches(spark, monkeypatch, tmp_path, sizes):
     assert got.keys() == want.keys() and len(got) == 5
     for q, s in want.items():
         assert got[q][0] == len(s) and abs(got[q][1] - max(s)) < 1e-4 and abs(got[q][2] - sum(s) / len(s)) < 1e-4
+
+
+def test_searches_of_a_category_share_their_text(spark):
+    rng = random.Random(4)
+    index = sparse.term_index(spark.createDataFrame(_corpus(rng, 40), "chunk_id string, title string, category string, heading_path string, text string"))
+
+    def jobs(n):
+        asked = spark.range(n).selectExpr("id as query_id", "'cache 缓存 recall' as question", "if(id % 2 = 0, 'x', null) as category")
+        spark.sparkContext.setJobGroup(f"searches-{n}", "")
+        found = sparse.search_index(asked, index, 3)
+        return found, len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"searches-{n}"))
+
+    (few, one), (many, other) = jobs(4), jobs(1200)
+    assert one == other
+    rows = lambda df, rest: sorted((r["rank"], r.chunk_id, r.score) for r in df.filter(f"query_id in ({rest})").collect())
+    assert rows(few, "0") == rows(many, "1198") and rows(few, "1") == rows(many, "1199") and len(rows(few, "0")) == 3
+
+
+@pytest.mark.parametrize("path", [retrieval.legacy_retrieve, retrieval.planned_retrieve])
+def test_candidates_are_made_once(spark, path, tmp_path):
+    chunks = spark.createDataFrame([(f"c{i:02d}", f"d{i}", f"RAG 检索 评估 瓶颈 分类 {i}") for i in range(30)], "chunk_id string, source_id string, text string").withColumns({n: F.lit("retrieval") for n in ("title", "category", "heading_path")})
+    chunks.write.parquet(f"{tmp_path}/chunks")
+    asked = spark.createDataFrame([("q", "RAG 有哪些分类、关键技术和瓶颈，如何评估？")], "query_id string, question string")
+    got = path(asked, spark.read.parquet(f"{tmp_path}/chunks"))
+    assert "Scan parquet" not in got._jdf.queryExecution().executedPlan().toString() and got.count() == 10
