@@ -488,3 +488,32 @@ def test_candidates_are_made_once(spark, path, tmp_path):
     asked = spark.createDataFrame([("q", "RAG 有哪些分类、关键技术和瓶颈，如何评估？")], "query_id string, question string")
     got = path(asked, spark.read.parquet(f"{tmp_path}/chunks"))
     assert "Scan parquet" not in got._jdf.queryExecution().executedPlan().toString() and got.count() == 10
+
+
+def test_common_subsequences_of_many_texts_at_once():
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("abcde缓存𠀀", k=n)) for n in (0, 1, 5, 63, 64, 65, 127, 128, 129, 200, 256, 300, 64, 128)]
+    lanes = dedupe.Lanes(texts)
+    for text in [*texts, "a" * 70, "xyz", "".join(rng.choices("ab", k=400))]:
+        masks = {c: sum(1 << i for i, x in enumerate(text) if x == c) for c in set(text)}
+        for at in (np.arange(len(texts)), np.array([11, 3, 8])):
+            assert lanes.common(text, at).tolist() == [dedupe.common(masks, len(text), texts[i]) for i in at]
+    few = dedupe.FEW
+    shared = np.full(len(texts), 400)
+    try:
+        dedupe.FEW = 0
+        assert [dedupe.most_alike(t, texts, shared, lanes) for t in texts] == [dedupe.most_alike(t, texts, shared) for t in texts]
+    finally:
+        dedupe.FEW = few
+
+
+def test_matched_characters_are_those_of_difflib():
+    import difflib
+
+    rng = random.Random(8)
+    for letters in ("ab", "abcdefgh", "abcdefghijklmnopqrstuvwxyz缓存𠀀"):
+        for _ in range(150):
+            a, b = ("".join(rng.choices(letters, k=rng.randrange(1, 199))) for _ in "ab")
+            b = rng.choice([b, (b[:50] + a[20:90])[:199]])
+            want = sum(m.size for m in difflib.SequenceMatcher(None, a, b).get_matching_blocks())
+            assert dedupe.matched(a, b) == want == dedupe.matched(a, b, want) and dedupe.matched(a, b, want + 0.5) in (-1, want)
